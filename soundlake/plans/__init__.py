@@ -1,6 +1,6 @@
 from importlib import import_module
 
-MODULES = ("q_events", "q_matching")
+MODULES = ("q_events", "q_matching", "q_direction")
 
 
 def load_all() -> None:

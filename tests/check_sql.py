@@ -2,6 +2,7 @@
 
 import math
 import os
+import signal
 import sys
 import time
 
@@ -47,7 +48,12 @@ def compare(spark, sf_dir, name, fn, statement):
     return f"match ({len(a)})", took, True
 
 
+def too_slow(*_):
+    raise TimeoutError("query exceeds its time")
+
+
 def main():
+    signal.signal(signal.SIGALRM, too_slow)
     from pyspark.sql import SparkSession
     import __spark_entry__ as entry
     sf_dir = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
@@ -61,10 +67,13 @@ def main():
     for name, fn in entry.queries().items():
         if wanted and name not in wanted and not any(w.endswith("*") and name.startswith(w[:-1]) for w in wanted):
             continue
+        signal.alarm(int(os.environ.get("CHECK_SECONDS", "60")))
         try:
             note, took, ok = compare(spark, sf_dir, name, fn, statements.get(name))
-        except Exception as error:  # report and go on
+        except BaseException as error:  # report and go on
             note, took, ok = f"ERROR {type(error).__name__} {str(error)[:1500]}", 0.0, False
+        finally:
+            signal.alarm(0)
         if not ok:
             bad.append(name)
         print(f"{'ok ' if ok else 'BAD'} {name:28s} {took:6.2f}s {note}", flush=True)
