@@ -23,7 +23,7 @@ def usable_truth(truth: DataFrame, classes: Sequence[str]) -> DataFrame:
 def _look(value: str, names: Sequence[str], backward: bool) -> Column:
     call = "lag" if backward else "lead"
     return F.expr(f"{call}({value}) IGNORE NULLS OVER (PARTITION BY {', '.join(names)}, {SLICE} "
-                  f"ORDER BY pos, side, ord)")
+                  f"ORDER BY m_pos, m_side, m_ord)")
 
 
 def _mutual_round(rest: DataFrame, keys: Sequence[str], tol: int, width: int) -> DataFrame:
@@ -31,44 +31,61 @@ def _mutual_round(rest: DataFrame, keys: Sequence[str], tol: int, width: int) ->
 
     Only the lowest-ordered row of a (side, position) group can be part of the best pair, so only it is
     visible.  A row's decision depends on rows within 2 * tol, which the halo brings in; each copy is
-    decided in its own slice, and no join is needed.
+    decided in its own slice, and no join is needed.  ``clear`` marks a pair without an equally near
+    alternative on either side, ``rank`` the place inside the group.
     """
-    copies = with_halo(rest, "pos", width, 2 * tol, 2 * tol)
-    order = Window.partitionBy(*keys, SLICE).orderBy("pos", "side", "ord")
-    previous = F.lag(F.struct("pos", "side")).over(order)
-    seen = copies.withColumn("lead_row", previous.isNull() | (previous != F.struct("pos", "side")))
-    seen = seen.withColumns({
-        "left_of": F.when((F.col("side") == 0) & F.col("lead_row"), F.struct("pos", "ord", "id")),
-        "right_of": F.when((F.col("side") == 1) & F.col("lead_row"), F.struct("pos", "ord", "id"))})
+    copies = with_halo(rest, "m_pos", width, 2 * tol, 2 * tol)
+    order = Window.partitionBy(*keys, SLICE).orderBy("m_pos", "m_side", "m_ord")
+    previous = F.lag(F.struct("m_pos", "m_side")).over(order)
+    place = F.row_number().over(order)
+    seen = copies.withColumns({
+        "lead_row": previous.isNull() | (previous != F.struct("m_pos", "m_side")), "place": place})
+    seen = seen.withColumn("rank", 1 + F.col("place") - F.max(F.when(F.col("lead_row"), F.col("place"))).over(order))
+    shown = F.when(F.col("lead_row"), F.struct(
+        F.col("m_pos").alias("pos"), F.col("m_ord").alias("ord"), F.col("m_id").alias("id")))
+    seen = seen.withColumns({"left_of": F.when(F.col("m_side") == 0, shown),
+                             "right_of": F.when(F.col("m_side") == 1, shown)})
 
     def other(backward: bool) -> Column:
-        return F.when(F.col("side") == 0, _look("right_of", keys, backward)).otherwise(
+        return F.when(F.col("m_side") == 0, _look("right_of", keys, backward)).otherwise(
             _look("left_of", keys, backward))
 
     near = seen.withColumns({"before": other(True), "after": other(False)})
 
     def scored(side: str) -> Column:
-        gap = F.abs(F.col(f"{side}.pos") - F.col("pos"))
+        gap = F.abs(F.col(f"{side}.pos") - F.col("m_pos"))
         return F.when(gap <= tol, F.struct(gap.alias("gap"), F.col(f"{side}.ord").alias("ord"),
                                            F.col(f"{side}.id").alias("id")))
 
-    chosen = (near.withColumn("best", F.least(scored("before"), scored("after")))
-              .withColumns({
-                  "left_pick": F.when((F.col("side") == 0) & F.col("lead_row"),
-                                      F.struct("id", F.col("best.id").alias("pick"))),
-                  "right_pick": F.when((F.col("side") == 1) & F.col("lead_row"),
-                                       F.struct("id", F.col("best.id").alias("pick")))}))
+    tied = F.coalesce(F.abs(F.col("before.pos") - F.col("m_pos")) == F.abs(F.col("after.pos") - F.col("m_pos")), F.lit(False))
+    chosen = near.withColumns({"best": F.least(scored("before"), scored("after")), "tied": tied})
+    choice = F.when(F.col("lead_row"), F.struct(F.col("m_id").alias("id"), F.col("best.id").alias("pick"), F.col("tied").alias("tied")))
+    chosen = chosen.withColumns({"left_pick": F.when(F.col("m_side") == 0, choice),
+                                 "right_pick": F.when(F.col("m_side") == 1, choice)})
 
     def pick(backward: bool) -> Column:
-        return F.when(F.col("side") == 0, _look("right_pick", keys, backward)).otherwise(
+        return F.when(F.col("m_side") == 0, _look("right_pick", keys, backward)).otherwise(
             _look("left_pick", keys, backward))
 
     agreed = chosen.withColumns({"pick_before": pick(True), "pick_after": pick(False)})
-    partner = F.when(F.col("pick_before.id") == F.col("best.id"), F.col("pick_before.pick")).when(
-        F.col("pick_after.id") == F.col("best.id"), F.col("pick_after.pick"))
-    return (agreed.filter("_own and best is not null")
-            .withColumn("paired", F.coalesce(F.col("lead_row") & (partner == F.col("id")), F.lit(False)))
-            .select(*keys, "pos", "side", "ord", "id", "best", "paired"))
+    partner = F.when(F.col("pick_before.id") == F.col("best.id"), F.col("pick_before")).when(
+        F.col("pick_after.id") == F.col("best.id"), F.col("pick_after"))
+    agreed = agreed.withColumn("partner", partner).filter("_own and best is not null")
+    paired = F.coalesce(F.col("lead_row") & (F.col("partner.pick") == F.col("m_id")), F.lit(False))
+    return agreed.withColumns({"paired": paired, "clear": ~F.col("tied") & ~F.col("partner.tied"),
+                               "partner_pos": F.when(F.col("best.id") == F.col("before.id"), F.col("before.pos")).otherwise(
+                                   F.col("after.pos"))}).select(
+        *keys, "m_pos", "m_side", "m_ord", "m_id", "best", "paired", "clear", "rank", "partner_pos")
+
+
+def _group_pairs(decided: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Where two groups of equal positions chose each other without a tie, their rows pair up in order."""
+    links = decided.filter("paired and clear and m_side = 0").select(
+        *keys, "m_pos", "partner_pos", F.col("best.gap").alias("distance"))
+    waiting = decided.filter("rank > 1").select(*keys, "m_pos", "m_side", "m_id", "rank")
+    left = waiting.filter("m_side = 0").drop("m_side").join(links, [*keys, "m_pos"])
+    right = waiting.filter("m_side = 1").select(*keys, F.col("m_pos").alias("partner_pos"), "rank", F.col("m_id").alias("other"))
+    return left.join(right, [*keys, "partner_pos", "rank"]).select(*keys, "m_id", "other", "m_pos", "distance")
 
 
 def match_events(truth: DataFrame, pred: DataFrame, tol: int = params.MATCH_TOLERANCE, *,
@@ -85,19 +102,32 @@ def match_events(truth: DataFrame, pred: DataFrame, tol: int = params.MATCH_TOLE
     width = width or max(64 * tol, 1)
 
     def side(df, code, ident, order):
-        return df.select(*keys, F.col(pos).cast("bigint").alias("pos"), F.lit(code).alias("side"),
-                         F.col(order or ident).cast("bigint").alias("ord"), F.col(ident).cast("bigint").alias("id"))
+        return df.select(*keys, F.col(pos).cast("bigint").alias("m_pos"), F.lit(code).alias("m_side"),
+                         F.col(order or ident).cast("bigint").alias("m_ord"), F.col(ident).cast("bigint").alias("m_id"))
 
     rest = side(truth, 0, truth_id, truth_order).unionByName(side(pred, 1, pred_id, pred_order))
+    names = [*keys, truth_id, pred_id, "truth_pos", "distance"]
     found = []
     while True:
         decided = cut_lineage(_mutual_round(rest, keys, tol, width))
-        found.append(decided.filter("paired and side = 0").select(
-            *keys, F.col("id").alias(truth_id), F.col("best.id").alias(pred_id), F.col("pos").alias("truth_pos"),
-            F.col("best.gap").alias("distance")))
-        rest = decided.filter("not paired").select(*keys, "pos", "side", "ord", "id")
-        if decided.filter("paired").isEmpty() or rest.isEmpty():
+        state = decided.agg(F.count_if("paired").alias("paired"), F.count_if(F.col("rank") > 1).alias("grouped"),
+                            F.count_if(~F.col("paired")).alias("rest")).first()
+        if state["paired"] == 0:
             break
+        found.append(decided.filter("paired and m_side = 0").select(
+            *keys, "m_id", "best.id", "m_pos", "best.gap").toDF(*names))
+        rest = decided.filter("not paired")
+        if state["grouped"]:
+            grouped = cut_lineage(_group_pairs(decided, keys))
+            found.append(grouped.toDF(*names))
+            gone = grouped.select(F.lit(0).alias("m_side"), "m_id").unionByName(
+                grouped.select(F.lit(1).alias("m_side"), F.col("other").alias("m_id")))
+            rest = rest.join(gone, ["m_side", "m_id"], "left_anti")
+        rest = rest.select(*keys, "m_pos", "m_side", "m_ord", "m_id")
+        if state["rest"] == 0:
+            break
+    if not found:
+        found = [decided.limit(0).select(*keys, "m_id", "best.id", "m_pos", "best.gap").toDF(*names)]
     pairs = found[0]
     for more in found[1:]:
         pairs = pairs.unionByName(more)
