@@ -83,8 +83,8 @@ def _per_block(chunks: DataFrame, fft: int, hop: int, block_frames: int, schema:
         start, samples = _joined(pieces)
         index, frames = _frames((int(number) + 1) * block, start, samples, fft, hop)
         spectrum = np.fft.rfft(frames * np.hanning(fft)[None, :, None], axis=1)
-        out = {"session_id": [session] * len(index), "frame_idx": index, "start_sample": index * hop}
-        out.update({name: list(values) for name, values in work(spectrum).items()})
+        out = {"session_id": pd.Series([session] * len(index), dtype=object), "frame_idx": index, "start_sample": index * hop}
+        out.update({name: pd.Series(list(values), dtype=object) for name, values in work(spectrum).items()})
         return pd.DataFrame(out)
     pieces = blocks_of(chunks, block, max(fft - hop, 0))
     return pieces.groupBy("session_id", "block").applyInPandas(run, schema.format(key=key))
@@ -134,7 +134,7 @@ def onset_features(mel: DataFrame, gain_db: float = 0.0, block_frames: int = 512
     pair = F.arrays_zip("left_mel", "right_mel", "cross_re", "cross_im")
     level = F.transform("energy", s.power_db)
     planes = F.array(
-        F.zip_with("energy", "smooth", s.pcen), level,
+        F.zip_with("energy", "smooth", lambda e, m: s.pcen(e, m)), level,
         F.zip_with("left_mel", "right_mel", s.level_difference),
         F.transform(pair, lambda p: s.coherence(p["cross_re"], p["left_mel"], p["right_mel"])),
         F.transform(pair, lambda p: s.coherence(p["cross_im"], p["left_mel"], p["right_mel"])))
@@ -150,7 +150,7 @@ def pcen_features(mel: DataFrame, gain_db: float = 0.0, block_frames: int = 512)
     gain = 10.0 ** (gain_db / 10.0)
     rows = mel.select("session_id", "frame_idx", F.zip_with("left_mel", "right_mel", lambda a, b: (a + b) * (0.5 * gain)).alias("energy"))
     smooth = exponential_smooth(rows, ["session_id"], "frame_idx", [], block_frames, "energy", params.PCEN_SMOOTHING, "smooth")
-    return smooth.select("session_id", "frame_idx", F.zip_with("energy", "smooth", s.pcen).alias("pcen"),
+    return smooth.select("session_id", "frame_idx", F.zip_with("energy", "smooth", lambda e, m: s.pcen(e, m)).alias("pcen"),
                          F.transform("energy", s.power_db).alias("level_db"))
 
 
@@ -225,7 +225,7 @@ def extract_windows(chunks: DataFrame, windows: DataFrame, block: int = 65_536,
         F.array_sort(F.collect_list(F.struct(lo.alias("at"), cut("left").alias("left"), cut("right").alias("right")))).alias("parts"),
         F.sum(hi - lo).alias("got"))
     full = parts.filter("got = window_frames").select("session_id", *keep, *[
-        F.flatten(F.transform("parts", lambda p, n=name: p[n])).alias(name) for name in ("left", "right")])
+        F.flatten(F.col(f"parts.{name}")).alias(name) for name in ("left", "right")])
     return windows.join(full, ["session_id", *keep], "left")
 
 

@@ -103,21 +103,24 @@ def onset_features(spark, sf_dir):
                        (F.round("z.p2", 5) + 0.0).alias("ild"), (F.round("z.p3", 5) + 0.0).alias("coh_re"), (F.round("z.p4", 5) + 0.0).alias("coh_im"))
 
 
+SLOW, QUICK = 2.0 / 21.0, 1.0 / 3.0
+
+
 def ema_sql(weight, column="value"):
     return f"""ema AS (SELECT session_id, idx, CAST({column} AS DOUBLE) AS y FROM signal WHERE idx = 0
   UNION ALL SELECT n.session_id, n.idx, (1 - CAST({weight!r} AS DOUBLE)) * p.y + CAST({weight!r} AS DOUBLE) * n.{column}
   FROM ema p JOIN signal n ON n.session_id = p.session_id AND n.idx = p.idx + 1)"""
 
 
-@query("ema", v.sql("SELECT session_id, idx, round(y, 6) AS y FROM ema", *SIG, extra=ema_sql(0.1)))
+@query("ema", v.sql("SELECT session_id, idx, round(y, 6) AS y FROM ema", *SIG, extra=ema_sql(SLOW)))
 def ema(spark, sf_dir):
-    rows = smoothing.exponential_smooth(signal(spark, sf_dir), TRACE_KEYS, "idx", [], 16, "value", 0.1, "y")
+    rows = smoothing.exponential_smooth(signal(spark, sf_dir), TRACE_KEYS, "idx", [], 16, "value", SLOW, "y")
     return rows.select("session_id", "idx", F.round("y", 6).alias("y"))
 
 
-@query("one_pole", v.sql("SELECT session_id, idx, round(y, 6) AS y FROM ema", *SIG, extra=ema_sql(0.35, "other")))
+@query("one_pole", v.sql("SELECT session_id, idx, round(y, 6) AS y FROM ema", *SIG, extra=ema_sql(QUICK, "other")))
 def one_pole(spark, sf_dir):
-    rows = smoothing.one_pole(signal(spark, sf_dir), TRACE_KEYS, "idx", [], 16, "other", 0.35, "y")
+    rows = smoothing.one_pole(signal(spark, sf_dir), TRACE_KEYS, "idx", [], 16, "other", QUICK, "y")
     return rows.select("session_id", "idx", F.round("y", 6).alias("y"))
 
 
@@ -247,9 +250,9 @@ def mirror_augment(spark, sf_dir):
     return flat.select("clip_id", F.col("p").cast("bigint").alias("p"), F.round(F.col("v")[0], 6).alias("plane"), F.round(F.col("t")[0], 6).alias("x"), F.round(F.col("t")[1], 6).alias("y"))
 
 
-@query("resample_linear", v.sql("""SELECT session_id, j AS out_idx, round(a.value + (coalesce(b.value, a.value) - a.value) * (j * 2 / CAST(3 AS DOUBLE) - a.idx), 5) AS value
-  FROM sizes z, LATERAL (SELECT unnest(range(0, CAST(ceil(z.n * 3 / CAST(2 AS DOUBLE)) AS BIGINT))) AS j) o
-  JOIN signal a USING (session_id) LEFT JOIN signal b ON b.session_id = a.session_id AND b.idx = a.idx + 1 WHERE a.idx = (o.j * 2) // 3""", *SIG))
+@query("resample_linear", v.sql("""SELECT a.session_id, o.j AS out_idx, round(a.value + (coalesce(b.value, a.value) - a.value) * (o.j * 2 / CAST(3 AS DOUBLE) - a.idx), 5) AS value
+  FROM (SELECT session_id, unnest(range(0, CAST(ceil(n * 3 / CAST(2 AS DOUBLE)) AS BIGINT))) AS j FROM sizes) o
+  JOIN signal a ON a.session_id = o.session_id AND a.idx = (o.j * 2) // 3 LEFT JOIN signal b ON b.session_id = a.session_id AND b.idx = a.idx + 1""", *SIG))
 def resample_linear(spark, sf_dir):
     rows = signal(spark, sf_dir).select("session_id", "idx", "value")
     return features.resample_linear(rows, 2, 3, "session_id", "idx", "value", 32).withColumn("value", F.round("value", 5))
