@@ -18,6 +18,7 @@ from soundlake import params
 from soundlake.functions import geometry as g
 from soundlake.operators.metrics import f1, ratio
 from soundlake.operators.quantiles import exact_quantile
+from soundlake.session import cut_lineage
 
 ANGLE_SLICE = 0.05     # degrees per sorted slice when taking exact quantiles of errors
 
@@ -160,16 +161,18 @@ BEST_ASSIGNMENT = """array_min(transform(options, (pairing, i) -> named_struct(
   'total', aggregate(pairing, 0D, (total, m) -> total + err[m.p][m.t]), 'ord', i, 'pairing', pairing))).pairing"""
 
 
+MATCH = """named_struct('error', err[m.p][m.t],
+  'elevation_error', abs(p[m.p].elevation - degrees(atan2(t[m.t].y, hypot(t[m.t].x, t[m.t].z)))),
+  'confidence', p[m.p].confidence)"""
+
+
 def assign_directions(scenes: DataFrame, classes: int, keep: Sequence[str] = ("scene_id",)) -> DataFrame:
     """The injective assignment of least total error per class (the first one among equals):
     error, elevation error and confidence of each matched pair."""
     best = class_pairs(scenes, classes).withColumn("best", F.expr(BEST_ASSIGNMENT))
     rows = best.select(*keep, "cls", "p", "t", "err", F.explode("best").alias("m"))
-    return rows.select(
-        *keep, "cls", F.col("m.p").alias("prediction"), F.col("m.t").alias("truth"),
-        F.expr("err[m.p][m.t]").alias("error"),
-        F.expr("abs(p[m.p].elevation - degrees(atan2(t[m.t].y, hypot(t[m.t].x, t[m.t].z))))").alias("elevation_error"),
-        F.expr("p[m.p].confidence").alias("confidence"))
+    return rows.select(*keep, "cls", F.col("m.p").alias("prediction"), F.col("m.t").alias("truth"),
+                       F.expr(MATCH).alias("x")).select(*keep, "cls", "prediction", "truth", "x.*")
 
 
 def count_within(cutoff: float) -> Column:
@@ -201,7 +204,11 @@ def direction_metrics(scenes: DataFrame, classes: int, *, id_col: str = "scene_i
     where present, ``room``, ``capture_session``, ``profile``)."""
     c = F.col
     is_close = c("stratum") == close
-    within = scene_outcomes(scenes, classes, []).agg(
+    # One pass decodes and assigns; the report reads the written outcomes.
+    outcomes = cut_lineage(class_pairs(scenes, classes).withColumn("best", F.expr(BEST_ASSIGNMENT)).select(
+        id_col, "stratum", count_within(20.0).alias("w20"), count_within(30.0).alias("w30"),
+        F.expr(f"transform(best, m -> {MATCH})").alias("matches")))
+    within = outcomes.agg(
         F.coalesce(F.sum("w20"), F.lit(0)).alias("w20"), F.coalesce(F.sum("w30"), F.lit(0)).alias("w30"))
     exact = F.size("sources") == F.size("truths")
 
@@ -225,7 +232,7 @@ def direction_metrics(scenes: DataFrame, classes: int, *, id_col: str = "scene_i
         mean_if(is_close, exact).alias("close_exact"),
         F.coalesce(F.sum(F.size("sources")), F.lit(0)).alias("_pred"),
         F.coalesce(F.sum(F.size("truths")), F.lit(0)).alias("_truth"))
-    matches = assign_directions(scenes, classes, keep=(id_col, "stratum"))
+    matches = outcomes.select(id_col, "stratum", F.explode("matches").alias("m")).select(id_col, "stratum", "m.*")
     strong = c("confidence") >= 0.8
     counts = matches.agg(F.count_if(strong).alias("_strong"), F.count_if(strong & (c("error") > 45.0)).alias("_bad"))
     error = exact_quantile(matches, "error", {"median_error": 0.5, "p90_error": 0.9}, ANGLE_SLICE)

@@ -7,10 +7,11 @@ so a task sees one block plus one frame length and a long recording is spread ov
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,6 +20,7 @@ from soundlake import params
 from soundlake.functions import scalar as s
 from soundlake.operators.ordered import edge_window, ordinal, running
 from soundlake.operators.smoothing import exponential_smooth, instantaneous_activity
+from soundlake.session import cut_lineage
 
 
 def mel_filterbank(rate: int = params.SAMPLE_RATE, fft: int = params.FFT_SIZE, bands: int = params.MEL_BINS,
@@ -45,24 +47,11 @@ def blocks_of(chunks: DataFrame, block: int, tail: int, extra: Sequence[str] = (
                                             cut("left").alias("left"), cut("right").alias("right"))
 
 
-def _joined(pieces: pd.DataFrame) -> tuple[int, np.ndarray]:
-    """Start and [samples, 2] of the contiguous run a block begins with."""
-    pieces = pieces.sort_values("piece_start")
-    start = int(pieces["piece_start"].iloc[0])
-    parts, at = [], start
-    for begin, left, right in zip(pieces["piece_start"], pieces["left"], pieces["right"]):
-        if begin != at:
-            raise ValueError("chunks of one recording must be consecutive")
-        parts.append(np.stack([left, right], axis=1))
-        at += len(left)
-    return start, np.concatenate(parts).astype(np.float64)
-
-
 def _frames(block: int, start: int, samples: np.ndarray, fft: int, hop: int) -> tuple[np.ndarray, np.ndarray]:
     """Frame numbers that start inside the block and fit, and their samples [frame, fft, 2]."""
-    return_first = -(-start // hop)
-    count = (start + len(samples) - fft) // hop - return_first + 1
-    numbers = return_first + np.arange(max(count, 0))
+    first = -(-start // hop)
+    count = (start + len(samples) - fft) // hop - first + 1
+    numbers = first + np.arange(max(count, 0))
     numbers = numbers[numbers * hop < block]
     index = (numbers * hop - start)[:, None] + np.arange(fft)[None, :]
     return numbers, samples[index] if len(numbers) else np.zeros((0, fft, 2))
@@ -74,20 +63,70 @@ MEL_SCHEMA = ("session_id {key}, frame_idx bigint, start_sample bigint, left_mel
               "cross_re array<double>, cross_im array<double>")
 
 
+FRAMES_PER_BATCH = 4096
+
+
+def _list_column(rows: np.ndarray) -> pa.Array:
+    offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(rows).reshape(-1)))
+
+
 def _per_block(chunks: DataFrame, fft: int, hop: int, block_frames: int, schema: str, work) -> DataFrame:
+    """Frame every block and hand ``work`` the spectra of many frames at a time.
+
+    Pieces arrive sorted, so a task holds one block of samples and one batch of frames.
+    """
     block = block_frames * hop
     key = chunks.schema["session_id"].dataType.simpleString()
-
-    def run(group, pieces: pd.DataFrame) -> pd.DataFrame:
-        session, number = group
-        start, samples = _joined(pieces)
-        index, frames = _frames((int(number) + 1) * block, start, samples, fft, hop)
-        spectrum = np.fft.rfft(frames * np.hanning(fft)[None, :, None], axis=1)
-        out = {"session_id": pd.Series([session] * len(index), dtype=object), "frame_idx": index, "start_sample": index * hop}
-        out.update({name: pd.Series(list(values), dtype=object) for name, values in work(spectrum).items()})
-        return pd.DataFrame(out)
+    window = np.hanning(fft)[None, :, None]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ready, waiting, current, begin, parts = [], 0, None, 0, []
+        key_type = None
+
+        def close():
+            samples = np.concatenate(parts)
+            index, frames = _frames((current[1] + 1) * block, begin, samples, fft, hop)
+            if len(index):
+                ready.append((current[0], index, frames))
+            return len(index)
+
+        def emit():
+            index = np.concatenate([r[1] for r in ready])
+            spectrum = np.fft.rfft(np.concatenate([r[2] for r in ready]) * window, axis=1)
+            sessions = pa.array([r[0] for r in ready for _ in r[1]], type=key_type)
+            columns = {"session_id": sessions, "frame_idx": pa.array(index), "start_sample": pa.array(index * hop)}
+            columns.update({name: _list_column(values) for name, values in work(spectrum).items()})
+            ready.clear()
+            return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+        for batch in batches:
+            key_type = batch.column("session_id").type
+            keys = zip(batch.column("session_id").to_pylist(), batch.column("block").to_pylist())
+            starts = batch.column("piece_start").to_pylist()
+            sides = [(c.offsets.to_numpy(), c.values.cast(pa.float64()).to_numpy(zero_copy_only=False))
+                     for c in (batch.column("left"), batch.column("right"))]
+            for i, group in enumerate(keys):
+                if group != current:
+                    if current is not None:
+                        waiting += close()
+                    current, begin, parts = group, starts[i], []
+                    at = begin
+                if starts[i] != at:
+                    raise ValueError("chunks of one recording must be consecutive")
+                piece = np.stack([values[offsets[i]:offsets[i + 1]] for offsets, values in sides], axis=1)
+                parts.append(piece)
+                at += len(piece)
+                if waiting >= FRAMES_PER_BATCH:
+                    yield emit()
+                    waiting = 0
+        if current is not None:
+            close()
+        if ready:
+            yield emit()
     pieces = blocks_of(chunks, block, max(fft - hop, 0))
-    return pieces.groupBy("session_id", "block").applyInPandas(run, schema.format(key=key))
+    ordered = pieces.repartition("session_id", "block").sortWithinPartitions("session_id", "block", "piece_start")
+    return ordered.mapInArrow(run, schema.format(key=key))
 
 
 def stft(chunks: DataFrame, fft: int = params.FFT_SIZE, hop: int = params.HOP_SIZE, block_frames: int = 512) -> DataFrame:
@@ -129,26 +168,30 @@ def onset_features(mel: DataFrame, gain_db: float = 0.0, block_frames: int = 512
     A gain acts on the energies, so features at several gains come from one mel table.
     """
     gain = 10.0 ** (gain_db / 10.0)
-    rows = mel.withColumn("energy", F.zip_with("left_mel", "right_mel", lambda a, b: (a + b) * (0.5 * gain)))
-    smooth = exponential_smooth(rows, ["session_id"], "frame_idx", [], block_frames, "energy", params.PCEN_SMOOTHING, "smooth")
-    pair = F.arrays_zip("left_mel", "right_mel", "cross_re", "cross_im")
+    energy = F.zip_with("left_mel", "right_mel", lambda a, b: (a + b) * (0.5 * gain))
+    # The mel rows are read by the summary and the replay of the smoothing: computed once, kept as a table.
+    rows = cut_lineage(mel).withColumn("energy", energy)
     level = F.transform("energy", s.power_db)
+    mean_db = F.aggregate(level, F.lit(0.0), lambda a, x: a + x) / F.size("energy")
+    # Band energies and activity are smoothed together, each with its own weight.
+    rows = rows.withColumn("_x", F.concat("energy", F.array(instantaneous_activity(mean_db))))
+    weights = (params.PCEN_SMOOTHING, 2.0 / (max(1, activity_frames) + 1.0))
+    smooth = exponential_smooth(rows.drop("energy"), ["session_id"], "frame_idx", [], block_frames, "_x", weights, "_y")
+    smooth = smooth.withColumns({"energy": energy, "smooth": F.slice("_y", 1, F.size("_y") - 1)})
+    pair = F.arrays_zip("left_mel", "right_mel", "cross_re", "cross_im")
     planes = F.array(
-        F.zip_with("energy", "smooth", lambda e, m: s.pcen(e, m)), level,
+        F.zip_with("energy", "smooth", lambda e, m: s.pcen(e, m)), F.transform("energy", s.power_db),
         F.zip_with("left_mel", "right_mel", s.level_difference),
         F.transform(pair, lambda p: s.coherence(p["cross_re"], p["left_mel"], p["right_mel"])),
         F.transform(pair, lambda p: s.coherence(p["cross_im"], p["left_mel"], p["right_mel"])))
-    mean_db = F.aggregate(level, F.lit(0.0), lambda a, x: a + x) / F.size("energy")
-    out = smooth.select("session_id", "frame_idx", "start_sample", (F.col("start_sample") + fft).alias("end_sample"),
-                        planes.alias("planes"), instantaneous_activity(mean_db).alias("_instant"))
-    return exponential_smooth(out, ["session_id"], "frame_idx", [], block_frames, "_instant",
-                              2.0 / (max(1, activity_frames) + 1.0), "activity").drop("_instant")
+    return smooth.select("session_id", "frame_idx", "start_sample", (F.col("start_sample") + fft).alias("end_sample"),
+                         planes.alias("planes"), F.element_at("_y", -1).alias("activity"))
 
 
 def pcen_features(mel: DataFrame, gain_db: float = 0.0, block_frames: int = 512) -> DataFrame:
     """[PCEN, level] per frame from the mean channel energy."""
     gain = 10.0 ** (gain_db / 10.0)
-    rows = mel.select("session_id", "frame_idx", F.zip_with("left_mel", "right_mel", lambda a, b: (a + b) * (0.5 * gain)).alias("energy"))
+    rows = cut_lineage(mel).select("session_id", "frame_idx", F.zip_with("left_mel", "right_mel", lambda a, b: (a + b) * (0.5 * gain)).alias("energy"))
     smooth = exponential_smooth(rows, ["session_id"], "frame_idx", [], block_frames, "energy", params.PCEN_SMOOTHING, "smooth")
     return smooth.select("session_id", "frame_idx", F.zip_with("energy", "smooth", lambda e, m: s.pcen(e, m)).alias("pcen"),
                          F.transform("energy", s.power_db).alias("level_db"))

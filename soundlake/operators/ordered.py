@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from soundlake.session import cut_lineage
+
 SLICE = "_slice"
 
 
@@ -92,6 +94,22 @@ def ordinal(df: DataFrame, keys: Sequence[str], pos: str, ties: Sequence[str], w
             .withColumn(out, F.col(out) - 1).drop("_one"))
 
 
+def sorted_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
+    """0-based place of every row in the total order.
+
+    Rows are range-partitioned and sorted once and written as a table, which fixes the partitions; the place
+    is the row's number in its partition plus the sizes of the earlier ones (one row per partition).
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    fixed = cut_lineage(ranged.withColumn("_m", F.monotonically_increasing_id()))
+    fixed = fixed.withColumn("_part", F.shiftright("_m", 33))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).select(
+        "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    local = F.col("_m") - F.shiftleft(F.col("_part"), 33)
+    return fixed.join(F.broadcast(sizes), "_part").withColumn(out, F.col("_before") + local).drop("_m", "_part", "_before")
+
+
 def with_halo(df: DataFrame, pos: str, width: int, back: int, ahead: int) -> DataFrame:
     """Copy each row into every slice that needs it: its own and those starting within ``ahead`` after
     it or ending within ``back`` before it.  ``_own`` marks the original."""

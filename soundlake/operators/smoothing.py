@@ -14,7 +14,7 @@ from soundlake import params
 from soundlake.operators.ordered import SLICE, add_slice, edge_window
 
 
-def _advance(values: np.ndarray, start, keep: float) -> np.ndarray:
+def _advance(values: np.ndarray, start, keep) -> np.ndarray:
     out = np.empty_like(values)
     state = start
     for i in range(len(values)):
@@ -42,19 +42,25 @@ def _values(run: pd.DataFrame, column: str, vector: bool) -> np.ndarray:
 
 
 def exponential_smooth(df: DataFrame, keys: Sequence[str], pos: str, ties: Sequence[str], width: int,
-                       column: str, weight: float, out: str) -> DataFrame:
-    """y0 = x0, then y = (1 - w) * y + w * x, per key in order; scalar or array column.
+                       column: str, weight: float | tuple[float, float], out: str) -> DataFrame:
+    """y0 = x0, then y = (1 - w) * y + w * x, per key in order; scalar or array column.  A pair of weights
+    is for arrays: the second one applies to the last element, the first to the others.
 
     The recursion is affine, so a slice maps the value on entry to ``keep^n * entry + b``.  Slices report
     (n, b), the per-key fold runs over those summaries, and each slice then replays from its entry value.
     """
-    keys, keep = list(keys), 1.0 - weight
+    keys = list(keys)
     vector = isinstance(df.schema[column].dataType, T.ArrayType)
     value_type = T.ArrayType(T.DoubleType()) if vector else T.DoubleType()
     by, order = [*keys, SLICE], [pos, *ties]
     key_fields = [df.schema[k] for k in keys]
     ordered = add_slice(df, pos, width).repartition(*by).sortWithinPartitions(*by, *order)
 
+    def kept(values: np.ndarray):
+        if not isinstance(weight, tuple):
+            return 1.0 - weight
+        return 1.0 - np.r_[np.full(values.shape[-1] - 1, weight[0]), weight[1]]
+
     def plain(x):
         return x.tolist() if vector else float(x)
 
@@ -69,7 +75,7 @@ def exponential_smooth(df: DataFrame, keys: Sequence[str], pos: str, ties: Seque
                         done.append((*current, count, plain(first), plain(total)))
                     current, count, first, total = group, 0, values[0], np.zeros_like(values[0])
                 count += len(values)
-                total = _advance(values, total, keep)[-1]
+                total = _advance(values, total, kept(values))[-1]
             if done:
                 yield pd.DataFrame(done, columns=[*by, "n", "first", "b"])
         if current is not None:
@@ -85,7 +91,7 @@ def exponential_smooth(df: DataFrame, keys: Sequence[str], pos: str, ties: Seque
                 for piece, n, first, b in zip(run[SLICE], run["n"], run["first"], run["b"]):
                     entry = np.asarray(first if state is None else state, dtype=np.float64)
                     done.append((*group, piece, plain(entry)))
-                    state = keep ** n * entry + np.asarray(b, dtype=np.float64)
+                    state = kept(entry) ** n * entry + np.asarray(b, dtype=np.float64)
             if done:
                 yield pd.DataFrame(done, columns=[*by, "entry"])
 
@@ -99,9 +105,10 @@ def exponential_smooth(df: DataFrame, keys: Sequence[str], pos: str, ties: Seque
                 if group != current:
                     current = group
                     state = np.asarray(run["entry"].iloc[0], dtype=np.float64)
-                smooth = _advance(_values(run, column, vector), state, keep)
+                values = _values(run, column, vector)
+                smooth = _advance(values, state, kept(values))
                 state = smooth[-1]
-                results.extend(smooth.tolist())
+                results.extend(list(smooth) if vector else smooth.tolist())
             yield batch[names].assign(**{out: results})
 
     summary = ordered.select(*by, *order, column).mapInPandas(summarize, T.StructType([
