@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from soundlake.functions import scalar as s
 from soundlake.operators import corpus, validation
+from soundlake.operators.ordered import sorted_index
 from soundlake.plans import views as v
 from soundlake.plans.q_matching import rounded
 from soundlake.plans.registry import query
@@ -76,17 +77,9 @@ def grouped_split(spark, sf_dir):
 @query("manifest_order", v.sql("""SELECT row_number() OVER (ORDER BY split, training_label, relative_path) AS line, relative_path
   FROM split""", "assets", "split"))
 def manifest_order(spark, sf_dir):
-    """Position in the sorted manifest, from per-slice counts rather than one sorted partition."""
-    from soundlake.operators.ordered import ordinal
-    rows = corpus.grouped_split(assets(spark, sf_dir), classes=LANGS)
-    # slices in sort order: split, label, then the first two characters of the path
-    place = (F.when(F.col("split") == "dev", 0).when(F.col("split") == "test", 1).otherwise(2) * 10
-             + F.when(F.col("training_label") == "en", 0).when(F.col("training_label") == "fr", 1).otherwise(2))
-    place = (place * 65536 + F.least(F.lit(255), F.ascii("relative_path")) * 256
-             + F.least(F.lit(255), F.ascii(F.substring("relative_path", 2, 1))))
-    rows = rows.withColumn("_place", place.cast("bigint"))
-    return ordinal(rows, [], "_place", ["split", "training_label", "relative_path"], 1, "_n").select(
-        (F.col("_n") + 1).alias("line"), "relative_path")
+    """Position in the sorted manifest."""
+    rows = corpus.grouped_split(assets(spark, sf_dir), classes=LANGS).select("split", "training_label", "relative_path")
+    return sorted_index(rows, ["split", "training_label", "relative_path"], "_n").select((F.col("_n") + 1).alias("line"), "relative_path")
 
 
 @query("leakage_check", v.sql("""SELECT 'content' AS kind, sha256 AS item FROM bad GROUP BY sha256 HAVING count(DISTINCT split) > 1

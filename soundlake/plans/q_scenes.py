@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from soundlake.functions import scalar as s
 from soundlake.operators import peaks, scenes, streams
+from soundlake.operators.ordered import ordinal
 from soundlake.plans import views as v
 from soundlake.plans.q_events import CUTOFF, events as found_events
 from soundlake.plans.registry import query
@@ -110,6 +111,14 @@ def suppressed_not_published(spark, sf_dir):
                                           F.count_if(~F.col("suppressed")).alias("published"))
 
 
+@query("event_order", v.sql("""SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY detected_sample, class, event_id) AS place
+  FROM labelled""", "ev", "labelled"))
+def event_order(spark, sf_dir):
+    """Place of each event in its session by (detected, class)."""
+    rows = ordinal(v.labelled(spark, sf_dir), ["session_id"], "detected_sample", ["class", "event_id"], v.WIDTH, "_n")
+    return rows.select("session_id", "event_id", (F.col("_n") + 1).alias("place"))
+
+
 # --- block streams -------------------------------------------------------------------------------------
 
 BLOCK = 720

@@ -23,7 +23,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(
         F.col("user_id").alias("session_id"), F.col("event_type").alias("class"),
-        F.expr(f"unix_micros(cast(ts as timestamp)) div 60000000 - {BASE}").alias("sample"),
+        # the column has no zone: take its wall clock, whatever the session's zone is
+        F.expr("unix_micros(from_utc_timestamp(cast(ts as timestamp), current_timezone())) div 60000000 "
+               f"- {BASE}").alias("sample"),
         "event_id", "value", F.get_json_object("props", "$.k").cast("int").alias("k"))
 
 
