@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundlake import params
 from soundlake.operators import matching
-from soundlake.operators.ordered import edge_window
+from soundlake.operators.ordered import edge_window, sorted_index
 
 
 def wilson_interval(hits: Column, total: Column, z: float = params.WILSON_Z) -> tuple[Column, Column]:
@@ -234,20 +234,9 @@ def class_support(truth: DataFrame, classes: Sequence[str]) -> DataFrame:
     return class_domain(truth.sparkSession, classes).join(sums, "class", "left").fillna(0, ["remote", "self"])
 
 
-def session_offsets(sessions: DataFrame, length: str = "length", name: str = "session_id", slices: int = 64
-                    ) -> DataFrame:
-    """Total length of the sessions before each one in name order: running sum of name-range totals,
-    then inside each range."""
-    prefix = F.substring(F.col(name).cast("string"), 1, 6) if dict(sessions.dtypes)[name] == "string" else (
-        F.floor(F.col(name) / slices))
-    rows = sessions.withColumn("_part", prefix)
-    inside = Window.partitionBy("_part").orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
-    parts = rows.groupBy("_part").agg(F.sum(length).alias("_total"))
-    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    carry = parts.select("_part", F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_carry"))
-    local = rows.withColumn("_local", F.coalesce(F.sum(length).over(inside), F.lit(0)))
-    return (local.join(carry, "_part").withColumn("offset", F.col("_carry") + F.col("_local"))
-            .drop("_part", "_carry", "_local"))
+def session_offsets(sessions: DataFrame, length: str = "length", name: str = "session_id") -> DataFrame:
+    """Total length of the sessions before each one in name order."""
+    return sorted_index(sessions, [name], "offset", size=length)
 
 
 def shift_positions(rows: DataFrame, offsets: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -94,8 +94,8 @@ def ordinal(df: DataFrame, keys: Sequence[str], pos: str, ties: Sequence[str], w
             .withColumn(out, F.col(out) - 1).drop("_one"))
 
 
-def sorted_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
-    """0-based place of every row in the total order.
+def sorted_index(df: DataFrame, order: Sequence[str], out: str, size: str | None = None) -> DataFrame:
+    """0-based place of every row in the total order, or the total ``size`` of the rows before it.
 
     Rows are range-partitioned and sorted once and written as a table, which fixes the partitions; the place
     is the row's number in its partition plus the sizes of the earlier ones (one row per partition).
@@ -104,9 +104,13 @@ def sorted_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     fixed = cut_lineage(ranged.withColumn("_m", F.monotonically_increasing_id()))
     fixed = fixed.withColumn("_part", F.shiftright("_m", 33))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = fixed.groupBy("_part").agg(F.count(F.lit(1)).alias("_size")).select(
+    total = F.sum(size) if size else F.count(F.lit(1))
+    sizes = fixed.groupBy("_part").agg(total.alias("_size")).select(
         "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
     local = F.col("_m") - F.shiftleft(F.col("_part"), 33)
+    if size:
+        inside = Window.partitionBy("_part").orderBy("_m").rowsBetween(Window.unboundedPreceding, -1)
+        local = F.coalesce(F.sum(size).over(inside), F.lit(0))
     return fixed.join(F.broadcast(sizes), "_part").withColumn(out, F.col("_before") + local).drop("_m", "_part", "_before")
 
 
