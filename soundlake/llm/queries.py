@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import lines, simhash
+from soundlake.llm import lines, packing, pii, quality, simhash
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -38,3 +38,19 @@ def line_dedup(spark, sf_dir):
 def simhash_groups(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@query("op2_packing")
+def best_fit_packing(spark, sf_dir):
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query("op4_quality_classifier")
+def quality_scores(spark, sf_dir):
+    scored = quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
+@query("op10_pii")
+def private_data(spark, sf_dir):
+    return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
