@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import lines, packing, pii, quality, simhash
+from soundlake.llm import lines, packing, pii, quality, simhash, suffixes
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -54,3 +54,9 @@ def quality_scores(spark, sf_dir):
 @query("op10_pii")
 def private_data(spark, sf_dir):
     return pii.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op1_suffix_dedup")
+def repeated_strings(spark, sf_dir):
+    found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
