@@ -184,7 +184,7 @@ def place(pieces_: DataFrame, capacity: int = 1024) -> DataFrame:
     shifts = cut(salted.groupBy("length", "_salt").agg(F.count("*").alias("_n")).withColumn(
         "_shift", F.coalesce(F.sum("_n").over(shift), F.lit(0))).drop("_n"))
     inner = Window.partitionBy("length", "_salt").orderBy("doc_id", "piece", "ids_crc32")
-    ranked = salted.withColumn("_rank", F.row_number().over(inner)).join(shifts, ["length", "_salt"]).withColumn(
+    ranked = salted.withColumn("_rank", F.row_number().over(inner)).join(shifts.hint("merge"), ["length", "_salt"]).withColumn(
         "_rank", F.col("_rank") + F.col("_shift") - 1).drop("_salt", "_shift")
 
     def run(batches):

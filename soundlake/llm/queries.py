@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import lines, packing, pii, quality, simhash, suffixes
+from soundlake.llm import hmm, lines, packing, pii, quality, simhash, suffixes
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -60,3 +60,8 @@ def private_data(spark, sf_dir):
 def repeated_strings(spark, sf_dir):
     found = suffixes.remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+@query("op3_hmm_score")
+def language_scores(spark, sf_dir):
+    return hmm.score(table(spark, sf_dir, "documents"))
