@@ -23,9 +23,9 @@ from soundlake.llm.common import WORDS, byte_list, cut, partitions, remainder, t
 
 CLASSES, STATES, TAIL = 8192, 8, 4
 ADD = 0.1
-PASSES = 8
+PASSES = 6
 CELLS = 1 << 19       # tokens handled at a time
-SEGMENT = 1 << 16     # longer training texts are learned from as several sequences
+SEGMENT = 2048        # longer training texts are learned from as several sequences
 BLOCK_BYTES = 32_000_000
 END = CLASSES - 1     # the class of the end token, and of nothing else
 
@@ -84,47 +84,49 @@ def expectations(codes: list[np.ndarray], start: np.ndarray, move: np.ndarray, e
     k = len(start)
     starts, moves, likelihood = np.zeros(k), np.zeros((k, k)), 0.0
     emissions = np.zeros((emit.shape[0], k))
+    # single precision does for expected counts, as each step is scaled; they are added up in double
+    start, move, emit, ones = (x.astype(np.float32) for x in (start, move, emit, np.ones(k)))
+    turned = np.ascontiguousarray(move.T)
     for _, block, sizes in _groups(codes):
         width, many = block.shape
         shown = emit[block]  # width x many x k
-        forward, scale = np.empty((width, many, k)), np.ones((width, many))
-        alive = [int(np.searchsorted(-sizes, -t, side="left")) for t in range(width)]  # sequences longer than t: sizes fall
+        forward, scale = np.empty((width, many, k), np.float32), np.ones((width, many), np.float32)
+        alive = np.searchsorted(-sizes, -np.arange(width + 1), side="left").tolist()  # sequences longer than t: sizes fall
         for t in range(width):
             n = alive[t]
-            a = (start if t == 0 else forward[t - 1, :n] @ move) * shown[t, :n]
-            s = a.sum(axis=1)
-            scale[t, :n] = s
-            forward[t, :n] = a / s[:, None]
-        likelihood += np.log(scale).sum()
-        back = np.ones((many, k))
+            a = forward[t, :n]
+            np.multiply(start if t == 0 else forward[t - 1, :n] @ move, shown[t, :n], out=a)
+            s = np.dot(a, ones, out=scale[t, :n])
+            a /= s[:, None]
+        likelihood += np.log(scale).sum(dtype=float)
+        back = np.ones((many, k), np.float32)
+        shown /= scale[:, :, None]
         for t in range(width - 1, -1, -1):
-            n = alive[t]
-            nxt = alive[t + 1] if t + 1 < width else 0
-            if nxt:
-                carried = shown[t + 1, :nxt] * back[:nxt] / scale[t + 1, :nxt, None]
-                moves += move * (forward[t, :nxt].T @ carried)
-                back[:nxt] = carried @ move.T
-            shown_here = forward[t, :n] * back[:n]
-            forward[t, :n] = shown_here  # the posterior takes the place of the forward value, which is done with
+            n, later = alive[t], alive[t + 1]
+            if later:
+                carried = shown[t + 1, :later] * back[:later]
+                moves += forward[t, :later].T @ carried
+                np.dot(carried, turned, out=back[:later])
+            forward[t, :n] *= back[:n]  # the posterior takes the place of the forward value, which is done with
         starts += forward[0].sum(axis=0)
-        flat = block[np.arange(width)[:, None] < sizes[None, :]]
-        posterior = forward[np.arange(width)[:, None] < sizes[None, :]]
+        real = np.arange(width)[:, None] < sizes[None, :]
+        flat, posterior = block[real], forward[real].astype(float)
         for j in range(k):
             emissions[:, j] += np.bincount(flat, weights=posterior[:, j], minlength=emit.shape[0])
-    return starts, moves, emissions, likelihood
+    return starts, moves * move, emissions, likelihood
 
 
 def log_likelihoods(codes: list[np.ndarray], start: np.ndarray, move: np.ndarray, emit: np.ndarray) -> np.ndarray:
     """Natural log of each sequence's probability, by the scaled forward recursion."""
-    out = np.zeros(len(codes))
+    out, ones = np.zeros(len(codes)), np.ones(len(start))
     for which, block, sizes in _groups(codes):
         a, total = None, np.zeros(len(which))
-        for t in range(len(block)):
-            n = int(np.searchsorted(-sizes, -t, side="left"))
+        alive = np.searchsorted(-sizes, -np.arange(len(block)), side="left").tolist()
+        for t, n in enumerate(alive):
             a = (start if t == 0 else a[:n] @ move) * emit[block[t, :n]]
-            s = a.sum(axis=1)
+            s = a @ ones
             total[:n] += np.log(s)
-            a = a / s[:, None]
+            a /= s[:, None]
         out[which] = total
     return out
 
