@@ -110,7 +110,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
     key = np.zeros(n, np.int64)
     for k in range(7):  # seven symbols of nine bits
         key = (key << 9) | padded[k:k + n]
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     fresh = np.r_[True, sorted_[1:] != sorted_[:-1]]
     rank = np.zeros(n + 1, np.int64)
@@ -123,7 +123,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
             break
         rows = order[tied]
         key = (rank[rows] << 32) | rank[np.minimum(rows + known, n)]
-        again = np.argsort(key, kind="stable")
+        again = np.argsort(key)
         order[tied] = rows[again]
         key = key[again]
         fresh[tied] = np.r_[True, key[1:] != key[:-1]]
