@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import hmm, lines, packing, pii, quality, simhash, suffixes
+from soundlake.llm import graphs, hmm, lines, packing, pii, quality, simhash, suffixes
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -65,3 +65,8 @@ def repeated_strings(spark, sf_dir):
 @query("op3_hmm_score")
 def language_scores(spark, sf_dir):
     return hmm.score(table(spark, sf_dir, "documents"))
+
+
+@query("op6_hnsw_neighbours")
+def nearest_vectors(spark, sf_dir):
+    return graphs.nearest(table(spark, sf_dir, "embeddings"))

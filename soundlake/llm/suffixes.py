@@ -8,7 +8,9 @@ least twice travel, each distinct one once, with its number of occurrences.
 The contexts of an anchor come together in one task.  Many contexts at a time form one text; its suffixes are
 sorted as far as ``length`` bytes and give its transform.  Backward extension, breadth first from the empty string,
 then finds the borders between suffixes by increasing length of their common prefix and stops at ``length``: the intervals
-left are the classes of equal strings, and a class whose starts occur twice or more in all is repeated.
+left are the classes of equal strings, and a class whose starts occur twice or more in all is repeated.  An anchor with so many
+distinct contexts that one task should not hold them (mostly the edges of a passage in very many documents) has its strings
+counted one by one under 128-bit hashes instead, which no hot anchor can hold up.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from soundlake.llm.common import byte_list, cut, mix, partitions, row_key, text_
 GRAM = 32
 CHUNK = 1 << 20        # starts of a long text are handled this many at a time
 TEXT = 1 << 20         # bytes of contexts per transform, about
-CROWD = 4096           # distinct contexts of one anchor from which on its strings are dealt out one by one
+CROWD = 4096           # distinct contexts of one anchor beyond which its strings are dealt out one by one, by hash
 
 
 def _gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
@@ -214,31 +216,26 @@ def _expand(length: int):
 
 
 def _fetch(length: int):
-    """Texts with the places of wanted contexts to the contexts' bytes; crowded anchors' contexts to their single strings.
-
-    A single string is a context of one start, with its own hash as its anchor: equal strings meet, others part.
-    (oh, oc, k) is the context that a row is from, and its first start there.
-    """
+    """Texts with the places of wanted contexts to the contexts' bytes; of crowded anchors, to two hashes of each single string."""
     digest = xxhash.xxh3_64_intdigest
 
-    def signed(x):
-        return x - (1 << 64) if x >> 63 else x
-
     def run(batches):
         for batch in batches:
-            out = []
+            whole, single = [], []
             for text, wanted in zip(byte_list(batch.column(0)), batch.column(1).to_pylist()):
                 for w in wanted:
                     context = text[w["at"]:w["at"] + w["size"] + length - 1]
-                    if not w["crowded"]:
-                        out.append((w["h"], w["c"], w["size"], context, w["n"], w["h"], w["c"], -1))
-                        continue
-                    for k in range(w["size"]):
-                        one = context[k:k + length]
-                        out.append((signed(digest(one)), signed(digest(one, seed=1)), 1, one, w["n"], w["h"], w["c"], k))
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
-            columns = list(zip(*out)) or [()] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=["h", "c", "size", "context", "n", "oh", "oc", "k"])
+                    if w["crowded"]:
+                        single += [(digest(context[k:k + length]), digest(context[k:k + length], seed=1), w["n"], w["h"], w["c"], k) for k in range(w["size"])]
+                    else:
+                        whole.append((w["h"], w["c"], w["size"], context, w["n"]))
+            h, c, size, context, n = zip(*whole) if whole else [()] * 5
+            s1, s2, sn, sh, sc, sk = zip(*single) if single else [()] * 6
+            none = [None] * len(single)
+            hashes = np.array([s1, s2], np.uint64).view(np.int64)
+            columns = (pa.array([*h, *sh], pa.int64()), pa.array([*c, *sc], pa.int64()), pa.array([*size, *sk], pa.int32()), pa.array([*context, *none], pa.binary()),
+                       pa.array([*n, *sn], pa.int64()), pa.array([*[None] * len(whole), *hashes[0].tolist()], pa.int64()), pa.array([*[None] * len(whole), *hashes[1].tolist()], pa.int64()))
+            yield pa.RecordBatch.from_arrays(list(columns), names=["h", "c", "size", "context", "n", "s1", "s2"])
     return run
 
 
@@ -292,16 +289,15 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWD) ->
     texts = keyed.select("r1", "r2", "_own", "text")
     first = Window.partitionBy("r1", "r2").orderBy(F.lit(0))
     fetched = texts.join(wanted, ["r1", "r2"]).withColumn("_k", F.row_number().over(first)).where("_k = 1").select("text", "wanted").mapInArrow(
-        _fetch(length), "h long, c long, size int, context binary, n long, oh long, oc long, k int")
-    solve = lambda rows: rows.repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(
-        _expand(length), "h long, c long, runs array<struct<a:int,b:int>>")
-    runs = cut(solve(fetched.where("k < 0").select("h", "c", "size", "context", "n")))
+        _fetch(length), "h long, c long, size int, context binary, n long, s1 long, s2 long")
+    runs = cut(fetched.where("context is not null").select("h", "c", "size", "context", "n").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(
+        _expand(length), "h long, c long, runs array<struct<a:int,b:int>>"))
     if not crowd.isEmpty():
-        single = cut(fetched.where("k >= 0"))
-        merged = single.groupBy("h", "c").agg(F.first("size").alias("size"), F.first("context").alias("context"), F.sum("n").alias("n"))
-        again = cut(solve(merged).select("h", "c"))
-        hits = single.join(again, ["h", "c"]).select(F.col("oh").alias("h"), F.col("oc").alias("c"), "k")
-        runs = runs.unionByName(hits.groupBy("h", "c").agg(F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("runs")))
+        single = cut(fetched.where("context is null").select("h", "c", F.col("size").alias("k"), "n", "s1", "s2"))
+        again = cut(single.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"))
+        hits = single.join(again, ["s1", "s2"], "left_semi").groupBy("h", "c").agg(
+            F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("runs"))
+        runs = runs.unionByName(hits)
     spans = shared.select("r1", "r2", "h", "c", "at").join(runs, ["h", "c"]).dropDuplicates(["r1", "r2", "h", "c"]).groupBy("r1", "r2").agg(
         F.collect_list(F.struct("at", "runs")).alias("_spans"))
     joined = texts.join(spans, ["r1", "r2"], "left").select("_own.*", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("_text"), "_spans")
