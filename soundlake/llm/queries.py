@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import graphs, hmm, lines, packing, pii, quality, simhash, suffixes
+from soundlake.llm import graphs, hmm, lines, multiindex, packing, pii, quality, simhash, suffixes
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -70,3 +70,8 @@ def language_scores(spark, sf_dir):
 @query("op6_hnsw_neighbours")
 def nearest_vectors(spark, sf_dir):
     return graphs.nearest(table(spark, sf_dir, "embeddings"))
+
+
+@query("op9_embedding_dedup")
+def embedding_groups(spark, sf_dir):
+    return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
