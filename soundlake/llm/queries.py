@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import graphs, hmm, lines, multiindex, packing, pii, quality, simhash, suffixes
+from soundlake.llm import graphs, hmm, lines, multiindex, packing, pieces, pii, quality, simhash, suffixes
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -75,3 +75,8 @@ def nearest_vectors(spark, sf_dir):
 @query("op9_embedding_dedup")
 def embedding_groups(spark, sf_dir):
     return multiindex.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query("op7_sampled_pieces")
+def sampled_pieces(spark, sf_dir):
+    return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
