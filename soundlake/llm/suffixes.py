@@ -288,12 +288,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWD) ->
     # of rows with one key (equal rows) one gives the bytes
     texts = keyed.select("r1", "r2", "_own", "text")
     first = Window.partitionBy("r1", "r2").orderBy(F.lit(0))
-    fetched = texts.join(wanted, ["r1", "r2"]).withColumn("_k", F.row_number().over(first)).where("_k = 1").select("text", "wanted").mapInArrow(
-        _fetch(length), "h long, c long, size int, context binary, n long, s1 long, s2 long")
+    fetched = cut(texts.join(wanted, ["r1", "r2"]).withColumn("_k", F.row_number().over(first)).where("_k = 1").select("text", "wanted").mapInArrow(
+        _fetch(length), "h long, c long, size int, context binary, n long, s1 long, s2 long"))
     runs = cut(fetched.where("context is not null").select("h", "c", "size", "context", "n").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(
         _expand(length), "h long, c long, runs array<struct<a:int,b:int>>"))
     if not crowd.isEmpty():
-        single = cut(fetched.where("context is null").select("h", "c", F.col("size").alias("k"), "n", "s1", "s2"))
+        single = (fetched.where("context is null").select("h", "c", F.col("size").alias("k"), "n", "s1", "s2"))
         again = cut(single.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"))
         hits = single.join(again, ["s1", "s2"], "left_semi").groupBy("h", "c").agg(
             F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("runs"))
