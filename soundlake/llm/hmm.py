@@ -26,7 +26,7 @@ ADD = 0.1
 PASSES = 6
 CELLS = 1 << 19       # tokens handled at a time
 SEGMENT = 2048        # longer training texts are learned from as several sequences
-BLOCK_BYTES = 32_000_000
+BLOCK_BYTES = 16_000_000
 END = CLASSES - 1     # the class of the end token, and of nothing else
 
 

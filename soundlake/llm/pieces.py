@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soundlake.llm.common import mix, row_key, text_of
 
@@ -245,4 +246,4 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1
                                                  names=[*part.schema.names[:-2], "ids", "n_pieces", "lossless"])
                 at = end
 
-    return kept.mapInArrow(run, shape.add("ids", "array<int>").add("n_pieces", "long").add("lossless", "boolean"))
+    return kept.mapInArrow(run, shape.add("ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("lossless", "boolean"))
