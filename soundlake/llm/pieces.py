@@ -24,7 +24,7 @@ from soundlake.llm.common import mix, row_key, text_of
 BLANK = "▁"
 OTHER = "\udfff"  # stands for the sign itself where a text holds it: a lone surrogate is in no text and no piece
 UNIT = re.compile(f"{BLANK}+[^{BLANK}]*")
-REMEMBER = 150_000
+REMEMBER = 400_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
