@@ -93,12 +93,17 @@ def calibrate_thresholds(counts: DataFrame, ambient_limit: float = 0.1, overall_
 
 
 def calibrate_onset_offset(pairs: DataFrame, maximum: int = params.MATCH_TOLERANCE,
-                           default: int = params.FFT_SIZE // 2) -> DataFrame:
+                           default: int = params.FFT_SIZE // 2, classes: Sequence[str] | None = None) -> DataFrame:
     """Median lead of detections over labels per class, truncated and held in [0, maximum].  Differences
-    are whole and bounded by the tolerance, so the distinct values stay few."""
+    are whole and bounded by the tolerance, so the distinct values stay few.  With ``classes``, each of them has a row:
+    one without pairs gets the default."""
     median = F.percentile(F.col("pred_pos") - F.col("truth_pos"), 0.5)
     held = F.greatest(F.lit(0), F.least(F.lit(maximum), median.cast("int")))
-    return pairs.groupBy("class").agg(F.coalesce(held, F.lit(default)).cast("bigint").alias("onset_offset"))
+    found = pairs.groupBy("class").agg(held.cast("bigint").alias("onset_offset"))
+    if classes is not None:
+        wanted = pairs.sparkSession.createDataFrame([(c,) for c in classes], "class string")
+        found = wanted.join(found, "class", "left")
+    return found.withColumn("onset_offset", F.coalesce("onset_offset", F.lit(default).cast("bigint")))
 
 
 def calibrate_suppression(matched: DataFrame, grid: Sequence[float], loss_limit: float = 0.03,

@@ -82,22 +82,22 @@ def classify_path(path: Column) -> Column:
 
 
 def content_duplicates(assets: DataFrame, digest: str = "sha256", path: str = "relative_path") -> DataFrame:
-    """Later paths with the same content point to the first one.  One aggregate per content, joined back:
-    a content with very many copies is pre-aggregated and its rows stay spread."""
-    first = assets.groupBy(digest).agg(F.min(F.struct(path, "asset_id")).alias("_first"))
-    joined = assets.join(first, digest)
-    return joined.withColumn("duplicate_of", F.when(F.col(path) == F.col("_first")[path], F.lit("")).otherwise(
-        F.col("_first.asset_id"))).drop("_first")
+    """Later paths with the same content point to the first path.  One aggregate per content, joined back:
+    a content with very many copies is pre-aggregated and its rows stay spread.  Assets without a digest are no copies."""
+    first = (assets.filter(F.coalesce(digest, F.lit("")) != "").groupBy(digest)
+             .agg(F.min(path).alias("_first"), F.count(F.lit(1)).alias("_copies")).filter("_copies > 1").drop("_copies"))
+    joined = assets.join(first, digest, "left")
+    copy = F.col("_first").isNotNull() & (F.col(path) != F.col("_first"))
+    return joined.withColumn("duplicate_of", F.when(copy, F.col("_first")).otherwise(F.lit(""))).drop("_first")
 
 
 def manifest_summary(assets: DataFrame, classes: Sequence[str] = params.CLASS_NAMES) -> DataFrame:
     label = training_label(classes)
-    kept = F.col("included") & (F.coalesce("duplicate_of", F.lit("")) == "")
     return assets.agg(
         F.count(F.lit(1)).alias("total"), F.count_if(F.col("included")).alias("included"),
         F.count_if(F.coalesce("duplicate_of", F.lit("")) != "").alias("duplicates"),
         F.count_if(~F.col("review_status").isin("reviewed", "accepted")).alias("needs_review"),
-        *[F.count_if(kept & (label == name)).alias(f"count_{name}") for name in (*classes, "negative")])
+        *[F.count_if(label == name).alias(f"count_{name}") for name in (*classes, "negative")])
 
 
 def grouping_value(classes: Sequence[str]) -> Column:
@@ -145,9 +145,10 @@ def review_queue(assets: DataFrame) -> DataFrame:
     return assets.filter(F.col("review_status") == "review")
 
 
-def session_bundle(recordings: DataFrame, timeline: DataFrame, metadata: DataFrame) -> DataFrame:
-    """Sessions that have all three parts."""
-    labelled = timeline.select("session_id").distinct()
+def session_bundle(recordings: DataFrame, timelines: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Sessions that have all three parts.  ``timelines`` has the session of every label file, also of files without a
+    label: a target-free recording is a session."""
+    labelled = timelines.select("session_id").distinct()
     return recordings.join(metadata, "session_id").join(labelled, "session_id", "left_semi")
 
 

@@ -235,11 +235,18 @@ def onset_frame(onset: Column, hop: int = params.HOP_SIZE, fft: int = params.FFT
 
 def onset_targets(events: DataFrame, lengths: DataFrame, weights: Sequence[float] = params.ONSET_WEIGHTS,
                   hop: int = params.HOP_SIZE, fft: int = params.FFT_SIZE, order: str = "event_id",
-                  keys: Sequence[str] = ("session_id", "class")) -> DataFrame:
+                  keys: Sequence[str] = ("session_id", "class"), classes: Sequence[str] | None = None,
+                  sources: Sequence[str] = ("self", "remote", "unknown")) -> DataFrame:
     """Soft labels per frame and class: strongest weight; source of the last event in ``order``.
 
-    ``lengths`` gives ``frame_count`` per session.  Frames without events have no row.
+    ``lengths`` gives ``frame_count`` per session.  Frames without events have no row.  Uncertain events and, if ``classes``
+    is given, those of other classes label nothing; a source that is not in ``sources`` counts as unknown.
     """
+    if "uncertain" in events.columns:
+        events = events.filter(~F.coalesce("uncertain", F.lit(False)))
+    if classes is not None:
+        events = events.filter(F.col("class").isin(*classes))
+    events = events.withColumn("source_hint", F.when(F.col("source_hint").isin(*sources), F.col("source_hint")).otherwise("unknown"))
     steps = F.posexplode(F.array(*[F.lit(float(x)) for x in weights])).alias("_step", "_weight")
     rows = events.select(*keys, "source_hint", F.col(order).alias("_order"),
                          onset_frame(F.col("onset_sample"), hop, fft).alias("_start"), steps)

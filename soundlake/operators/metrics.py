@@ -276,9 +276,13 @@ def evaluate(truth: DataFrame, raw: DataFrame, sessions: DataFrame, *, classes:
                .crossJoin(F.broadcast(total))
                .withColumn("false_alerts_per_minute",
                            F.col("false_positives") * 60.0 / F.greatest(F.col("total_seconds"), F.lit(1e-12))))
+    minutes = sessions_in.select("session_id", F.greatest(F.col("duration_seconds"), F.lit(1e-12)).alias("_seconds"))
+    per_session = (detection_metrics(targets, emitted, pairs, F.lit(1.0), classes, rate, by=("session_id",))
+                   .join(minutes, "session_id")
+                   .withColumn("false_alerts_per_minute", F.col("false_positives") * 60.0 / F.col("_seconds")).drop("_seconds"))
     report = {
         "overall": overall.drop("total_seconds"),
-        "per_session": detection_metrics(targets, emitted, pairs, F.lit(1.0), classes, rate, by=("session_id",)),
+        "per_session": per_session,
         "subsets": recall_subset(hits, standard_subsets(), classes),
         "rapid": rapid_pairs(hits, low, high, width, keys),
         "duplicates": duplicate_rate(duplicates, pairs),

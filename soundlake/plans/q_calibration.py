@@ -81,11 +81,11 @@ PAIRED = ("ev", "trace", "labelled", "truth", "pred", "targets", "emitted", "pai
 
 
 @query("calibrate_onset_offset", v.sql("""SELECT class, greatest(0, least(480, CAST(trunc(quantile_cont(CAST(p_pos - t_pos AS DOUBLE), 0.5)) AS BIGINT))) AS onset_offset
-  FROM pairs GROUP BY class""", *PAIRED))
+  FROM pairs GROUP BY class UNION ALL SELECT 'absent', 512""", *PAIRED))
 def calibrate_onset_offset(spark, sf_dir):
     *_, emitted, pairs = matched(spark, sf_dir)
     at = emitted.select("pred_id", F.col("onset_sample").alias("pred_pos"))
-    return calibration.calibrate_onset_offset(pairs.join(at, "pred_id"), maximum=480)
+    return calibration.calibrate_onset_offset(pairs.join(at, "pred_id"), maximum=480, classes=(*v.TARGETS, "absent"))
 
 
 SUPPRESS_GRID = [round(0.50 + 0.01 * i, 2) for i in range(50)]

@@ -30,7 +30,7 @@ v.CTE["assets"] = """assets0 AS (SELECT CAST(doc_id AS VARCHAR) AS asset_id,
   source AS source_group, sha256(text) AS sha256, n_chars >= 60 AS included,
   CASE WHEN n_chars < 400 THEN 'review' ELSE 'accepted' END AS review_status, n_chars AS active_offset_samples FROM documents),
 assets AS (SELECT *, CASE WHEN relative_path = min(relative_path) OVER (PARTITION BY sha256) THEN ''
-  ELSE arg_min(asset_id, relative_path) OVER (PARTITION BY sha256) END AS duplicate_of FROM assets0)"""
+  ELSE min(relative_path) OVER (PARTITION BY sha256) END AS duplicate_of FROM assets0)"""
 v.CTE["split"] = f"""canon AS (SELECT *, CASE WHEN label IN ({LANG_LIST}) THEN label ELSE 'negative' END AS training_label,
   CASE WHEN label IN ({LANG_LIST}) AND source_group <> '' THEN source_group ELSE asset_id END AS grp
   FROM assets WHERE included AND duplicate_of = ''),
@@ -62,9 +62,9 @@ def training_label(spark, sf_dir):
 @query("manifest_summary", v.sql(f"""SELECT count(*) AS total, count(*) FILTER (WHERE included) AS included,
   count(*) FILTER (WHERE duplicate_of <> '') AS duplicates,
   count(*) FILTER (WHERE review_status NOT IN ('reviewed', 'accepted')) AS needs_review,
-  count(*) FILTER (WHERE included AND duplicate_of = '' AND label = 'en') AS count_en,
-  count(*) FILTER (WHERE included AND duplicate_of = '' AND label = 'fr') AS count_fr,
-  count(*) FILTER (WHERE included AND duplicate_of = '' AND label NOT IN ({LANG_LIST})) AS count_negative FROM assets""", "assets"))
+  count(*) FILTER (WHERE label = 'en') AS count_en,
+  count(*) FILTER (WHERE label = 'fr') AS count_fr,
+  count(*) FILTER (WHERE label NOT IN ({LANG_LIST})) AS count_negative FROM assets""", "assets"))
 def manifest_summary(spark, sf_dir):
     return corpus.manifest_summary(assets(spark, sf_dir), LANGS)
 

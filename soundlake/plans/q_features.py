@@ -167,11 +167,13 @@ def distinct_ends(spark, sf_dir):
 
 @query("onset_targets", v.sql("""SELECT session_id, class, frame_idx, max(w) AS label, arg_max(source_hint, event_id) AS source_hint FROM (
   SELECT session_id, class, event_id, source_hint, greatest(0, CAST(ceil((onset_sample + 60 - 240) / CAST(60 AS DOUBLE)) AS BIGINT)) + s AS frame_idx, w
-  FROM labelled, (VALUES (0, CAST(1.0 AS DOUBLE)), (1, CAST(0.6 AS DOUBLE)), (2, CAST(0.2 AS DOUBLE))) g(s, w)) WHERE frame_idx < 700 GROUP BY ALL""", "ev", "labelled"))
+  FROM labelled, (VALUES (0, CAST(1.0 AS DOUBLE)), (1, CAST(0.6 AS DOUBLE)), (2, CAST(0.2 AS DOUBLE))) g(s, w)
+  WHERE NOT uncertain AND class IN ('click', 'purchase', 'view')) JOIN sessions USING (session_id)
+  WHERE frame_idx < (length - 240) // 60 + 1 GROUP BY ALL""", "ev", "labelled", "sessions"))
 def onset_targets(spark, sf_dir):
     rows = v.labelled(spark, sf_dir)
-    lengths = rows.select("session_id").distinct().withColumn("frame_count", F.lit(700))
-    return features.onset_targets(rows, lengths, hop=60, fft=240)
+    lengths = v.sessions(spark, sf_dir).select("session_id", F.expr("(length - 240) div 60 + 1").alias("frame_count"))
+    return features.onset_targets(rows, lengths, hop=60, fft=240, classes=v.TARGETS)
 
 
 @query("extract_windows", v.sql("""SELECT w.session_id, window_id, round(sum(s.value), 4) AS total, count(s.idx) AS got FROM (

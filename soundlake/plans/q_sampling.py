@@ -92,18 +92,22 @@ def count_histogram(spark, sf_dir):
     return sampling.count_histogram(rows, "cnt", F.col("label") >= 5)
 
 
-STRIDE, FRAMES = 24, 720
-TRAIN = f"""lab AS (SELECT session_id, frame_idx, max(w) AS label FROM (SELECT session_id, greatest(0, CAST(ceil((onset_sample + 60 - 240) / CAST(60 AS DOUBLE)) AS BIGINT)) + s AS frame_idx, w
-  FROM labelled, (VALUES (0, CAST(1.0 AS DOUBLE)), (1, CAST(0.6 AS DOUBLE)), (2, CAST(0.2 AS DOUBLE))) g(s, w)) WHERE frame_idx < {FRAMES} GROUP BY ALL),
-ses AS (SELECT session_id, CASE WHEN max(k) > 97 THEN 'real' ELSE 'synthetic' END AS domain FROM ev GROUP BY session_id),
-ends AS (SELECT session_id, e AS window_end FROM ses, range(1, {FRAMES} + 1, {STRIDE}) r(e) UNION SELECT session_id, {FRAMES} FROM ses UNION SELECT session_id, frame_idx + 1 FROM lab),
+STRIDE = 24
+# frames of a session: what its length holds
+TRAIN = f"""ses AS (SELECT session_id, CASE WHEN max(k) > 97 THEN 'real' ELSE 'synthetic' END AS domain,
+  greatest(1, (max(sample) + 100 - 240) // 60 + 1) AS n FROM ev GROUP BY session_id),
+lab AS (SELECT session_id, frame_idx, max(w) AS label FROM (SELECT session_id, greatest(0, CAST(ceil((onset_sample + 60 - 240) / CAST(60 AS DOUBLE)) AS BIGINT)) + s AS frame_idx, w
+  FROM labelled, (VALUES (0, CAST(1.0 AS DOUBLE)), (1, CAST(0.6 AS DOUBLE)), (2, CAST(0.2 AS DOUBLE))) g(s, w) WHERE NOT uncertain)
+  JOIN ses USING (session_id) WHERE frame_idx < n GROUP BY ALL),
+ends AS (SELECT session_id, unnest(range(1, n + 1, {STRIDE})) AS window_end FROM ses UNION SELECT session_id, n FROM ses UNION SELECT session_id, frame_idx + 1 FROM lab),
 win AS (SELECT e.session_id, domain, window_end, coalesce(label, 0.0) AS label, coalesce(label, 0.0) >= 0.5 AS positive FROM ends e JOIN ses USING (session_id)
   LEFT JOIN lab ON lab.session_id = e.session_id AND lab.frame_idx + 1 = e.window_end)"""
 
 
 def training(spark, sf_dir):
     rows = v.labelled(spark, sf_dir)
-    lengths = rows.groupBy("session_id").agg(F.when(F.max("k") > 97, "real").otherwise("synthetic").alias("domain")).withColumn("frame_count", F.lit(FRAMES))
+    lengths = rows.groupBy("session_id").agg(F.when(F.max("k") > 97, "real").otherwise("synthetic").alias("domain")).join(v.sessions(spark, sf_dir).select(
+        "session_id", F.greatest(F.lit(1), F.expr("(length - 240) div 60 + 1")).alias("frame_count")), "session_id")
     labels = features.onset_targets(rows, lengths, hop=60, fft=240)
     return sampling.training_windows(labels, lengths, STRIDE)
 
