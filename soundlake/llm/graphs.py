@@ -8,114 +8,150 @@ graph and the best of all shards are kept.
 
 from __future__ import annotations
 
-import heapq
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundlake.llm.common import cut
+from soundlake.llm.common import cut, partitions
 
 DEGREE, BUILD, SEARCH, SHARD = 16, 80, 120, 8192
+BATCH, STEP = 256, 4   # vectors that walk a graph together, nodes that each of them expands in a round
+ROOM = 1 << 20         # distances compared at a time when rows of neighbours are chosen anew
 
 
 class Graph:
-    """``links[level]`` is a table of neighbours by node, -1 where there is none; level 0 holds twice ``degree``."""
+    """``links[level]`` is a table of neighbours by node, -1 where there is none; level 0 holds twice ``degree``.
+
+    Nodes are numbered by falling level, ``order`` gives the row of each, so the first one is the entry on every level.  They are inserted a
+    batch at a time: a batch searches the graph of the earlier nodes together and sees its own members by comparing them all.
+    """
 
     def __init__(self, points: np.ndarray, degree: int = DEGREE, build: int = BUILD, seed: int = 3):
-        self.points, self.degree, self.build = points, degree, build
-        self.squares = np.einsum("ij,ij->i", points, points)
         n = len(points)
         rng = np.random.default_rng(seed)
-        self.level = np.minimum((-np.log(rng.random(n)) / np.log(degree)).astype(int), 12) if n else np.zeros(0, int)
-        self.links = [np.full((n, degree * (1 if k else 2)), -1, np.int32) for k in range(int(self.level.max(initial=0)) + 1)]
-        self.seen = np.zeros(n, np.int64)
-        self.stamp = 0
-        self.entry = 0
-        for i in range(1, n):
-            self._insert(i)
-
-    def _far(self, q, rows):
-        return self.squares[rows] - 2 * (self.points[rows] @ q)
-
-    def _walk(self, q, near: int, level: int, width: int) -> list[tuple[float, int]]:
-        """The ``width`` nearest that best-first search from ``near`` finds: (distance less the query's square, node)."""
-        self.stamp += 1
-        d = float(self._far(q, np.array([near]))[0])
-        self.seen[near] = self.stamp
-        todo, found = [(d, near)], [(-d, near)]
-        table = self.links[level]
-        while todo:
-            d, node = heapq.heappop(todo)
-            if d > -found[0][0] and len(found) >= width:
-                break
-            around = table[node]
-            around = around[around >= 0]
-            around = around[self.seen[around] != self.stamp]
-            if not len(around):
+        level = np.minimum((-np.log(1 - rng.random(n)) / np.log(degree)).astype(int), 12)
+        self.order = np.argsort(-level, kind="stable")
+        self.points, self.level, self.degree, self.build = points[self.order], level[self.order], degree, build
+        self.squares = np.einsum("ij,ij->i", self.points, self.points)
+        self.links = [np.full((n, degree * (1 if k else 2)), -1, np.int32) for k in range(int(level.max(initial=0)) + 1)]
+        first = 1
+        while first < n:
+            end = min(n, first + min(BATCH, max(1, first // 2)))
+            self._insert(np.arange(first, end))
+            first = end
+
+    def _walk(self, asked: np.ndarray, near: np.ndarray, level: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Best-first search from ``near`` for many vectors at once: the ``width`` nearest found (distance less the own square, node), padded by inf and -1.
+
+        Each round expands the nearest few open nodes of every vector that still has one among its ``width`` best.
+        """
+        m, table = len(asked), self.links[level]
+        step = min(STEP, width)
+        rows = np.arange(m)
+        far = np.full((m, width), np.inf, np.float32)
+        node = np.full((m, width), -1, np.int32)
+        done = np.ones((m, width), bool)
+        seen = np.zeros((m, len(self.points)), bool)
+        far[:, 0] = self.squares[near] - 2 * np.einsum("ij,ij->i", asked, self.points[near])
+        node[:, 0], done[:, 0], seen[rows, near] = near, False, True
+        active = rows
+        while True:
+            active = active[~done[active].all(axis=1)]
+            if not len(active):
+                return far, node
+            place = np.argsort(done[active], axis=1, kind="stable")[:, :step]
+            fresh = ~done[active[:, None], place]
+            done[active[:, None], place] = True
+            around = np.where(fresh[:, :, None], table[node[active[:, None], place]], -1).reshape(len(active), -1)
+            around[(around >= 0) & seen[active[:, None], around]] = -1
+            around.sort(axis=1)
+            around[:, 1:][around[:, 1:] == around[:, :-1]] = -1
+            r, c = np.nonzero(around >= 0)
+            x = around[r, c]
+            seen[active[r], x] = True
+            more = np.full(around.shape, np.inf, np.float32)
+            more[r, c] = self.squares[x] - 2 * np.einsum("ij,ij->i", asked[active[r]], self.points[x])
+            far_, node_ = np.hstack([far[active], more]), np.hstack([node[active], around])
+            done_ = np.hstack([done[active], np.isinf(more)])
+            best = np.argsort(far_, axis=1, kind="stable")[:, :width]
+            far[active], node[active], done[active] = (np.take_along_axis(a, best, axis=1) for a in (far_, node_, done_))
+
+    def _spread(self, own: np.ndarray, far: np.ndarray, node: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each node of ``own``, of its candidates those nearer to it than to one already chosen; places left over go to the nearest of the others.
+
+        ``far`` rises along a row and holds squared distances, inf where there is no candidate.  The chosen come back in the same form.
+        """
+        points, square = self.points[node], self.squares[node]
+        apart = square[:, :, None] + square[:, None, :] - 2 * (points @ points.transpose(0, 2, 1))
+        chosen, count = np.zeros(far.shape, bool), np.zeros(len(own), int)
+        for i in range(far.shape[1]):
+            hidden = (chosen & (apart[:, i] < far[:, i, None])).any(axis=1)
+            chosen[:, i] = ~hidden & (count < most) & np.isfinite(far[:, i])
+            count += chosen[:, i]
+        first = np.argsort(~chosen, axis=1, kind="stable")[:, :most]
+        far, node = np.take_along_axis(far, first, axis=1), np.take_along_axis(node, first, axis=1)
+        return far, np.where(np.isfinite(far), node, -1)
+
+    def _insert(self, batch: np.ndarray):
+        near = np.zeros(len(batch), np.int64)
+        for level in range(int(self.level[0]), -1, -1):
+            here = self.level[batch] >= level
+            if not here.all():
+                near[~here] = self._walk(self.points[batch[~here]], near[~here], level, 1)[1][:, 0]
+            own = batch[here]
+            if not len(own):
                 continue
-            self.seen[around] = self.stamp
-            far = self._far(q, around)
-            if len(found) >= width:
-                close = far < -found[0][0]
-                around, far = around[close], far[close]
-            for d, x in zip(far.tolist(), around.tolist()):
-                if len(found) < width:
-                    heapq.heappush(found, (-d, x))
-                elif d < -found[0][0]:
-                    heapq.heapreplace(found, (-d, x))
-                else:
-                    continue
-                heapq.heappush(todo, (d, x))
-        return sorted((-d, x) for d, x in found)
-
-    def _spread(self, found: list[tuple[float, int]], most: int) -> list[int]:
-        """Neighbours nearer to the node than to one already chosen; places left over go to the nearest of the others."""
-        rows = np.array([x for _, x in found])
-        square = self.squares[rows]
-        apart = square[:, None] + square[None, :] - 2 * (self.points[rows] @ self.points[rows].T)
-        chosen, rest = [], []
-        for i in range(len(rows)):
-            if len(chosen) == most:
-                break
-            (chosen if not chosen or (apart[i, chosen] >= found[i][0]).all() else rest).append(i)
-        return rows[chosen + rest[:most - len(chosen)]].tolist()
-
-    def _insert(self, i: int):
-        q, own = self.points[i], float(self.squares[i])
-        top = int(self.level[self.entry])
-        near = self.entry
-        for level in range(top, self.level[i], -1):
-            near = self._walk(q, near, level, 1)[0][1]
-        for level in range(min(top, int(self.level[i])), -1, -1):
-            found = [(d + own, x) for d, x in self._walk(q, near, level, self.build)]
-            near = found[0][1]
-            table = self.links[level]
-            chosen = self._spread(found, self.degree)
-            table[i, :len(chosen)] = chosen
-            for x in chosen:
-                row = table[x]
-                free = np.flatnonzero(row < 0)
-                if len(free):
-                    row[free[0]] = i
-                    continue
-                around = np.append(row, i)
-                d = self._far(self.points[x], around) + self.squares[x]
-                order = np.argsort(d, kind="stable")
-                kept = self._spread(list(zip(d[order].tolist(), around[order].tolist())), len(row))
-                row[:] = -1
-                row[:len(kept)] = kept
-        if self.level[i] > top:
-            self.entry = i
-
-    def search(self, q: np.ndarray, k: int, width: int = SEARCH) -> np.ndarray:
-        if not len(self.points):
-            return np.zeros(0, np.int64)
-        near = self.entry
-        for level in range(int(self.level[self.entry]), 0, -1):
-            near = self._walk(q, near, level, 1)[0][1]
-        return np.array([x for _, x in self._walk(q, near, 0, max(k, width))[:k]])
+            far, node = self._walk(self.points[own], near[here], level, self.build)
+            near[here] = node[:, 0]
+            mates = self.squares[own] - 2 * (self.points[own] @ self.points[own].T)
+            np.fill_diagonal(mates, np.inf)
+            far = np.hstack([far, mates]) + self.squares[own, None]
+            node = np.hstack([node, np.broadcast_to(own.astype(np.int32), mates.shape)])
+            best = np.argsort(far, axis=1, kind="stable")[:, :self.build]
+            far, node = self._spread(own, np.take_along_axis(far, best, axis=1), np.take_along_axis(node, best, axis=1), self.degree)
+            self.links[level][own, :self.degree] = node
+            r, c = np.nonzero(node >= 0)
+            self._link_back(level, node[r, c], own[r].astype(np.int32), far[r, c])
+
+    def _link_back(self, level: int, to: np.ndarray, new: np.ndarray, far: np.ndarray):
+        """Links from each node of ``to`` to the one of ``new`` beside it; where a row is full its neighbours are chosen anew."""
+        table = self.links[level]
+        order = np.lexsort((far, to))
+        to, new, far = to[order], new[order], far[order]
+        at, begin, size = np.unique(to, return_index=True, return_counts=True)
+        rank = np.arange(len(to)) - np.repeat(begin, size)
+        used = (table[at] >= 0).sum(axis=1)
+        fits = used + size <= table.shape[1]
+        flat = np.repeat(fits, size)
+        table[to[flat], (np.repeat(used, size) + rank)[flat]] = new[flat]
+        full = np.flatnonzero(~fits)
+        full = full[np.argsort(-size[full], kind="stable")]
+        while len(full):
+            wide = table.shape[1] + int(size[full[0]])
+            part, full = np.split(full, [max(1, ROOM // (wide * wide))])
+            own = at[part]
+            extra = np.arange(wide - table.shape[1])
+            source = begin[part, None] + np.minimum(extra, size[part, None] - 1)
+            node = np.hstack([table[own], np.where(extra < size[part, None], new[source], -1)])
+            gap = self.squares[node] + self.squares[own, None] - 2 * np.einsum("ijk,ik->ij", self.points[node], self.points[own])
+            gap = np.where(node >= 0, gap, np.inf)
+            best = np.argsort(gap, axis=1, kind="stable")
+            table[own] = self._spread(own, np.take_along_axis(gap, best, axis=1), np.take_along_axis(node, best, axis=1), table.shape[1])[1]
+
+    def search(self, asked: np.ndarray, k: int, width: int = SEARCH) -> tuple[np.ndarray, np.ndarray]:
+        """(number of the vector asked for, row) of the ``k`` nearest rows that a walk finds for each vector."""
+        which, rows = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for first in range(0, len(asked) if len(self.points) else 0, BATCH):
+            part = asked[first:first + BATCH]
+            near = np.zeros(len(part), np.int64)
+            for level in range(int(self.level[0]), 0, -1):
+                near = self._walk(part, near, level, 1)[1][:, 0]
+            node = self._walk(part, near, 0, max(k, width))[1][:, :k]
+            r, c = np.nonzero(node >= 0)
+            which.append(r + first)
+            rows.append(self.order[node[r, c]])
+        return np.concatenate(which), np.concatenate(rows)
 
 
 def usable(vector: str) -> F.Column:
@@ -167,15 +203,16 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard: int = SHARD
             lack = np.sqrt(np.maximum(0.0, longest - np.einsum("ij,ij->i", points, points)))
             graph = Graph(np.column_stack([points, lack]).astype(np.float32))
             # one more than asked for, as a query may find itself
-            found = [graph.search(q, k + 1, width) for q in np.column_stack([asked, np.zeros(len(asked))]).astype(np.float32)]
-            which = np.repeat(np.arange(len(asked)), [len(f) for f in found])
-            at = np.concatenate(found)
+            which, at = graph.search(np.column_stack([asked, np.zeros(len(asked))]).astype(np.float32), k + 1, width)
             out = [right.column("query_id").to_numpy()[which], left.column("key").to_numpy()[at], left.column("key2").to_numpy()[at]]
             score = np.einsum("ij,ij->i", asked[which], points[at])
         else:
             score = np.zeros(0)
         return pa.table({"query_id": out[0], "key": out[1], "key2": out[2], "score": score})
 
+    # more partitions than shards, so that few shards meet in one task
+    parts = max(partitions(spark), min(4 * shards, 20_000))
+    dealt, spread = (side.repartition(parts, "shard", "dim") for side in (dealt, spread))
     found = dealt.groupBy("shard", "dim").cogroup(spread.groupBy("shard", "dim")).applyInArrow(walk, "query_id long, key long, key2 long, score double")
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     # of the shards' answers, the k + 1 best vectors of a query hold its k neighbours (ties at the end stay in)
