@@ -260,12 +260,16 @@ def resample_linear(spark, sf_dir):
     return features.resample_linear(rows, 2, 3, "session_id", "idx", "value", 32).withColumn("value", F.round("value", 5))
 
 
-@query("to_stereo_48k", "SELECT vec_id AS clip_id, 96 AS frames, 96 AS right_frames FROM embeddings")
+@query("to_stereo_48k", """WITH x AS (SELECT vec_id AS clip_id, unnest(embedding)::DOUBLE AS v, generate_subscripts(embedding, 1) - 1 AS k FROM embeddings),
+  d AS (SELECT j, k, j * 2 / CAST(3 AS DOUBLE) - k AS away FROM (SELECT range AS j FROM range(96)), (SELECT range AS k FROM range(64))),
+  w AS (SELECT j, k, CASE WHEN away = 0 THEN 1.0 ELSE sin(pi() * away) / (pi() * away) END * pow(cos(pi() * away / 64), 2) AS w FROM d WHERE abs(away) < 32)
+  SELECT clip_id, j AS idx, round(sum(v * w), 5) + 0.0 AS left_value, round(sum(-v * w), 5) + 0.0 AS right_value FROM x JOIN w USING (k) GROUP BY clip_id, j""")
 def to_stereo_48k(spark, sf_dir):
-    """Band-limited resampling of each embedding as a clip; values are checked against brute force in tests."""
-    rows = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("left"), F.col("embedding").alias("right"),
+    """Band-limited resampling of each embedding, and of its negative, as the channels of a clip."""
+    rows = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("clip_id"), F.col("embedding").alias("left"), F.transform("embedding", lambda x: -x).alias("right"),
                                                        F.lit(32000).alias("sample_rate"))
-    return features.resample_clips(rows).select("clip_id", F.size("left").alias("frames"), F.size("right").alias("right_frames"))
+    return features.resample_clips(rows).select("clip_id", F.posexplode(F.arrays_zip("left", "right")).alias("idx", "v")).select(
+        "clip_id", F.col("idx").cast("long").alias("idx"), (F.round("v.left", 5) + 0.0).alias("left_value"), (F.round("v.right", 5) + 0.0).alias("right_value"))
 
 
 @query("scalar_signal", """SELECT event_id, round(2595 * log10(1 + value / 700), 6) AS mel, round(700 * (pow(10, value / 2595) - 1), 6) AS hz,
