@@ -101,12 +101,13 @@ def read_scene_manifest(spark: SparkSession, path: str, schema: str, renderer: s
 def parse_policy(text: Column, level: str = "uncertainty_confidence_", value: str = "uncertainty_p90_degrees_") -> Column:
     """Flat JSON scalars to STRUCT(policy MAP<STRING, DOUBLE>, text MAP<STRING, STRING>, uncertainty ARRAY).
 
-    Only finite numbers without trailing text count; numbered keys become an ordered array.
+    Only finite numbers without trailing text count; numbered keys become an ordered array.  A count beyond the keys there
+    are gives at least one entry without values, which ``validate_policy`` reports, and no array of that length.
     """
     raw = F.from_json(text, "map<string,string>")
     numbers = F.map_filter(F.transform_values(raw, lambda _, x: s.strict_float(x)), lambda _, x: x.isNotNull())
     count = F.coalesce(numbers["uncertainty_count"].cast("int"), F.lit(0))
-    indices = F.when(count > 0, F.sequence(F.lit(0), F.least(count, F.lit(64)) - 1)).otherwise(F.array().cast("array<int>"))
+    indices = F.when(count > 0, F.sequence(F.lit(0), F.least(count, F.size(numbers)) - 1)).otherwise(F.array().cast("array<int>"))
     table = F.transform(indices, lambda i: F.struct(
         numbers[F.concat(F.lit(level), i.cast("string"))].alias("confidence"), numbers[F.concat(F.lit(value), i.cast("string"))].alias("p90")))
     return F.struct(numbers.alias("policy"), raw.alias("text"), table.alias("uncertainty"))

@@ -37,10 +37,12 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str) -> None:
 def with_current_policy(stream: DataFrame, read_policy: Callable[[], DataFrame], on: Sequence[str],
                         handle: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Join every micro-batch with the policy table as it is at that moment.  The policy is one row per key
-    of ``on``, or one row altogether."""
+    of ``on``, or one row altogether; without ``on`` a second row is an error, and without any row the events stay with null policy columns."""
     def each(batch: DataFrame, number: int) -> None:
         policy = read_policy()
-        joined = batch.join(policy, list(on), "left") if on else batch.crossJoin(F.broadcast(policy.limit(1)))
+        if not on and len(policy.take(2)) > 1:
+            raise ValueError("the policy table has more than one row")
+        joined = batch.join(policy, list(on), "left") if on else batch.join(F.broadcast(policy), F.lit(True), "left")
         handle(joined, number)
     return stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

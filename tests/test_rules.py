@@ -1,6 +1,11 @@
 """Rules of single operators on tiny inputs."""
 
+import json
+
+from pyspark.sql import functions as F
+
 from soundlake.operators import calibration, corpus, features
+from soundlake.sources import tables
 
 
 def test_copies_point_to_the_first_path(spark):
@@ -28,3 +33,12 @@ def test_class_without_pairs_gets_the_default_offset(spark):
     pairs = spark.createDataFrame([("a", 110, 100)], "class string, pred_pos long, truth_pos long")
     got = {r["class"]: r.onset_offset for r in calibration.calibrate_onset_offset(pairs, classes=("a", "b")).collect()}
     assert got == {"a": 10, "b": 512}
+
+
+def test_policy_table_is_read_whole(spark):
+    def levels(count, there):
+        text = {"uncertainty_count": count} | {f"uncertainty_{k}_{i}": i for i in range(there) for k in ("confidence", "p90_degrees")}
+        return spark.range(1).select(tables.parse_policy(F.lit(json.dumps(text))).alias("p")).first().p.uncertainty
+    assert [(r.confidence, r.p90) for r in levels(100, 100)] == [(i, i) for i in range(100)]
+    short = levels(1_000_000_000, 3)
+    assert len(short) < 10 and short[3].confidence is None
