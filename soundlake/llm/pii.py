@@ -19,7 +19,7 @@ FORMS = (
     ("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk-[A-Za-z0-9_-]{20,}\b"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
     ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"),
+    ("iban", r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
     ("date", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d]|[/.-]\d)"),
     ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"),
     ("card", r"(?<![\d-])\d{4}(?:[ -]?\d{3,6}){2,4}(?!-?\d)|(?<![\d-])\d{13,19}(?!-?\d)"),
@@ -29,6 +29,7 @@ FORMS = (
 ANY = "|".join(f"(?:{form})" for _, form in FORMS)
 ROUNDS = 8
 FIRST_DAY, CYCLE = "1800-01-01", 146_097  # days in any 400 calendar years
+LATE_DAYS = CYCLE - 12 * 4800  # those after the twelfth of their month
 
 
 def _noise(key: str, kind: str, turn: Column, value: Column) -> Column:
@@ -59,13 +60,18 @@ def permute_digits(digits: Column, key: str, kind: str) -> Column:
     return F.concat(F.lpad(out["l"].cast("string"), half, "0"), F.lpad(out["r"].cast("string"), rest, "0"))
 
 
+def _bound(value: Column, fn) -> Column:
+    """``fn(value)`` with the value worked out once, however often ``fn`` uses it."""
+    return F.get(F.transform(F.array(value), fn), F.lit(0))
+
+
 def refill(form: Column, digits: Column) -> Column:
     """``form`` with its digits replaced, in order, by ``digits``."""
     start = F.struct(F.lit("").alias("text"), F.lit(1).alias("next"))
-    out = F.aggregate(F.split(form, ""), start, lambda s, c: F.when(
-        c.rlike("^[0-9]$"), F.struct(F.concat(s["text"], digits.substr(s["next"], F.lit(1))).alias("text"), (s["next"] + 1).alias("next"))).otherwise(
+    filled = lambda d: F.aggregate(F.split(form, ""), start, lambda s, c: F.when(
+        c.rlike("^[0-9]$"), F.struct(F.concat(s["text"], d.substr(s["next"], F.lit(1))).alias("text"), (s["next"] + 1).alias("next"))).otherwise(
         F.struct(F.concat(s["text"], c).alias("text"), s["next"].alias("next"))))
-    return out["text"]
+    return _bound(digits, filled)["text"]
 
 
 def luhn_sum(digits: Column) -> Column:
@@ -82,7 +88,20 @@ def mod97(text: Column) -> Column:
         (s * 100 + F.ascii(c) - 55) % 97))
 
 
-def _card(m, digits, key):
+def _longest(m: Column, good, make) -> Column:
+    """``m`` with ``make`` applied to the longest run of words at its start that is ``good``; null if none is."""
+    words = F.split(m, " ")
+    heads = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
+    return F.get(F.transform(F.slice(F.filter(heads, good), 1, 1), lambda head: F.concat(make(head), m.substr(F.length(head) + 1, F.length(m)))), F.lit(0))
+
+
+def _is_card(m):
+    digits = F.regexp_replace(m, "[^0-9]", "")
+    return F.length(digits).between(13, 19) & (luhn_sum(digits) % 10 == 0)
+
+
+def _card(m, key):
+    digits = F.regexp_replace(m, "[^0-9]", "")
     body = digits.substr(F.lit(1), F.length(digits) - 1)
     # the first digit names the kind of card and stays
     new = F.concat(body.substr(1, 1), permute_digits(body.substr(F.lit(2), F.length(body) - 1), key, "card"))
@@ -90,6 +109,12 @@ def _card(m, digits, key):
     return refill(m, F.concat(new, check.cast("string")))
 
 
+def _is_iban(m):
+    plain = F.regexp_replace(m, " ", "")
+    bban = plain.substr(F.lit(5), F.length(plain) - 4)
+    return F.length(plain).between(15, 34) & (F.length(F.regexp_replace(bban, "[^0-9]", "")) >= 2) & (mod97(F.concat(bban, plain.substr(1, 4))) == 1)
+
+
 def _iban(m, key):
     plain = F.regexp_replace(m, " ", "")
     bban = plain.substr(F.lit(5), F.length(plain) - 4)
@@ -99,18 +124,43 @@ def _iban(m, key):
     return refill(m, F.concat(check, F.regexp_replace(new, "[^0-9]", "")))
 
 
+def _month_start(month):
+    """Days from the first day to that of a month, counted from it."""
+    return F.date_diff(F.add_months(F.lit(FIRST_DAY).cast("date"), month.cast("int")), F.lit(FIRST_DAY).cast("date"))
+
+
+def _late_day(date, day, key):
+    """Another day after the twelfth of its month: such days are numbered without the first twelve of each month."""
+    month = (F.year(date) - int(FIRST_DAY[:4])) * 12 + F.month(date) - 1
+    at = day - 12 * (month + 1)
+    out = feistel(F.floor(at / 9833), at % 9833, 9, 9833, key, "late date")  # 9 * 9833 is LATE_DAYS
+
+    def place(at):
+        near = F.transform(F.array(*(F.floor(at * 4800 / LATE_DAYS) + k for k in (1, 0, -1))), lambda m: F.struct(m.alias("m"), (_month_start(m) - 12 * m).alias("at")))
+        return at + 12 * (F.get(F.filter(near, lambda x: x["at"] <= at), F.lit(0))["m"] + 1)
+
+    return _bound(_bound(out, lambda x: x["l"] * 9833 + x["r"]), place)
+
+
 def _date(m, key):
-    pattern = F.when(m.rlike("^[0-9]{4}"), F.lit("yyyy-MM-dd")).when(m.contains("."), F.lit("dd.MM.yyyy")).when(
-        m.substr(1, 2).cast("int") > 12, F.lit("dd/MM/yyyy")).otherwise(F.lit("MM/dd/yyyy"))
-    iso = F.when(m.rlike("^[0-9]{4}"), m).when((m.contains(".")) | (m.substr(1, 2).cast("int") > 12), F.concat_ws(
-        "-", m.substr(7, 4), m.substr(4, 2), m.substr(1, 2))).otherwise(F.concat_ws("-", m.substr(7, 4), m.substr(1, 2), m.substr(4, 2)))
-    day = F.date_diff(iso.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
-    known = day.between(0, CYCLE - 1)
-    out = feistel(F.floor(day / 773), day % 773, 189, 773, key, "date")  # 189 * 773 is the cycle
-    new = F.date_add(F.lit(FIRST_DAY).cast("date"), (out["l"] * 773 + out["r"]).cast("int"))
-    parts = F.when(pattern == "yyyy-MM-dd", F.date_format(new, "yyyyMMdd")).when(
-        pattern == "MM/dd/yyyy", F.date_format(new, "MMddyyyy")).otherwise(F.date_format(new, "ddMMyyyy"))
-    return known, refill(m, parts)
+    """A day in the same notation.  With slashes the month is first, unless the first number is over 12; both kinds stay apart."""
+    iso_form, dots = m.rlike("^[0-9]{4}"), m.contains(".")
+    late = ~iso_form & ~dots & (m.substr(1, 2).cast("int") > 12)
+    iso = F.when(iso_form, m).when(dots | late, F.concat_ws("-", m.substr(7, 4), m.substr(4, 2), m.substr(1, 2))).otherwise(
+        F.concat_ws("-", m.substr(7, 4), m.substr(1, 2), m.substr(4, 2)))
+    number = lambda date: F.date_diff(date, F.lit(FIRST_DAY).cast("date"))
+    known = number(iso.try_cast("date")).between(0, CYCLE - 1)
+
+    def moved(date):
+        day = number(date)
+        out = feistel(F.floor(day / 773), day % 773, 189, 773, key, "date")  # 189 * 773 is the cycle
+        return F.when(late, _late_day(date, day, key)).otherwise(_bound(out, lambda x: x["l"] * 773 + x["r"]))
+
+    def shown(n):
+        new = F.date_add(F.lit(FIRST_DAY).cast("date"), n.cast("int"))
+        return F.when(iso_form, F.date_format(new, "yyyyMMdd")).when(dots | late, F.date_format(new, "ddMMyyyy")).otherwise(F.date_format(new, "MMddyyyy"))
+
+    return known, refill(m, _bound(_bound(iso.try_cast("date"), moved), shown))
 
 
 def _phone(m, digits, key):
@@ -150,30 +200,30 @@ def pseudonym(m: Column, key: str) -> Column:
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
     is_ = {kind: m.rlike(f"^(?:{form})$") for kind, form in FORMS}
-    plain = F.regexp_replace(m, " ", "")
     tail = F.regexp_extract(m, r"[A-Za-z0-9_\-+/.]{16,}$", 0)
     hidden = F.repeat(_digest(tail, key, "secret"), 1 + F.floor(F.length(tail) / 64).cast("int")).substr(F.lit(1), F.length(tail))
     ip_known, ip = _ip(m, key)
     date_known, date = _date(m, key)
     ssn_known, ssn = _ssn(digits, key, m)
-    iban_known = (F.length(plain).between(15, 34)) & (F.length(F.regexp_replace(plain.substr(F.lit(5), F.length(plain) - 4), "[^0-9]", "")) >= 2) & (
-        mod97(F.concat(plain.substr(F.lit(5), F.length(plain) - 4), plain.substr(1, 4))) == 1)
+    # a number may be followed by words that look like more of it
+    iban = _longest(m, _is_iban, lambda x: _iban(x, key))
+    card = _longest(m, _is_card, lambda x: _card(x, key))
     rules = (
         ("secret", is_["secret"], F.concat(m.substr(F.lit(1), F.length(m) - F.length(tail)), hidden)),
         ("secret", is_["key"], F.concat(m.substr(1, 4), _digest(m, key, "key").substr(F.lit(1), F.length(m) - 4))),
         ("email", is_["email"], F.concat(F.lit("u"), _digest(F.lower(m), key, "email").substr(1, 16), F.lit("@pseudonym.invalid"))),
         ("ip", is_["ip"] & ip_known, ip),
-        ("iban", is_["iban"] & iban_known, _iban(m, key)),
+        ("iban", is_["iban"] & iban.isNotNull(), iban),
         ("date", is_["date"] & date_known, date),
         ("ssn", is_["ssn"] & ssn_known, ssn),
-        ("card", is_["card"] & n.between(13, 19) & (luhn_sum(digits) % 10 == 0), _card(m, digits, key)),
+        ("card", is_["card"] & card.isNotNull(), card),
         ("phone", is_["phone"], _phone(m, digits, key)),
         ("phone", is_["intl"] & n.between(8, 15), refill(m, F.concat(digits.substr(1, 2), permute_digits(digits.substr(F.lit(3), n - 2), key, "intl")))),
     )
-    value, kind = m, F.lit(None).cast("string")
+    out = F.struct(F.lit(None).cast("string").alias("kind"), m.alias("value"))
     for name, test, new in reversed(rules):
-        value, kind = F.when(test, new).otherwise(value), F.when(test, F.lit(name)).otherwise(kind)
-    return F.struct(kind.alias("kind"), value.alias("value"))
+        out = F.when(test, F.struct(F.lit(name).alias("kind"), new.alias("value"))).otherwise(out)
+    return out
 
 
 def pseudonymise(docs: DataFrame, key: str = "change-me") -> DataFrame:

@@ -215,6 +215,27 @@ def test_pseudonyms(spark):
     assert int(iban[4:] + "1314" + iban[2:4]) % 97 == 1 and "DE88370400440532013000" in got[5].text
 
 
+def test_numbers_followed_by_what_looks_like_more_of_them(spark):
+    texts = ["card 4111 1111 1111 1111 2024", "ES91 2100 0418 4502 0005 1332 NEXT WORD", "ES9121000418450200051332 NEXT"]
+    got = [r.text for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()]
+    assert got[0].endswith(" 2024") and "4111 1111" not in got[0]
+    assert got[1].endswith(" NEXT WORD") and got[2].endswith(" NEXT") and "0418" not in got[1]
+    assert got[1][:29].replace(" ", "") == got[2][:24]
+
+
+def test_dates_stay_apart_in_each_notation(spark):
+    from pyspark.sql import functions as F
+    days = spark.range(146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).repartition(8)
+    for form, some, many in (("dd/MM/yyyy", "day(d) > 12", 88_497), ("MM/dd/yyyy", "year(d) between 1980 and 1999", 7_305)):
+        known, new = pii._date(F.col("text"), "k")
+        out = days.where(some).select(F.date_format("d", form).alias("text")).select(known.alias("known"), new.alias("new"), F.to_date(F.try_to_timestamp(new, F.lit(form))).alias("back"))
+        out = out.persist()
+        row = out.agg(F.count("*").alias("n"), F.countDistinct("new").alias("different"), F.count("back").alias("valid"), F.bool_and("known").alias("known"))
+        assert row.first().asDict() == {"n": many, "different": many, "valid": many, "known": True}
+        if form == "dd/MM/yyyy":
+            assert out.where("int(substr(new, 1, 2)) <= 12").isEmpty()
+
+
 def test_feistel_is_a_permutation(spark):
     from pyspark.sql import functions as F
     out = spark.range(189 * 7).select(pii.feistel(F.col("id") % 189, F.floor(F.col("id") / 189), 189, 7, "k", "x").alias("f"))
