@@ -13,20 +13,37 @@ from pyspark.sql import functions as F
 
 from soundlake.llm.common import text_of
 
-# fixed values: the notations looked for, tried in this order at each place
+# rules of calendar, octets and areas stand in the notations, so that a match is valid and nothing else takes up text
+_YEAR, _LEAP = r"(?:18|19|20|21)\d{2}", r"(?:(?:18|19|20|21)(?:0[48]|[2468][048]|[13579][26])|2000)"
+_LONG, _ANY_DAY, _DAY_30, _DAY_28 = "(?:0[13578]|1[02])", r"(?:0[1-9]|[12]\d|3[01])", r"(?:0[1-9]|[12]\d|30)", r"(?:0[1-9]|1\d|2[0-8])"
+_MONTH_DAY = rf"(?:{_LONG}%s{_ANY_DAY}|(?:0[469]|11)%s{_DAY_30}|02%s{_DAY_28})"
+_DAY_MONTH = rf"(?:{_DAY_30}%s(?:0[13-9]|1[0-2])|31%s{_LONG}|{_DAY_28}%s02)"
+_DATES = "|".join((
+    rf"{_YEAR}-{_MONTH_DAY.replace('%s', '-')}|{_LEAP}-02-29",
+    rf"{_MONTH_DAY.replace('%s', '/')}/{_YEAR}|02/29/{_LEAP}",
+    rf"(?=1[3-9]|[23]){_DAY_MONTH.replace('%s', '/')}/{_YEAR}|29/02/{_LEAP}",
+    rf"{_DAY_MONTH.replace('%s', '[.]')}[.]{_YEAR}|29[.]02[.]{_LEAP}"))
+_OCTET = r"(?:25[0-5]|2[0-4]\d|[01]?\d{1,2})"
+_CARD = r"(?<![\d-])(?:\d{4}(?:[ -]?\d{3,6}){2,4}|\d{13,19})(?!-?\d)"
+_IBAN = r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
+_FIGURE = r"[ .()-]{0,3}\d"  # 8 to 15 of them since the plus; written out, as a look back takes no repeated groups
+_FIGURES = rf"(?<=\+{8 * _FIGURE}{7 * f'(?:{_FIGURE}'}{7 * ')?'}\)?)"
+# fixed values: the notations looked for, tried in this order at each place; no expression checks account and card numbers,
+# their places are taken by the text's own valid numbers, and a phone number ends where a valid card number begins
 FORMS = (
     ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth[_-]?key|key)\b[\"']?[ \t]*[:=][ \t]*[\"']?)[A-Za-z0-9_\-+/.]{16,}"),
     ("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk-[A-Za-z0-9_-]{20,}\b"),
     ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
-    ("ip", r"(?<![\d.])\d{1,3}(?:\.\d{1,3}){3}(?![\d]|\.\d)"),
-    ("iban", r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"),
-    ("date", r"(?<![\d/.-])(?:\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{2}\.\d{2}\.\d{4})(?![\d]|[/.-]\d)"),
-    ("ssn", r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d]|-\d)"),
-    ("card", r"(?<![\d-])\d{4}(?:[ -]?\d{3,6}){2,4}(?!-?\d)|(?<![\d-])\d{13,19}(?!-?\d)"),
-    ("phone", r"(?<![\d.])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-]\d{4}(?![\d]|[.-]\d)"),
-    ("intl", r"(?<![\d.])\+[1-9]\d{0,2}(?:[ .-]?\(?\d{1,4}\)?){2,5}(?![\d]|[.-]\d)"),
+    ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"),
+    ("iban", "<iban>"),
+    ("date", rf"(?<![\d/.-])(?:{_DATES})(?![\d]|[/.-]\d)"),
+    ("ssn", r"(?<![\d-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\d]|-\d)"),
+    ("card", "<card>"),
+    ("phone", r"(?<![\d.])(?:\+?1[ .-]?)?(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[ .-])[2-9]\d{2}[ .-](?!<card>)\d{4}(?![\d]|[.-]\d)"),
+    ("intl", r"(?<![\d.])\+[1-9]\d{0,2}(?:[ .-]?(?!<card>)\(?\d{1,4}\)?){2,5}(?![\d]|[.-]\d)" + _FIGURES),
 )
 ANY = "|".join(f"(?:{form})" for _, form in FORMS)
+NUMBERS = f"(?=({_CARD}|{_IBAN}))"  # from every place where one may begin, also within others
 ROUNDS = 8
 FIRST_DAY, CYCLE = "1800-01-01", 146_097  # days in any 400 calendar years
 LATE_DAYS = CYCLE - 12 * 4800  # those after the twelfth of their month
@@ -88,11 +105,33 @@ def mod97(text: Column) -> Column:
         (s * 100 + F.ascii(c) - 55) % 97))
 
 
-def _longest(m: Column, good, make) -> Column:
-    """``m`` with ``make`` applied to the longest run of words at its start that is ``good``; null if none is."""
+def _longest(m: Column, good) -> Column:
+    """The longest run of words at the start of ``m`` that is ``good``; null if none is."""
     words = F.split(m, " ")
     heads = F.transform(F.sequence(F.size(words), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(words, F.lit(1), k), " "))
-    return F.get(F.transform(F.slice(F.filter(heads, good), 1, 1), lambda head: F.concat(make(head), m.substr(F.length(head) + 1, F.length(m)))), F.lit(0))
+    return F.get(F.filter(heads, good), F.lit(0))
+
+
+def _is_number(m):
+    letters = m.rlike("^[A-Z]")
+    return (letters & _is_iban(m)) | (~letters & _is_card(m))
+
+
+def valid_numbers(text: Column) -> Column:
+    """The card and account numbers of ``text`` that pass their check, from whichever group they begin, longer ones first."""
+    found = F.transform(F.array_distinct(F.regexp_extract_all(text, F.lit(NUMBERS), F.lit(1))), lambda m: _longest(m, _is_number))
+    sized = F.transform(F.array_distinct(F.filter(found, lambda x: x.isNotNull())), lambda x: F.struct((-F.length(x)).alias("n"), x.alias("x")))
+    return F.transform(F.array_sort(sized), lambda x: x["x"])
+
+
+def pattern_of(numbers: Column) -> Column:
+    """``ANY`` for a text with these valid numbers."""
+    # an empty choice would match everywhere; (?!) matches nowhere
+    one_of = lambda test: F.concat(F.lit("(?:"), F.array_join(F.concat(F.filter(numbers, test), F.array(F.lit("(?!)"))), "|"), F.lit(")"))
+    card = F.concat(F.lit(r"(?<![\d-])"), one_of(lambda x: ~x.rlike("^[A-Z]")), F.lit(r"(?!-?\d)"))
+    iban = F.concat(F.lit(r"\b"), one_of(lambda x: x.rlike("^[A-Z]")), F.lit(r"\b"))
+    made = F.replace(F.replace(F.lit(ANY), F.lit("<iban>"), iban), F.lit("<card>"), card)
+    return F.when(F.size(numbers) == 0, F.lit(ANY.replace("<iban>", "(?!)").replace("<card>", "(?!)"))).otherwise(made)
 
 
 def _is_card(m):
@@ -199,24 +238,21 @@ def pseudonym(m: Column, key: str) -> Column:
     """struct(kind, value) for one match; kind is null where the match fails its check, and value then is the match."""
     digits = F.regexp_replace(m, "[^0-9]", "")
     n = F.length(digits)
-    is_ = {kind: m.rlike(f"^(?:{form})$") for kind, form in FORMS}
+    is_ = {kind: m.rlike(f"^(?:{form})$".replace("(?!<card>)", "")) for kind, form in FORMS if kind not in ("iban", "card")}
     tail = F.regexp_extract(m, r"[A-Za-z0-9_\-+/.]{16,}$", 0)
     hidden = F.repeat(_digest(tail, key, "secret"), 1 + F.floor(F.length(tail) / 64).cast("int")).substr(F.lit(1), F.length(tail))
     ip_known, ip = _ip(m, key)
     date_known, date = _date(m, key)
     ssn_known, ssn = _ssn(digits, key, m)
-    # a number may be followed by words that look like more of it
-    iban = _longest(m, _is_iban, lambda x: _iban(x, key))
-    card = _longest(m, _is_card, lambda x: _card(x, key))
     rules = (
         ("secret", is_["secret"], F.concat(m.substr(F.lit(1), F.length(m) - F.length(tail)), hidden)),
         ("secret", is_["key"], F.concat(m.substr(1, 4), _digest(m, key, "key").substr(F.lit(1), F.length(m) - 4))),
         ("email", is_["email"], F.concat(F.lit("u"), _digest(F.lower(m), key, "email").substr(1, 16), F.lit("@pseudonym.invalid"))),
         ("ip", is_["ip"] & ip_known, ip),
-        ("iban", is_["iban"] & iban.isNotNull(), iban),
+        ("iban", m.rlike(f"^(?:{_IBAN})$") & _is_iban(m), _iban(m, key)),
         ("date", is_["date"] & date_known, date),
         ("ssn", is_["ssn"] & ssn_known, ssn),
-        ("card", is_["card"] & card.isNotNull(), card),
+        ("card", m.rlike(f"^(?:{_CARD})$") & _is_card(m), _card(m, key)),
         ("phone", is_["phone"], _phone(m, digits, key)),
         ("phone", is_["intl"] & n.between(8, 15), refill(m, F.concat(digits.substr(1, 2), permute_digits(digits.substr(F.lit(3), n - 2), key, "intl")))),
     )
@@ -233,9 +269,10 @@ def pseudonymise(docs: DataFrame, key: str = "change-me") -> DataFrame:
     """
     text = text_of()
     own = [F.col(c) for c in docs.columns if c not in ("text", "n_found", "kinds")]
-    split = docs.select(*own, F.col("text").alias("_was"), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)).alias("_found"))
+    split = docs.withColumn("_numbers", valid_numbers(text)).withColumn("_any", pattern_of(F.col("_numbers"))).select(
+        *own, F.col("text").alias("_was"), "_any", F.regexp_extract_all(text, F.col("_any"), F.lit(0)).alias("_found"))
     swapped = split.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    between = F.split(F.coalesce(F.col("_was"), F.lit("")), ANY, -1)
+    between = F.split(F.coalesce(F.col("_was"), F.lit("")), F.col("_any"), -1)
     pieces = F.zip_with(between, F.transform("_new", lambda x: x["value"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
     done = F.when(F.size("_found") == 0, F.col("_was")).otherwise(F.array_join(pieces, ""))
     kinds = F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull())

@@ -223,6 +223,17 @@ def test_numbers_followed_by_what_looks_like_more_of_them(spark):
     assert got[1][:29].replace(" ", "") == got[2][:24]
 
 
+def test_numbers_within_what_looks_like_a_longer_one(spark):
+    texts = ["since 2019 415-555-0132", "2024 212-555-0143", "pin 1234 4111 1111 1111 1111", "4111 1111 1111 1111 5500 0000 0000 0004", "AB12 DE89 3704 0044 0532 0130 00 x",
+             "DE89 3704 0044 0532 0130 00 ES91 2100 0418 4502 0005 1332", "+49 30 1234567 4111 1111 1111 1111", "1212 555 0143 9999", "1234 4111 1111 1111 1112", "4111 1111 1111 1111 4111 1111 1111 1111"]
+    got = {r.doc_id: r for r in pii.pseudonymise(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert [got[i].n_found for i in range(len(texts))] == [1, 1, 1, 2, 1, 2, 2, 1, 0, 2]
+    assert [got[i].kinds for i in (0, 1, 2, 3, 4, 5, 6)] == [["phone"], ["phone"], ["card"], ["card"], ["iban"], ["iban"], ["card", "phone"]]
+    assert got[2].text.startswith("pin 1234 ") and got[4].text.startswith("AB12 DE") and got[4].text.endswith(" x") and got[8].text == texts[8]
+    assert all(len(got[i].text) == len(texts[i]) and "1111 1111" not in got[i].text and "0000 0000" not in got[i].text for i in range(8))
+    assert got[9].text[:19] == got[9].text[20:] == got[2].text[9:]
+
+
 def test_dates_stay_apart_in_each_notation(spark):
     from pyspark.sql import functions as F
     days = spark.range(146_097).select(F.date_add(F.lit("1800-01-01").cast("date"), F.col("id").cast("int")).alias("d")).repartition(8)
