@@ -3,8 +3,7 @@
 Unit vectors, less their label's mean, are cut in halves with a codebook each; a vector lies in the grid cell (i, j) of its
 nearest codewords.  The distance from a half to another codeword's region is at least that to the plane between the two
 codewords, so each cell has a lower bound for a vector, the sum of both halves' squares.  A vector visits cells by rising
-bound until the target recall is reached: up to the bound below which that share of the true links of a probe set lie, and
-never beyond the one no link can exceed.  What is met is verified in double precision.
+bound up to the one that no link can exceed, so no link is missed.  What is met is verified in double precision.
 
 Equal vectors are one node with a count.  Cells of one first codeword go to a task together, in blocks of bounded size; a task
 returns link counts and a forest of its links, not pairs.
@@ -21,7 +20,7 @@ from soundlake.llm.common import cut
 from soundlake.llm.graph import components
 from soundlake.llm.graphs import _matrix, usable
 
-TRAIN, PROBES, BLOCK, BINS = 8192, 512, 4096, 400
+TRAIN, BLOCK = 8192, 4096
 
 
 def _kmeans(points: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -107,7 +106,7 @@ def _forest(near: np.ndarray, left: np.ndarray, right: np.ndarray) -> list[tuple
     return out
 
 
-def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = 0.999) -> DataFrame:
+def near_duplicates(vectors: DataFrame, least: float = 0.98) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of ``vectors`` (vec_id, embedding, label).
 
     Links join rows of one label whose vectors have a cosine of ``least`` or more; null labels, unusable vectors, null ids
@@ -133,45 +132,17 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = 0.9
     labels, dims = sample.column("label").to_numpy(), np.array([len(x) for x in lists])
     codewords = int(min(256, max(8, np.sqrt(many / 256))))
     index = Index(labels, dims, units, codewords)
-    probes = (labels[:PROBES], dims[:PROBES], units[:PROBES])
-    shared = spark.sparkContext.broadcast((index, probes))
+    shared = spark.sparkContext.broadcast(index)
 
-    def calibrate(batches):
-        """Of the probes' true links, how many have which bound."""
-        known, (p_label, p_dim, p_units) = shared.value
-        counts = np.zeros(BINS + 1, np.int64)
-        for batch in batches:
-            for dim, at in _by_dim(batch, "v"):
-                part = batch.take(pa.array(at))
-                mine = np.flatnonzero(p_dim == dim)
-                if not len(mine):
-                    continue
-                unit, label = _units(part.column("v")), part.column("label").to_numpy()
-                probe = np.stack([p_units[i] for i in mine])
-                (own1, _), (own2, _) = known.cells(label, unit)
-                (_, low1), (_, low2) = known.cells(p_label[mine], probe)
-                y, x = np.nonzero((unit @ probe.T >= least) & (label[:, None] == p_label[mine][None, :]))
-                bound = low1[x, own1[y]] + low2[x, own2[y]]
-                counts += np.bincount(np.minimum(BINS, (bound / limit * BINS).astype(int)), minlength=BINS + 1)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(BINS + 1)), pa.array(counts)], names=["bin", "n"])
-
-    seen = nodes.select("label", "v").mapInArrow(calibrate, "bin long, n long").groupBy("bin").agg(F.sum("n")).collect()  # BINS rows
-    counts = np.zeros(BINS + 1)
-    for b, n in seen:
-        counts[b] = n
-    # a probe always meets itself; with few other links to go by, the bound that loses none is taken
-    reach = limit
-    if counts.sum() >= 4 * PROBES:
-        reach = limit * min(1.0, (int(np.searchsorted(np.cumsum(counts), target * counts.sum())) + 1) / BINS)
     # blocks of bounded size in each (label, first codeword)
     def deal(batches):
-        known, _ = shared.value
+        known = shared.value
         for batch in batches:
             for _, at in _by_dim(batch, "v"):
                 part = batch.take(pa.array(at))
                 unit, label = _units(part.column("v")), part.column("label").to_numpy()
                 (own, low), (_, other) = known.cells(label, unit)
-                row, first = np.nonzero(low + other.min(axis=1)[:, None] <= reach)
+                row, first = np.nonzero(low + other.min(axis=1)[:, None] <= limit)
                 side = (first != own[row]).astype(np.int8)  # in its own cell's task a vector is both met and a visitor
                 yield pa.RecordBatch.from_arrays([part.column("label").take(pa.array(row)), pa.array(first.astype(np.int32)), pa.array(side),
                                                   part.column("node").take(pa.array(row)), part.column("n").take(pa.array(row)), part.column("v").take(pa.array(row))],
@@ -186,7 +157,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = 0.9
     group = ["label", "first", "b", "q"]
 
     def verify(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        known, _ = shared.value
+        known = shared.value
         out = {"u": [], "v": [], "n": []}
 
         def emit(u, v, n):
@@ -203,7 +174,7 @@ def near_duplicates(vectors: DataFrame, least: float = 0.98, target: float = 0.9
                 a_node, b_node, a_n = a.column("node").to_numpy(), b.column("node").to_numpy(), a.column("n").to_numpy()
                 _, (cell, _) = known.cells(a.column("label").to_numpy(), x)
                 (_, low1), (_, low2) = known.cells(a.column("label").to_numpy()[:1].repeat(len(y)), y)
-                reached = low1[:, key["first"]][:, None] + low2 <= reach
+                reached = low1[:, key["first"]][:, None] + low2 <= limit
                 total = np.zeros(len(y), np.int64)
                 for j in np.unique(cell):
                     rows, who = np.flatnonzero(cell == j), np.flatnonzero(reached[:, j])

@@ -293,6 +293,22 @@ def test_embedding_groups(spark):
     assert multiindex.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_embedding_links_beside_a_dominant_group(spark):
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.sqrt((x * x).sum(axis=-1, keepdims=True))
+    base = unit(rng.normal(size=(1500, 16)))
+    aside = rng.normal(size=base.shape)
+    aside = unit(aside - (aside * base).sum(axis=1)[:, None] * base)
+    cosine = rng.uniform(.981, .995, 1500)[:, None]
+    hot = unit(unit(rng.normal(size=16)) + rng.normal(0, .001, (1500, 16)))
+    x = np.concatenate([base, cosine * base + np.sqrt(1 - cosine ** 2) * aside, hot])
+    near = unit(x) @ unit(x).T >= .98
+    df = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int").repartition(4)
+    got = {r.vec_id: r for r in multiindex.near_duplicates(df).collect()}
+    assert [got[i].n_links for i in range(len(x))] == (near.sum(axis=1) - 1).tolist()
+    assert all(got[i + 1500].component_id == got[i].component_id for i in range(1500))
+
+
 def test_sampled_pieces(docs):
     got = pieces.encode(docs).collect()
     assert all(r.lossless for r in got) and Counter(r.doc_id for r in got) == Counter(r[0] for r in corpus())
