@@ -24,13 +24,17 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def encoder(path: str):
-    """Text to ids, by the ranks that belong to the vocabulary file: the same ids, from the faster library."""
+    """Text to ids, by the ranks that belong to the vocabulary file: the same ids, from the faster library.
+
+    Added tokens are one id where their text stands.
+    """
     import json
 
     import public_tokenizers
     import tiktoken
     # the .json file holds printable stand-ins for bytes; the ranks are its entries, in order, as bytes
-    vocab = json.load(open(path))["model"]["vocab"]
+    made = json.load(open(path))
+    vocab, special = made["model"]["vocab"], {t["content"]: t["id"] for t in made["added_tokens"]}
     stand_in, extra = {}, 0
     for b in range(256):
         if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b <= 255:
@@ -38,8 +42,8 @@ def encoder(path: str):
         else:
             stand_in[chr(256 + extra)] = b
             extra += 1
-    ranks = {bytes(stand_in[c] for c in token): i for token, i in vocab.items() if not token.startswith("<|")}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {bytes(stand_in[c] for c in token): i for token, i in vocab.items() if token not in special}
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut_points(n: int, capacity: int) -> list[int]:
@@ -58,7 +62,7 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(text, allowed_special=set(), disallowed_special=()), END).astype("<u4")
+                ids = np.append(encode(text, allowed_special="all"), END).astype("<u4")
                 starts = cut_points(len(ids), capacity)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
                     out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))

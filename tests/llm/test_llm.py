@@ -102,6 +102,17 @@ def test_packing(docs):
     assert len(held) <= 1.1 * sum(r.length for r in rows) / 64 + 2
 
 
+def test_added_tokens_are_one_id(spark):
+    from tokenizers import Tokenizer
+    import public_tokenizers
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|><|endoftext|>\n", "half <|endoftext of it"]
+    ids = [t.encode(x, add_special_tokens=False).ids + [2] for x in texts]
+    assert [x.count(50256) for x in ids] == [1, 2, 0]
+    got = packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in got} == {(i, len(x), zlib.crc32(np.array(x, "<u4").tobytes())) for i, x in enumerate(ids)}
+
+
 def test_packing_plan_is_near_its_bound():
     rng = np.random.default_rng(4)
     counts = np.bincount(np.clip(rng.lognormal(5, 1, 30_000).astype(int), 1, 256), minlength=257)
