@@ -39,12 +39,23 @@ def decode_pcm(content: bytes) -> tuple[int, np.ndarray]:
     return rate, values[:len(values) // channels * channels].reshape(-1, channels)
 
 
+def continuation(content: bytes) -> tuple[str, int] | None:
+    """Recording and first position of a file that continues one, from the chunk that ``write_recordings`` puts after the format."""
+    if content[36:40] != b"slpt":
+        return None
+    size, first = struct.unpack_from("<Iq", content, 40)
+    return content[52:44 + size].decode(), first
+
+
 def stem_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
 def scan_recordings(spark: SparkSession, path: str, chunk: int = 65_536) -> DataFrame:
-    """WAV files of a directory as chunk rows; an undecodable file is one row with ``error``."""
+    """WAV files of a directory as chunk rows; an undecodable file is one row with ``error``.
+
+    Files that continue a recording are rows of that recording; a chunk that two files share is two rows.
+    """
     def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for session, content in zip(batch["session_id"], batch["content"]):
@@ -54,10 +65,12 @@ def scan_recordings(spark: SparkSession, path: str, chunk: int = 65_536) -> Data
                     yield pd.DataFrame([(session, 0, 0, 0, [], [], str(problem) or type(problem).__name__)], columns=names)
                     continue
                 right = values[:, -1]
-                starts = range(0, max(len(values), 1), chunk)
-                for piece in range(0, len(starts), 16):         # a few chunks per Arrow batch
-                    yield pd.DataFrame([(session, s // chunk, s, rate, values[s:s + chunk, 0], right[s:s + chunk], None)
-                                        for s in starts[piece:piece + 16]], columns=names)
+                session, first = continuation(content) or (session, 0)
+                edges = [0, *range(chunk - first % chunk, len(values), chunk), len(values)]
+                for piece in range(0, len(edges) - 1, 16):      # a few chunks per Arrow batch
+                    some = edges[piece:piece + 17]
+                    yield pd.DataFrame([(session, (first + a) // chunk, first + a, rate, values[a:b, 0], right[a:b], None)
+                                        for a, b in zip(some, some[1:])], columns=names)
     names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
     return files.select(stem_of(F.col("path")).alias("session_id"), "content").mapInPandas(decode, CHUNK_SCHEMA)
@@ -73,14 +86,14 @@ def write_recordings(chunks: DataFrame, path: str, rate: int = params.SAMPLE_RAT
     """Stereo 16-bit WAV files under ``path``; returns (session_id, path, frames).
 
     A recording longer than ``part_frames`` continues in files ``<session>_part00001`` and so on, so no task
-    (and no WAV header) meets more than that.  Samples are streamed, a task holds one chunk.  A file appears
+    (and no WAV header) meets more than that; a chunk in their header names the recording and position.  Samples are streamed, a task holds one chunk.  A file appears
     under its name only when complete, and a repeated task replaces it.
     """
     pieces = blocks_of(chunks.select("session_id", "first_sample", "left", "right"), part_frames, 0)
     name = F.when(F.col("block") == 0, F.col("session_id").cast("string")).otherwise(
         F.format_string("%s_part%05d", F.col("session_id").cast("string"), F.col("block")))
-    pieces = pieces.withColumn("session_id", name).drop("block")
-    sized = pieces.groupBy("session_id").agg(F.sum(F.size("left")).alias("frames"))
+    pieces = pieces.withColumn("recording", F.when(F.col("block") > 0, F.col("session_id").cast("string"))).withColumn("session_id", name).drop("block")
+    sized = pieces.groupBy("session_id").agg(F.sum(F.size("left")).alias("frames"), F.min("piece_start").alias("start"), F.min("recording").alias("recording"))
     coded = pieces.select("session_id", "piece_start", F.transform("left", encode_sample).alias("left"),
                           F.transform("right", encode_sample).alias("right")).join(sized, "session_id")
     ordered = coded.repartition("session_id").sortWithinPartitions("session_id", "piece_start")
@@ -99,7 +112,7 @@ def write_recordings(chunks: DataFrame, path: str, rate: int = params.SAMPLE_RAT
             system.move(temporary, f"{base}/{current}.wav")
             return pd.DataFrame([(str(current), f"{root}/{current}.wav", frames)], columns=["session_id", "path", "frames"])
         for batch in batches:
-            for session, left, right, count in zip(batch["session_id"], batch["left"], batch["right"], batch["frames"]):
+            for session, left, right, count, start, recording in zip(*(batch[c] for c in ("session_id", "left", "right", "frames", "start", "recording"))):
                 if session != current:
                     if stream is not None:
                         yield close()
@@ -107,8 +120,12 @@ def write_recordings(chunks: DataFrame, path: str, rate: int = params.SAMPLE_RAT
                     temporary = f"{base}/_{uuid.uuid4().hex}.tmp"
                     stream = system.open_output_stream(temporary)
                     size = frames * 4
-                    stream.write(struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + size, b"WAVE", b"fmt ", 16, 1, 2, rate,
-                                             rate * 4, 4, 16, b"data", size))
+                    extra = b""
+                    if recording is not None:
+                        name = recording.encode()
+                        extra = struct.pack("<4sIq", b"slpt", 8 + len(name), start) + name + bytes(len(name) % 2)
+                    stream.write(struct.pack("<4sI4s4sIHHIIHH", b"RIFF", 36 + len(extra) + size, b"WAVE", b"fmt ", 16, 1, 2, rate,
+                                             rate * 4, 4, 16) + extra + struct.pack("<4sI", b"data", size))
                 stream.write(np.stack([left, right], axis=1).astype("<i2").tobytes())
         if stream is not None:
             yield close()

@@ -226,6 +226,21 @@ def test_wav_files(spark, folder):
     assert assets["bad.wav"]["review_status"] == "invalid" and assets["a.wav"]["included"]
 
 
+def test_long_recordings_come_back_as_one(spark, folder):
+    rows = [("x", 3 * k, [(3 * k + i) / 64 for i in range(3)], [0.0] * 3) for k in range(7)] + [("x_part00001", 0, [.5], [.5])]
+    chunks = spark.createDataFrame(rows, "session_id string, first_sample bigint, left array<double>, right array<double>")
+    for part, chunk in ((8, 4), (4, 100), (5, 3)):
+        path = f"{folder}/{part}"
+        made = recordings.write_recordings(chunks.where("session_id = 'x'"), path, 8000, part_frames=part).collect()
+        assert len(made) == -(-21 // part) and sum(r["frames"] for r in made) == 21
+        back = recordings.scan_recordings(spark, path, chunk).orderBy("first_sample").collect()
+        assert {r["session_id"] for r in back} == {"x"} and all(r["chunk_idx"] == r["first_sample"] // chunk for r in back)
+        at = [r["first_sample"] + i for r in back for i in range(len(r["left"]))]
+        assert at == list(range(21)) and np.allclose([v for r in back for v in r["left"]], np.arange(21) / 64, atol=1e-4)
+    recordings.write_recordings(chunks.where("session_id <> 'x'"), f"{folder}/own", 8000).count()
+    assert [r["session_id"] for r in recordings.scan_recordings(spark, f"{folder}/own").collect()] == ["x_part00001"]
+
+
 def test_import_rescales_and_refuses(spark, folder):
     chunks = spark.createDataFrame([("x", 0, [0.0] * 9000, [0.0] * 9000)], "session_id string, first_sample bigint, left array<double>, right array<double>")
     schema = "class string, onset_sample bigint, end_sample bigint, source_hint string, reviewed boolean, uncertain boolean, scene_mode string"
