@@ -27,7 +27,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near duplicates stays: the smallest doc_id's, and of equal ids the smallest row key's."""
     groups = cut(simhash.near_duplicates(docs))
-    chosen = groups.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("pick"))
+    chosen = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "r1", "r2")).alias("pick"))
     keys = cut(chosen.select("pick.r1", "pick.r2"))
     r1, r2 = row_key("doc_id", text_of())
     keyed = docs.select(F.struct(*docs.columns).alias("doc"), r1.alias("r1"), r2.alias("r2"))

@@ -178,15 +178,16 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, r1, r2 (row key), fp, component_id: the smallest doc_id among all rows reachable over links.
+    """doc_id, r1, r2 (row key), fp, component_id: the smallest doc_id among all rows reachable over links; and root.
 
     Null texts are empty and have fingerprint zero, linked like any other.  Null ids never name a component unless it
-    has no other id.
+    has no other id.  Components with one component_id may be several, as ids can repeat or be null: ``root``, a
+    component's smallest fingerprint, tells them apart.
     """
     rows = cut(fingerprints(docs))
     distinct = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(links(distinct))
     rooted = cut(distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "least", F.coalesce("root", "fp").alias("root")))
     named = cut(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
-    by_fp = cut(rooted.join(named, "root").select("fp", "component_id"))
+    by_fp = cut(rooted.join(named, "root").select("fp", "component_id", "root"))
     return rows.join(by_fp, "fp")

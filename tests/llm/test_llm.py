@@ -355,3 +355,13 @@ def test_pipeline_stages(spark, docs):
     assert once.columns == wide.columns
     assert once.count() == simhash.near_duplicates(docs).select("component_id").distinct().count()
     assert stages["PII"](spark, wide, "").columns == wide.columns
+
+
+def test_unlike_texts_stay_though_their_group_has_no_own_id(spark):
+    import corpus_pipeline
+    rng = np.random.default_rng(8)
+    a, b, c, d = (" ".join(map(str, rng.integers(0, 10 ** 6, 40))) for _ in range(4))
+    rows = [(None, a), (None, a), (None, b), (4, c), (4, d), (5, d)]
+    wide = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = dict(corpus_pipeline.STAGES)["SimHash near-dedup"](spark, wide, "").collect()
+    assert Counter((r.doc_id, r.text) for r in got) == Counter([(None, a), (None, b), (4, c), (4, d)])
