@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import graphs, hmm, lines, multiindex, packing, pieces, pii, quality, simhash, suffixes
+from soundlake.llm import graphs, hmm, lines, merkle, multiindex, packing, pieces, pii, quality, simhash, suffixes
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -80,3 +80,32 @@ def embedding_groups(spark, sf_dir):
 @query("op7_sampled_pieces")
 def sampled_pieces(spark, sf_dir):
     return pieces.encode(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query("op12_merkle_manifest", r"""WITH RECURSIVE d AS (
+  SELECT *, row_number() OVER () AS rid, list_reduce(list_concat([4294967295], list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+    lambda a, b: list_reduce(list_concat([xor(a, b)], [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS c FROM documents),
+h AS (SELECT rid, doc_id, lang, n_chars + CASE WHEN xor(c, 4294967295) % 7 = 0 THEN 1 ELSE 0 END AS changed,
+    coalesce(strlen(doc_id::VARCHAR) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS front,
+    coalesce(strlen(n_chars::VARCHAR) || ':' || n_chars, '-') AS number, coalesce(strlen(text) || ':' || text, '-') AS back FROM d),
+l AS (SELECT rid, doc_id, lang, sha256(front || number || back) AS leaf,
+    sha256(front || coalesce(strlen(changed::VARCHAR) || ':' || changed, '-') || back) AS bad FROM h),
+leaves AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf, bad) - 1 AS idx FROM l),
+tree AS (SELECT lang, 0 AS level, list(leaf ORDER BY idx) AS nodes FROM leaves GROUP BY lang UNION ALL
+  SELECT lang, level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM tree WHERE len(nodes) > 1),
+subs AS (SELECT lang, nodes[1] AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS place FROM tree WHERE len(nodes) = 1),
+upper_tree AS (SELECT 0 AS level, list(subroot ORDER BY place) AS nodes FROM subs UNION ALL
+  SELECT level + 1, list_transform(range(1, len(nodes) + 1, 2), lambda i: sha256(nodes[i] || coalesce(nodes[i + 1], ''))) FROM upper_tree WHERE len(nodes) > 1),
+walk AS (SELECT rid, lang, 0 AS level, idx, bad AS digest, '' AS proof, false AS done FROM leaves UNION ALL
+  SELECT w.rid, w.lang, w.level + 1, w.idx // 2, CASE WHEN len(t.nodes) = 1 THEN w.digest WHEN w.idx % 2 = 0 THEN sha256(w.digest || coalesce(t.nodes[xor(w.idx, 1) + 1], ''))
+    ELSE sha256(t.nodes[xor(w.idx, 1) + 1] || w.digest) END, w.proof || CASE WHEN len(t.nodes) = 1 THEN '' ELSE coalesce(t.nodes[xor(w.idx, 1) + 1], '') END, len(t.nodes) = 1
+  FROM walk w JOIN tree t ON t.level = w.level AND t.lang IS NOT DISTINCT FROM w.lang WHERE NOT w.done),
+climb AS (SELECT w.rid, 0 AS level, s.place AS idx, w.digest, w.proof, false AS done, s.subroot FROM walk w JOIN subs s ON s.lang IS NOT DISTINCT FROM w.lang WHERE w.done UNION ALL
+  SELECT w.rid, w.level + 1, w.idx // 2, CASE WHEN len(t.nodes) = 1 THEN w.digest WHEN w.idx % 2 = 0 THEN sha256(w.digest || coalesce(t.nodes[xor(w.idx, 1) + 1], ''))
+    ELSE sha256(t.nodes[xor(w.idx, 1) + 1] || w.digest) END, w.proof || CASE WHEN len(t.nodes) = 1 THEN '' ELSE coalesce(t.nodes[xor(w.idx, 1) + 1], '') END, len(t.nodes) = 1, w.subroot
+  FROM climb w JOIN upper_tree t ON t.level = w.level WHERE NOT w.done),
+top AS (SELECT nodes[1] AS root FROM upper_tree WHERE len(nodes) = 1)
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS folded_root, digest = root AS verified
+FROM climb JOIN leaves USING (rid) CROSS JOIN top WHERE done""")
+def merkle_manifest(spark, sf_dir):
+    return merkle.tamper_check(table(spark, sf_dir, "documents"))
