@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import graphs, hmm, lines, merkle, multiindex, packing, pieces, pii, quality, simhash, suffixes
+from soundlake.llm import graphs, hmm, leaks, lines, merkle, multiindex, packing, pieces, pii, quality, simhash, suffixes
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -109,3 +109,22 @@ SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, digest AS fol
 FROM climb JOIN leaves USING (rid) CROSS JOIN top WHERE done""")
 def merkle_manifest(spark, sf_dir):
     return merkle.tamper_check(table(spark, sf_dir, "documents"))
+
+
+@query("op13_decontamination", r"""WITH b AS (
+  SELECT item_id, row_number() OVER () AS bid, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+bw AS (SELECT item_id, bid, least(10, len(ws)) AS n, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM b),
+bl AS (SELECT item_id, n, list(w) OVER (PARTITION BY bid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM bw),
+win AS (SELECT DISTINCT item_id, n, array_to_string(l[1:n], ' ') AS key FROM bl WHERE len(l) >= n),
+lens AS (SELECT DISTINCT n FROM win),
+d AS (SELECT row_number() OVER () AS rid, doc_id,
+    coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS ws FROM documents),
+dw AS (SELECT rid, unnest(ws) AS w, generate_subscripts(ws, 1) AS pos FROM d),
+dl AS (SELECT rid, pos, list(w) OVER (PARTITION BY rid ORDER BY pos ROWS BETWEEN CURRENT ROW AND 9 FOLLOWING) AS l FROM dw),
+m AS (SELECT rid, pos, win.n, item_id FROM (SELECT rid, pos, n, array_to_string(l[1:n], ' ') AS key FROM dl JOIN lens ON len(l) >= n) x JOIN win ON win.n = x.n AND win.key = x.key),
+hits AS (SELECT rid, count(DISTINCT place) AS n_hit FROM (SELECT DISTINCT rid, unnest(range(pos, pos + n)) AS place FROM m) GROUP BY rid),
+held AS (SELECT rid, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS names FROM m GROUP BY rid)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (rid) LEFT JOIN held USING (rid)""")
+def contaminated_documents(spark, sf_dir):
+    return leaks.leak_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
