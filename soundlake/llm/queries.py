@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from soundlake.llm import graphs, hmm, leaks, lines, merkle, multiindex, packing, pieces, pii, quality, simhash, suffixes
+from soundlake.llm import graphs, hmm, leaks, lines, merkle, multiindex, packing, pieces, pii, quality, simhash, suffixes, whitening
 from soundlake.llm.common import table
 
 QUERIES, SQL = {}, {}
@@ -128,3 +128,8 @@ SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items
 FROM d LEFT JOIN hits USING (rid) LEFT JOIN held USING (rid)""")
 def contaminated_documents(spark, sf_dir):
     return leaks.leak_report(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+@query("op11_embedding_whitening")
+def whitened_vectors(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
