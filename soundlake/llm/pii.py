@@ -28,12 +28,15 @@ _CARD = r"(?<![\d-])(?:\d{4}(?:[ -]?\d{3,6}){2,4}|\d{13,19})(?!-?\d)"
 _IBAN = r"\b[A-Z]{2}\d{2}(?:[A-Z0-9]{11,30}|(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
 _FIGURE = r"[ .()-]{0,3}\d"  # 8 to 15 of them since the plus; written out, as a look back takes no repeated groups
 _FIGURES = rf"(?<=\+{8 * _FIGURE}{7 * f'(?:{_FIGURE}'}{7 * ')?'}\)?)"
+# labels up to the last one that begins with two letters, of that one its letters; nothing is taken back, as Java's matcher
+# goes one call deeper for each repetition of a group that could be
+_DOMAIN = r"(?=[A-Za-z0-9-])(?:[A-Za-z0-9-]*+(?:\.(?![A-Za-z]{2})[A-Za-z0-9-]++)*+\.[A-Za-z]{2,}+)++"
 # fixed values: the notations looked for, tried in this order at each place; no expression checks account and card numbers,
 # their places are taken by the text's own valid numbers, and a phone number ends where a valid card number begins
 FORMS = (
     ("secret", r"(?i:\b(?:api[_-]?key|access[_-]?key|secret|token|passw(?:or)?d|pwd|auth[_-]?key|key)\b[\"']?[ \t]*[:=][ \t]*[\"']?)[A-Za-z0-9_\-+/.]{16,}"),
     ("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{36,}\b|\bsk-[A-Za-z0-9_-]{20,}\b"),
-    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"),
+    ("email", r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9_%+][A-Za-z0-9._%+-]*@" + _DOMAIN),
     ("ip", rf"(?<![\d.]){_OCTET}(?:\.{_OCTET}){{3}}(?![\d]|\.\d)"),
     ("iban", "<iban>"),
     ("date", rf"(?<![\d/.-])(?:{_DATES})(?![\d]|[/.-]\d)"),
@@ -267,14 +270,14 @@ def pseudonymise(docs: DataFrame, key: str = "change-me") -> DataFrame:
 
     All other columns pass; an input column named n_found or kinds is replaced.
     """
-    text = text_of()
-    own = [F.col(c) for c in docs.columns if c not in ("text", "n_found", "kinds")]
-    split = docs.withColumn("_numbers", valid_numbers(text)).withColumn("_any", pattern_of(F.col("_numbers"))).select(
-        *own, F.col("text").alias("_was"), "_any", F.regexp_extract_all(text, F.col("_any"), F.lit(0)).alias("_found"))
-    swapped = split.withColumn("_new", F.transform("_found", lambda m: pseudonym(m, key)))
-    between = F.split(F.coalesce(F.col("_was"), F.lit("")), F.col("_any"), -1)
-    pieces = F.zip_with(between, F.transform("_new", lambda x: x["value"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
-    done = F.when(F.size("_found") == 0, F.col("_was")).otherwise(F.array_join(pieces, ""))
-    kinds = F.filter(F.transform("_new", lambda x: x["kind"]), lambda k: k.isNotNull())
-    return swapped.select(*own, done.alias("text"), F.size(kinds).alias("n_found"), F.array_sort(F.array_distinct(kinds)).alias("kinds")).select(
-        *[c for c in docs.columns if c not in ("n_found", "kinds")], "n_found", "kinds")
+    own = [c for c in docs.columns if c not in ("text", "n_found", "kinds")]
+    rows = docs.select(F.struct(*own).alias("doc") if own else F.lit(0).alias("doc"), F.col("text").alias("was"), valid_numbers(text_of()).alias("numbers"))
+    split = rows.withColumn("any", pattern_of(F.col("numbers"))).withColumn("found", F.regexp_extract_all(text_of("was"), F.col("any"), F.lit(0)))
+    swapped = split.withColumn("new", F.transform("found", lambda m: pseudonym(m, key)))
+    between = F.split(text_of("was"), F.col("any"), -1)
+    pieces = F.zip_with(between, F.transform("new", lambda x: x["value"]), lambda a, b: F.concat(a, F.coalesce(b, F.lit(""))))
+    done = F.when(F.size("found") == 0, F.col("was")).otherwise(F.array_join(pieces, ""))
+    kinds = F.filter(F.transform("new", lambda x: x["kind"]), lambda k: k.isNotNull())
+    # only here do the input's names meet those made on the way
+    return swapped.select(*[done.alias(c) if c == "text" else F.col("doc")[c].alias(c) for c in docs.columns if c not in ("n_found", "kinds")],
+                          F.size(kinds).alias("n_found"), F.array_sort(F.array_distinct(kinds)).alias("kinds"))
