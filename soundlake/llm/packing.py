@@ -46,6 +46,21 @@ def encoder(path: str):
     return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
 
 
+def encode_text(path: str):
+    """Any text to its ids.  A run of about a million blanks is too much for the faster library's pattern; the other one takes such texts."""
+    fast, slow = encoder(path).encode_to_numpy, []
+
+    def encode(text):
+        try:
+            return fast(text, allowed_special="all")
+        except ValueError:
+            if not slow:
+                import tokenizers
+                slow.append(tokenizers.Tokenizer.from_file(path))
+            return np.array(slow[0].encode(text, add_special_tokens=False).ids, np.int64)
+    return encode
+
+
 def cut_points(n: int, capacity: int) -> list[int]:
     """Starts of a document's pieces: only longer documents are cut, and the first piece takes the remainder."""
     return [0] if n <= capacity else [0, *range(n % capacity or capacity, n, capacity)]
@@ -58,11 +73,11 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
 
     def run(batches):
         import public_tokenizers
-        encode = encoder(public_tokenizers.path(tokenizer)).encode_to_numpy
+        encode = encode_text(public_tokenizers.path(tokenizer))
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.append(encode(text, allowed_special="all"), END).astype("<u4")
+                ids = np.append(encode(text), END).astype("<u4")
                 starts = cut_points(len(ids), capacity)
                 for k, (a, b) in enumerate(zip(starts, [*starts[1:], len(ids)])):
                     out.append((doc_id, k, a, b - a, zlib.crc32(ids[a:b].tobytes())))
