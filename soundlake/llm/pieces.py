@@ -222,8 +222,9 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1
     Null and empty texts have no pieces.  Rows that are equal in id and text get the same pieces.
     """
     own = [c for c in docs.columns if c not in ("text", "ids", "n_pieces", "lossless")]
-    shape = docs.select(*own).schema
-    kept = docs.select(*own, row_key("doc_id", text_of())[0].alias("_key"), text_of().alias("_text"))
+    row = F.struct(*own) if own else F.lit(0)
+    kept = docs.select(row.alias("doc"), row_key("doc_id", text_of())[0].alias("_key"), text_of().alias("_text"))
+    shape = kept.select("doc").schema
 
     def run(batches):
         import public_tokenizers
@@ -246,4 +247,5 @@ def encode(docs: DataFrame, model: str = "piece_bpe_32k.model", alpha: float = 1
                                                  names=[*part.schema.names[:-2], "ids", "n_pieces", "lossless"])
                 at = end
 
-    return kept.mapInArrow(run, shape.add("ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("lossless", "boolean"))
+    out = kept.mapInArrow(run, shape.add("ids", T.ArrayType(T.IntegerType())).add("n_pieces", "long").add("lossless", "boolean"))
+    return out.select(*[F.col("doc")[c].alias(c) for c in own], "ids", "n_pieces", "lossless")

@@ -148,8 +148,9 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 2, label: str = "quali
     weights, constant = train(sample(docs, labels, fold, label, max_rows))
     model = docs.sparkSession.sparkContext.broadcast((weights, constant))  # BUCKETS numbers
 
-    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted", "_text")]
-    shape = docs.select(*own).schema
+    own = [c for c in docs.columns if c not in ("held_out", "score", "predicted")]
+    rows = docs.select(F.struct(*own).alias("doc"), text_of().alias("text"), (remainder("doc_id", 4) == fold).alias("held_out"))
+    shape = rows.select("doc").schema
 
     def run(batches):
         rate = scorer(*model.value)
@@ -160,6 +161,5 @@ def score(docs: DataFrame, labels: DataFrame, fold: int = 2, label: str = "quali
             yield pa.RecordBatch.from_arrays([*batch.columns[:-2], batch.column(batch.num_columns - 1), pa.array(scores)],
                                              names=[*batch.schema.names[:-2], "held_out", "score"])
 
-    kept = docs.select(*own, text_of().alias("_text"), (remainder("doc_id", 4) == fold).alias("held_out"))
-    out = kept.mapInArrow(run, shape.add("held_out", "boolean").add("score", "double"))
-    return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
+    out = rows.mapInArrow(run, shape.add("held_out", "boolean").add("score", "double"))
+    return out.select(*[F.col("doc")[c].alias(c) for c in own], "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"))

@@ -300,8 +300,9 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWD) ->
         runs = runs.unionByName(hits)
     spans = shared.select("r1", "r2", "h", "c", "at").join(runs, ["h", "c"]).dropDuplicates(["r1", "r2", "h", "c"]).groupBy("r1", "r2").agg(
         F.collect_list(F.struct("at", "runs")).alias("_spans"))
-    joined = texts.join(spans, ["r1", "r2"], "left").select("_own.*", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("_text"), "_spans")
-    shape = joined.select(*own, "n_bytes").schema
+    joined = texts.join(spans, ["r1", "r2"], "left").select("_own", F.octet_length("text").cast("long").alias("n_bytes"), F.col("text").alias("_text"), "_spans")
+    shape = joined.select("_own", "n_bytes").schema
     for name, kind in (("kept", "binary"), ("n_removed", "long"), ("n_spans", "long"), ("kept_sha256", "string")):
         shape = shape.add(name, kind)
-    return joined.mapInArrow(_remove(length), shape)
+    made = joined.mapInArrow(_remove(length), shape)
+    return made.select(*[F.col("_own")[c].alias(c) for c in own], *made.columns[1:])
