@@ -382,7 +382,7 @@ def resample_linear(samples: DataFrame, from_rate: int, to_rate: int, key: str,
 LOBES = 32  # zero crossings of the interpolation kernel on each side
 
 
-def _interpolate(x: np.ndarray, from_rate: int, to_rate: int, block: int = 1 << 14) -> np.ndarray:
+def interpolate(x: np.ndarray, from_rate: int, to_rate: int, block: int = 1 << 14) -> np.ndarray:
     """One channel at another rate: every output is a sum of nearby inputs under a sinc kernel tapered by a Hann window.
 
     The kernel's cut-off is the lower of both half rates; outside the clip is silence.  With the rates' ratio in lowest
@@ -407,7 +407,7 @@ def resample_clips(clips: DataFrame, to_rate: int = params.SAMPLE_RATE) -> DataF
     """Clips held in one row to ``to_rate``, band-limited; long recordings use ``resample_linear`` on their samples."""
     @F.pandas_udf("array<double>")
     def convert(values: pd.Series, rates: pd.Series) -> pd.Series:
-        return pd.Series([np.asarray(v, float) if r == to_rate or not len(v) else _interpolate(np.asarray(v, float), int(r), to_rate)
+        return pd.Series([np.asarray(v, float) if r == to_rate or not len(v) else interpolate(np.asarray(v, float), int(r), to_rate)
                           for v, r in zip(values, rates)])
     return clips.withColumns({c: convert(F.col(c), F.col("sample_rate")) for c in ("left", "right")}).withColumn(
         "sample_rate", F.lit(to_rate))

@@ -44,9 +44,12 @@ def write_recordings(spark, sf_dir):
     return files.select("session_id", F.floor((F.col("bytes") - 44) / 4).alias("frames"), "bytes")
 
 
-@query("scan_inventory_tree", v.sql("""SELECT CAST(session_id AS VARCHAR) || '.wav' AS relative_path, 'other' AS label, true AS included, '' AS duplicate_of FROM sizes""", *SIG))
+@query("scan_inventory_tree", v.sql(f"""SELECT CAST(session_id AS VARCHAR) || '.wav' AS relative_path, 'other' AS label, true AS included, '' AS duplicate_of,
+  coalesce(min(idx) FILTER (WHERE level >= greatest(0.005, 0.02 * peak)), 0) AS active_offset_samples FROM (
+  SELECT *, max(level) OVER (PARTITION BY session_id) AS peak FROM (SELECT session_id, idx, greatest(abs({CODED.format(x=LEFT)}), abs({CODED.format(x=RIGHT)})) AS level FROM signal))
+  GROUP BY session_id""", *SIG))
 def scan_inventory_tree(spark, sf_dir):
-    return recordings.scan_inventory_tree(spark, stored_audio(spark, sf_dir)).select("relative_path", "label", "included", "duplicate_of")
+    return recordings.scan_inventory_tree(spark, stored_audio(spark, sf_dir)).select("relative_path", "label", "included", "duplicate_of", "active_offset_samples")
 
 
 @query("export_clips", v.sql("""SELECT session_id || '_' || event_id AS session_id, 12 AS frames FROM signal JOIN sizes USING (session_id) WHERE idx >= 5 AND idx + 7 <= n AND value > 60""", *SIG))

@@ -3,77 +3,38 @@
 from __future__ import annotations
 
 import io
-import os
-import struct
-import uuid
-import wave
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from soundlake import params
 from soundlake.functions.scalar import asset_id, content_hash
 from soundlake.operators import corpus
-from soundlake.operators.features import blocks_of, extract_windows
-
-CHUNK_SCHEMA = ("session_id string, chunk_idx bigint, first_sample bigint, sample_rate int, "
-                "left array<float>, right array<float>, error string")
-
+from soundlake.operators.features import blocks_of, extract_windows, interpolate
+from soundlake.session import cut_lineage
+from soundlake.sources import wav
 
 def decode_pcm(content: bytes) -> tuple[int, np.ndarray]:
     """Rate and float [frames, channels] of 8- or 16-bit PCM with one or two channels."""
-    with wave.open(io.BytesIO(content)) as reader:
-        width, channels = reader.getsampwidth(), reader.getnchannels()
-        if width not in (1, 2) or channels not in (1, 2):
-            raise ValueError(f"unsupported PCM: {8 * width} bit, {channels} channels")
-        raw = reader.readframes(reader.getnframes())
-        rate = reader.getframerate()
-    if width == 1:
-        values = (np.frombuffer(raw, np.uint8).astype(np.float32) - 128.0) / 128.0
-    else:
-        values = np.frombuffer(raw[:len(raw) // 2 * 2], "<i2").astype(np.float32) / 32768.0
-    return rate, values[:len(values) // channels * channels].reshape(-1, channels)
-
-
-def continuation(content: bytes) -> tuple[str, int] | None:
-    """Recording and first position of a file that continues one, from the chunk that ``write_recordings`` puts after the format."""
-    if content[36:40] != b"slpt":
-        return None
-    size, first = struct.unpack_from("<Iq", content, 40)
-    return content[52:44 + size].decode(), first
+    head = wav.read_header(io.BytesIO(content), len(content))
+    raw = content[head.data:head.data + head.frames * head.width * head.channels]
+    return head.rate, wav.decode(raw, head.width, head.channels)
 
 
 def stem_of(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
-def scan_recordings(spark: SparkSession, path: str, chunk: int = 65_536) -> DataFrame:
+def scan_recordings(spark: SparkSession, path: str, chunk: int = wav.CHUNK, split_bytes: int = wav.SPLIT_BYTES) -> DataFrame:
     """WAV files of a directory as chunk rows; an undecodable file is one row with ``error``.
 
-    Files that continue a recording are rows of that recording; a chunk that two files share is two rows.
+    Files that continue a recording are rows of that recording; a chunk that two files share is two rows.  A task reads about
+    ``split_bytes``, whatever the size of the files.
     """
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for session, content in zip(batch["session_id"], batch["content"]):
-                try:
-                    rate, values = decode_pcm(content)
-                except Exception as problem:
-                    yield pd.DataFrame([(session, 0, 0, 0, [], [], str(problem) or type(problem).__name__)], columns=names)
-                    continue
-                right = values[:, -1]
-                session, first = continuation(content) or (session, 0)
-                edges = [0, *range(chunk - first % chunk, len(values), chunk), len(values)]
-                for piece in range(0, len(edges) - 1, 16):      # a few chunks per Arrow batch
-                    some = edges[piece:piece + 17]
-                    yield pd.DataFrame([(session, (first + a) // chunk, first + a, rate, values[a:b, 0], right[a:b], None)
-                                        for a, b in zip(some, some[1:])], columns=names)
-    names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(path)
-    return files.select(stem_of(F.col("path")).alias("session_id"), "content").mapInPandas(decode, CHUNK_SCHEMA)
+    spark.dataSource.register(wav.Recordings)
+    return spark.read.format(wav.FORMAT).option("chunk", chunk).option("split_bytes", split_bytes).load(wav.resolved(spark, path))
 
 
 def encode_sample(x: Column) -> Column:
@@ -86,64 +47,46 @@ def write_recordings(chunks: DataFrame, path: str, rate: int = params.SAMPLE_RAT
     """Stereo 16-bit WAV files under ``path``; returns (session_id, path, frames).
 
     A recording longer than ``part_frames`` continues in files ``<session>_part00001`` and so on, so no task
-    (and no WAV header) meets more than that; a chunk in their header names the recording and position.  Samples are streamed, a task holds one chunk.  A file appears
-    under its name only when complete, and a repeated task replaces it.
+    meets more than that; a chunk in their header names the recording and position.  Samples are streamed.  Files appear
+    under their names when all tasks are done; a file of the same name is replaced.
     """
+    spark = chunks.sparkSession
+    spark.dataSource.register(wav.Recordings)
     pieces = blocks_of(chunks.select("session_id", "first_sample", "left", "right"), part_frames, 0)
-    name = F.when(F.col("block") == 0, F.col("session_id").cast("string")).otherwise(
-        F.format_string("%s_part%05d", F.col("session_id").cast("string"), F.col("block")))
-    pieces = pieces.withColumn("recording", F.when(F.col("block") > 0, F.col("session_id").cast("string"))).withColumn("session_id", name).drop("block")
-    sized = pieces.groupBy("session_id").agg(F.sum(F.size("left")).alias("frames"), F.min("piece_start").alias("start"), F.min("recording").alias("recording"))
-    coded = pieces.select("session_id", "piece_start", F.transform("left", encode_sample).alias("left"),
-                          F.transform("right", encode_sample).alias("right")).join(sized, "session_id")
-    ordered = coded.repartition("session_id").sortWithinPartitions("session_id", "piece_start")
-    root = path.rstrip("/")
-
-    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if "://" in root:
-            system, base = fs.FileSystem.from_uri(root)
-        else:
-            system, base = fs.LocalFileSystem(), os.path.abspath(root.removeprefix("file:"))
-        system.create_dir(base, recursive=True)
-        current, stream, temporary, frames = None, None, "", 0
-
-        def close():
-            stream.close()
-            system.move(temporary, f"{base}/{current}.wav")
-            return pd.DataFrame([(str(current), f"{root}/{current}.wav", frames)], columns=["session_id", "path", "frames"])
-        for batch in batches:
-            for session, left, right, count, start, recording in zip(*(batch[c] for c in ("session_id", "left", "right", "frames", "start", "recording"))):
-                if session != current:
-                    if stream is not None:
-                        yield close()
-                    current, frames = session, int(count)
-                    temporary = f"{base}/_{uuid.uuid4().hex}.tmp"
-                    stream = system.open_output_stream(temporary)
-                    size = frames * 4
-                    extra = b""
-                    if recording is not None:
-                        name = recording.encode()
-                        extra = struct.pack("<4sIq", b"slpt", 8 + len(name), start) + name + bytes(len(name) % 2)
-                    stream.write(struct.pack("<4sI4s4sIHHIIHH", b"RIFF", 36 + len(extra) + size, b"WAVE", b"fmt ", 16, 1, 2, rate,
-                                             rate * 4, 4, 16) + extra + struct.pack("<4sI", b"data", size))
-                stream.write(np.stack([left, right], axis=1).astype("<i2").tobytes())
-        if stream is not None:
-            yield close()
-    return ordered.mapInPandas(write, "session_id string, path string, frames bigint")
+    session = F.col("session_id").cast("string")
+    name = F.when(F.col("block") == 0, session).otherwise(F.format_string("%s_part%05d", session, F.col("block")))
+    pieces = pieces.select(name.alias("file"), "piece_start", F.when(F.col("block") > 0, session).alias("recording"), "left", "right")
+    sized = cut_lineage(pieces.groupBy("file").agg(F.sum(F.size("left")).alias("frames"), F.min("piece_start").alias("position"), F.min("recording").alias("recording")))
+    coded = pieces.select("file", "piece_start", F.transform("left", encode_sample).alias("left"), F.transform("right", encode_sample).alias("right")).join(sized, "file")
+    ordered = coded.repartition("file").sortWithinPartitions("file", "piece_start").select("file", "position", "frames", "recording", "left", "right")
+    ordered.write.format(wav.FORMAT).option("rate", rate).mode("append").save(wav.resolved(spark, path))
+    return sized.select(F.col("file").alias("session_id"), F.concat(F.lit(path.rstrip("/") + "/"), "file", F.lit(".wav")).alias("path"), "frames")
+
+
+def onset_in_clip(rate: int, values: np.ndarray, before: float = 0.02) -> int:
+    """Audible onset of a clip at the common rate, counted from where its silence is trimmed to."""
+    if not len(values):
+        if rate != params.SAMPLE_RATE:
+            raise ValueError("an empty clip has no rate to change")
+        return 0
+    sides = values.astype(float).T
+    if rate != params.SAMPLE_RATE:
+        sides = [interpolate(x, rate, params.SAMPLE_RATE).astype(np.float32) for x in sides]
+    level = np.abs(sides).max(axis=0)
+    loud = np.flatnonzero(level >= max(0.005, 0.02 * float(level.max(initial=0))))
+    return min(int(loud[0]), round(before * params.SAMPLE_RATE)) if len(loud) else 0
 
 
 def scan_inventory_tree(spark: SparkSession, root: str) -> DataFrame:
-    """All WAV files below ``root`` as assets: hash, class by path, first path of a content is canonical."""
+    """All WAV files below ``root`` as assets: hash, class by path, onset; the first path of a content is canonical."""
     @F.pandas_udf("struct<frames:bigint,offset:bigint>")
     def probe(contents: pd.Series) -> pd.DataFrame:
         rows = []
         for content in contents:
             try:
-                _, values = decode_pcm(content)
-                loud = np.abs(values).max(axis=1) if len(values) else np.zeros(0)
-                active = np.flatnonzero(loud >= max(0.005, 0.02 * loud.max())) if len(loud) else []
-                rows.append((len(values), int(active[0]) if len(active) else 0))
-            except Exception:
+                rate, values = decode_pcm(content)
+                rows.append((len(values), onset_in_clip(rate, values)))
+            except ValueError:
                 rows.append((None, None))
         return pd.DataFrame(rows, columns=["frames", "offset"])
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.wav").load(root)
