@@ -10,7 +10,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -164,155 +167,263 @@ def is_near(prefix: str = "near") -> Column:
 #   spacing: a later row takes over when it is >= reach away (the held row is then final) or when it is
 #            closer but scores strictly higher (the held row is dropped);
 #   span:    a later row takes over when it is > reach away; rows in between belong to the held row.
-# Pass 1 walks every slice once from each row that could be the first to take over there, and keeps
-# the row held at the end.  Pass 2 follows those per key, one record per slice.  Pass 3 walks each slice
-# again, now knowing what is held on entry.
-
-
-def _takes(held_pos, held_score, pos, score, reach, spacing: bool) -> bool:
-    if spacing:
-        return pos - held_pos >= reach or score > held_score
-    return pos - held_pos > reach
-
-
-def _sorted_rows(df: DataFrame, by: Sequence[str], order: Sequence[str]) -> DataFrame:
-    return df.repartition(*by).sortWithinPartitions(*by, *order)
-
-
-def _explore(keys: list[str], spacing: bool, width: int):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, heads, walkers, open_head = None, [], {}, True
-
-        def record():
-            ends = {h: row for row, hs in walkers.items() for h in hs}
-            return (*current, [{"pos": p, "score": s, "end_pos": ends[i][1], "end_score": ends[i][2]}
-                               for i, (p, s, _) in enumerate(heads)], heads[0][2])
-
-        for batch in batches:
-            done = []
-            columns = [batch[k].tolist() for k in (*keys, SLICE)]
-            rows = zip(zip(*columns), batch["_p"].tolist(), batch["_s"].tolist(), batch["_r"].tolist(),
-                       range(len(batch)))
-            for group, pos, score, reach, _ in rows:
-                if group != current:
-                    if current is not None:
-                        done.append(record())
-                    current, heads, walkers, open_head, count = group, [], {}, True, 0
-                count += 1
-                row = (count, pos, score)
-                moved = [h for h in walkers if _takes(h[1], h[2], pos, score, reach, spacing)]
-                arrivals = [i for h in moved for i in walkers.pop(h)]
-                if open_head:
-                    arrivals.append(len(heads))
-                    heads.append((pos, score, reach))
-                    edge = group[-1] * width + reach
-                    open_head = pos < edge if spacing else pos <= edge
-                if arrivals:
-                    walkers[row] = arrivals
-            if done:
-                yield pd.DataFrame(done, columns=[*keys, SLICE, "heads", "reach"])
-        if current is not None:
-            yield pd.DataFrame([record()], columns=[*keys, SLICE, "heads", "reach"])
+# Who takes over from a row depends on that row alone, so rows form a forest and the chain is a path in it.
+# Rows are sorted by range into partitions of a bounded number of rows, whatever the keys and however dense.
+# A key inside one partition is finished there.  For the others, each partition's part of the key is a map
+# from the row held on entry to the row held at the end; maps are composed FAN at a time, level by level, the
+# entries come back down the same way, and the parts are finished knowing theirs.
+
+FAN = 64
+PART_ROWS = 500_000
+
+
+def _takers(pos: np.ndarray, score: np.ndarray | None, reach: np.ndarray, fresh: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each row the row that takes over, by distance and altogether; the end of its segment (``fresh`` begins one) if none does."""
+    n = len(pos)
+    begin = np.flatnonzero(fresh)
+    end = np.repeat(np.r_[begin[1:], n], np.diff(np.r_[begin, n]))
+    # segments end to end on one axis, each more than its reach from the next
+    last = np.r_[begin[1:], n] - 1
+    room = pos[last] - pos[begin] + reach[begin] + 1
+    axis = pos + np.repeat(np.cumsum(room) - room - pos[begin], np.diff(np.r_[begin, n]))
+    far = np.minimum(np.searchsorted(axis, axis + reach), end)
+    if score is None:
+        return far, far
+    higher, waiting, values = [n] * n, [], score.tolist()
+    for i, value in enumerate(values):  # a stack of rows that nothing higher has followed yet
+        while waiting and values[waiting[-1]] < value:
+            higher[waiting.pop()] = i
+        waiting.append(i)
+    return far, np.minimum(far, np.array(higher, dtype=np.int64))
+
+
+def _ends(taker: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The last row of the path from each row that lies before ``stop``."""
+    rows = np.arange(len(taker))
+    jump = np.where(taker < stop, taker, rows)
+    while not np.array_equal(jump, further := jump[jump]):
+        jump = further
+    return jump
+
+
+class _Map:
+    """What a stretch of a key does to the held row: its rows that can be first to take over, and what is held at the end then.
+
+    ``open``: all its rows are within reach of the first, so a row may be held all through.
+    """
+
+    def __init__(self, reach, open_, pos, score, end_pos, end_score, end_part):
+        self.reach, self.open, self.pos, self.score = int(reach), bool(open_), pos, score
+        self.end_pos, self.end_score, self.end_part = end_pos, end_score, end_part
+        self.highest = np.maximum.accumulate(score)
+
+    def packed(self) -> bytes:
+        return np.concatenate([np.array([self.reach, self.open], np.int64), self.pos, self.score.view(np.int64), self.end_pos,
+                               self.end_score.view(np.int64), self.end_part]).tobytes()
+
+    @classmethod
+    def unpacked(cls, data: bytes) -> _Map:
+        x = np.frombuffer(data, np.int64)
+        pos, score, end_pos, end_score, end_part = x[2:].reshape(5, -1)
+        return cls(x[0], x[1], pos, score.view(float), end_pos, end_score.view(float), end_part)
+
+    def first(self, pos, score):
+        """Index of the row that takes over from held rows, the number of rows if none does."""
+        return np.minimum(np.searchsorted(self.pos, pos + self.reach), np.searchsorted(self.highest, score, side="right"))
+
+    def then(self, later: _Map) -> _Map:
+        at = later.first(self.end_pos, self.end_score)
+        taken, at = at < len(later.pos), np.minimum(at, len(later.pos) - 1)
+        ends = [np.where(taken, getattr(later, c)[at], getattr(self, c)) for c in ("end_pos", "end_score", "end_part")]
+        if not self.open:
+            return _Map(self.reach, False, self.pos, self.score, *ends)
+        # rows of the later stretch up to the first one out of reach can take over as well
+        more = slice(0, int(np.searchsorted(later.pos, self.pos[0] + self.reach)) + 1)
+        both = [np.concatenate([a, getattr(later, c)[more]]) for a, c in zip((self.pos, self.score, *ends), ("pos", "score", "end_pos", "end_score", "end_part"))]
+        return _Map(self.reach, later.open and later.pos[-1] < self.pos[0] + self.reach, *both)
+
+
+def _path(steps: list[int], entry: int, end: int) -> np.ndarray:
+    path = []
+    while entry < end:
+        path.append(entry)
+        entry = steps[entry]
+    return np.array(path, dtype=np.int64)
+
+
+def _kept(path: np.ndarray, far: np.ndarray, taker: np.ndarray, dropped: bool = False) -> np.ndarray:
+    """Rows of a path that nothing higher and closer has replaced; ``dropped``: its last row is replaced further on."""
+    if dropped:
+        path = path[:-1]
+    return path[taker[path] == far[path]]
+
+
+def _anchors(path: np.ndarray, pos: np.ndarray, begin: int, end: int, held: int) -> np.ndarray:
+    """For each row of a segment the position of the path's latest row, ``held`` before the first."""
+    latest = np.zeros(end - begin, dtype=np.int64)
+    latest[path - begin] = path + 1
+    latest = np.maximum.accumulate(latest)
+    return np.where(latest > 0, pos[latest - 1], held)
+
+
+def _chain_explore(keys: list[str], names: list[str], spacing: bool):
+    """Finish whole keys; of a partition's first and last key give the rows and the map."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        n = table.num_rows
+        fresh = np.zeros(n, bool)
+        fresh[0] = True
+        for k in keys:
+            code = table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+            fresh[1:] |= code[1:] != code[:-1]
+        pos, reach = table["_p"].to_numpy(), table["_r"].to_numpy()
+        score = table["_s"].to_numpy() if spacing else None
+        far, taker = _takers(pos, score, reach, fresh)
+        begin = np.flatnonzero(fresh)
+        end = np.r_[begin[1:], n]
+        edge = {0: 0, len(begin) - 1: min(1, len(begin) - 1)}
+        payload, steps, done = table.select(names), taker.tolist(), []
+        for k in range(1, len(begin) - 1):
+            a, b = int(begin[k]), int(end[k])
+            path = _path(steps, a, b)
+            done.append(_kept(path, far, taker) if spacing else _anchors(path, pos, a, b, 0))
+
+        def out(rows, seg, i, anchor, data):
+            m = rows.num_rows
+            columns = [*rows.columns, pa.array(np.full(m, part)), pa.array(np.full(m, seg, np.int32)), i, anchor, data]
+            return pa.table(columns, names=[*names, "_part", "_seg", "_i", "_anchor", "_map"]).combine_chunks().to_batches()
+        if done:
+            rows = np.concatenate(done) if spacing else np.arange(begin[1], begin[-1])
+            anchor = pa.nulls(len(rows), pa.int64()) if spacing else pa.array(np.concatenate(done))
+            yield from out(payload.take(pa.array(rows)), -1, pa.array(rows), anchor, pa.nulls(len(rows), pa.binary()))
+        for k, seg in edge.items():
+            a, b = int(begin[k]), int(end[k])
+            m = b - a
+            yield from out(payload.slice(a, m), seg, pa.array(np.arange(m)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.binary()))
+            ends = _ends(taker[a:b] - a, np.full(m, m))
+            most = min(m, int(np.searchsorted(pos[a:b], pos[a] + reach[a])) + 1)
+            value = score[a:b] if spacing else np.zeros(m)
+            stretch = _Map(reach[a], pos[b - 1] < pos[a] + reach[a], pos[a:a + most], value[:most], pos[a:b][ends[:most]], value[ends[:most]], np.full(most, part, np.int64))
+            yield from out(payload.slice(a, 1), seg, pa.array([-1]), pa.nulls(1, pa.int64()), pa.array([stretch.packed()], pa.binary()))
+    return run
+
+
+def _compose(names: list[str]):
+    """One map of up to FAN consecutive ones."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_part")
+        found = _Map.unpacked(rows["_map"].iloc[0])
+        for data in rows["_map"].iloc[1:]:
+            found = found.then(_Map.unpacked(data))
+        return rows.iloc[:1].assign(_map=found.packed())[names]
     return run
 
 
-def _follow(keys: list[str], spacing: bool):
-    out_columns = [*keys, SLICE, "in_pos", "in_score", "entry", "tail_dropped"]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held, waiting = None, None, []
-        for batch in batches:
-            done = []
-            for *group, piece, heads, reach in batch[[*keys, SLICE, "heads", "reach"]].itertuples(index=False):
-                if group != current:
-                    done.extend(waiting)
-                    current, held, waiting = group, None, []
-                entry, dropped = -1, False
-                for index, head in enumerate(heads):
-                    if held is None or _takes(held[0], held[1], head["pos"], head["score"], reach, spacing):
-                        entry = index
-                        dropped = held is not None and spacing and head["pos"] - held[0] < reach
-                        break
-                record = [*group, piece, *(held or (None, None)), entry, False]
-                if entry >= 0:
-                    if waiting:
-                        waiting[0][-1] = dropped
-                    done.extend(waiting)
-                    waiting = [record]
-                    held = (heads[entry]["end_pos"], heads[entry]["end_score"])
-                else:
-                    waiting.append(record)
-            if done:
-                yield pd.DataFrame(done, columns=out_columns)
-        if waiting:
-            yield pd.DataFrame(waiting, columns=out_columns)
+def _descend(names: list[str]):
+    """What is held on entry to each of up to FAN stretches, from what is held on entry to the first; rows with ``_drop`` name a
+    partition whose last held row an other one dropped."""
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("_part")
+        first = rows.iloc[0]
+        held = None if pd.isna(first["_in_pos"]) else (int(first["_in_pos"]), float(first["_in_score"]), int(first["_in_part"]))
+        entries, drops = [], []
+        for data, part in zip(rows["_map"], rows["_part"]):
+            stretch = _Map.unpacked(data)
+            entries.append(held or (None, None, None))
+            at = int(stretch.first(held[0], held[1])) if held else 0
+            if at < len(stretch.pos):
+                if held and stretch.pos[at] < held[0] + stretch.reach:
+                    drops.append(held[2])
+                held = int(stretch.end_pos[at]), float(stretch.end_score[at]), int(stretch.end_part[at])
+        rows = rows.assign(**{c: pd.array([e[i] for e in entries], dtype=t) for i, (c, t) in enumerate(
+            (("_in_pos", "Int64"), ("_in_score", "Float64"), ("_in_part", "Int64")))}, _drop=pd.array([None] * len(rows), dtype="Int64"))
+        if drops:
+            rows = pd.concat([rows, pd.concat([rows.iloc[:1]] * len(drops)).assign(_drop=pd.array(drops, dtype="Int64"))])
+        return rows[names]
     return run
 
 
-def _mark(keys: list[str], names: list[str], spacing: bool):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, held_row, held = None, None, None
-        tail_dropped = False
-        for batch in batches:
-            groups = list(zip(*[batch[k].tolist() for k in (*keys, SLICE)]))
-            pos, score, reach = (batch[c].tolist() for c in ("_p", "_s", "_r"))
-            in_pos, in_score = batch["in_pos"].tolist(), batch["in_score"].tolist()
-            dropped = batch["tail_dropped"].tolist()
-            payload = batch[names]
-            kept, carried, anchors = [], [], []
-            for i, group in enumerate(groups):
-                if group != current:
-                    if spacing and held_row is not None and not tail_dropped:
-                        (kept.append(held_row) if isinstance(held_row, int) else carried.append(held_row))
-                    current, held_row, tail_dropped = group, None, dropped[i]
-                    held = None if pd.isna(in_pos[i]) else (in_pos[i], in_score[i])
-                if held is None or _takes(held[0], held[1], pos[i], score[i], reach[i], spacing):
-                    if spacing and held_row is not None and pos[i] - held[0] >= reach[i]:
-                        (kept.append(held_row) if isinstance(held_row, int) else carried.append(held_row))
-                    held, held_row = (pos[i], score[i]), i
-                anchors.append(held[0])
+def _chain_finish(names: list[str], spacing: bool):
+    """A partition's part of a key whose entry is known."""
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_i")
+        n = table.num_rows
+        pos, reach = table["_p"].to_numpy(), table["_r"].to_numpy()
+        fresh = np.zeros(n, bool)
+        fresh[0] = True
+        far, taker = _takers(pos, table["_s"].to_numpy() if spacing else None, reach, fresh)
+        held = table["_in_pos"][0].as_py()
+        entry = 0
+        if held is not None:
+            entry = int(np.searchsorted(pos, held + reach[0]))
             if spacing:
-                parts = [*carried, *([payload.iloc[kept]] if kept else [])]
-                if parts:
-                    yield pd.concat(parts) if len(parts) > 1 else parts[0]
-                if isinstance(held_row, int):
-                    held_row = payload.iloc[[held_row]].copy()
-            else:
-                yield payload.assign(_anchor=anchors)
-        if spacing and held_row is not None and not tail_dropped:
-            yield held_row
+                over = np.flatnonzero(table["_s"].to_numpy() > table["_in_score"][0].as_py())
+                entry = min(entry, int(over[0]) if len(over) else n)
+        path, payload = _path(taker.tolist(), entry, n), table.select(names)
+        if spacing:
+            return payload.take(pa.array(_kept(path, far, taker, bool(table["_dropped"][0].as_py()))))
+        return payload.append_column("_anchor", pa.array(_anchors(path, pos, 0, n, held or 0)))
     return run
 
 
 def chain(df: DataFrame, keys: Sequence[str], pos: str, ties: Sequence[str], width: int, reach: Column | int,
-          score: str | None = None) -> DataFrame:
-    """Sequential selection per key (see above).
+          score: str | None = None, part_rows: int = PART_ROWS, fan: int = FAN) -> DataFrame:
+    """Sequential selection per key (see above); ``reach`` is one number per key, positions are not null.
 
     With ``score``: the rows that remain under a minimum spacing of ``reach``.  Without: all rows plus
-    ``_anchor``, the position of the first row of the span-bounded cluster they belong to.
+    ``_anchor``, the position of the first row of the span-bounded cluster they belong to.  ``width`` is not needed
+    any more: partitions hold at most about ``part_rows`` rows.
     """
-    keys, spacing = list(keys), score is not None
-    names = df.columns
-    reach_col = reach if isinstance(reach, Column) else F.lit(reach)
-    prepared = (add_slice(df, pos, width).withColumn("_p", F.col(pos).cast("bigint"))
-                .withColumn("_s", F.col(score).cast("double") if spacing else F.lit(0.0))
-                .withColumn("_r", reach_col.cast("bigint")))
+    spark, keys, spacing, own = df.sparkSession, list(keys), score is not None, df.columns
+    distance = (reach if isinstance(reach, Column) else F.lit(reach)).cast("bigint")
+    prepared = cut_lineage(df.withColumns({
+        "_p": F.col(pos).cast("bigint"), "_s": F.col(score).cast("double") if spacing else F.lit(0.0),
+        "_r": distance if spacing else distance + 1}))
+    names = prepared.columns
+    rows = prepared.count()
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(wanted, rows), -(-rows // part_rows))
+    order = [*keys, "_p", *[t for t in ties if t not in keys]]
+    ranged = prepared.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    fields = [T.StructField(f.name, f.dataType) for f in prepared.schema]
+    extra = [T.StructField(n, t) for n, t in (("_part", T.LongType()), ("_seg", T.IntegerType()), ("_i", T.LongType()), ("_anchor", T.LongType()), ("_map", T.BinaryType()))]
+    explored = cut_lineage(ranged.mapInArrow(_chain_explore(keys, names, spacing), T.StructType(fields + extra)))
+    done = explored.filter("_seg < 0")
+    finished = done.select(*own) if spacing else done.select(*own, "_anchor")
+
+    # maps of the parts of keys, then of FAN consecutive partitions at a time
     key_fields = [prepared.schema[k] for k in keys]
-    slim = _sorted_rows(prepared.select(*keys, SLICE, "_p", "_s", "_r", *[t for t in ties if t not in keys]),
-                        [*keys, SLICE], ["_p", *ties])
-    head = T.StructType([T.StructField(n, t) for n, t in (
-        ("pos", T.LongType()), ("score", T.DoubleType()), ("end_pos", T.LongType()),
-        ("end_score", T.DoubleType()))])
-    heads = slim.mapInPandas(_explore(keys, spacing, width), T.StructType([
-        *key_fields, T.StructField(SLICE, T.LongType()), T.StructField("heads", T.ArrayType(head)),
-        T.StructField("reach", T.LongType())]))
-    entries = _sorted_rows(heads, keys, [SLICE]).mapInPandas(_follow(keys, spacing), T.StructType([
-        *key_fields, T.StructField(SLICE, T.LongType()), T.StructField("in_pos", T.LongType()),
-        T.StructField("in_score", T.DoubleType()), T.StructField("entry", T.LongType()),
-        T.StructField("tail_dropped", T.BooleanType())]))
-    known = prepared.join(entries.drop("entry"), [*keys, SLICE], "left")
-    placed = _sorted_rows(known, [*keys, SLICE], ["_p", *ties])
-    fields = [df.schema[n] for n in names]
-    if not spacing:
-        fields = [*fields, T.StructField("_anchor", T.LongType())]
-    return placed.mapInPandas(_mark(keys, names, spacing), T.StructType(fields))
+    levels = [explored.filter("_map is not null").select(*keys, "_part", "_seg", "_map")]
+    scale = fan
+    while scale < parts:
+        shape = T.StructType([*key_fields, T.StructField("_part", T.LongType()), T.StructField("_seg", T.IntegerType()), T.StructField("_map", T.BinaryType())])
+        grouped = levels[-1].withColumn("_group", F.floor(F.col("_part") / scale)).groupBy(*keys, "_group")
+        levels.append(cut_lineage(grouped.applyInPandas(_compose([*keys, "_part", "_seg", "_map"]), shape)))
+        scale *= fan
+    held = [T.StructField("_in_pos", T.LongType()), T.StructField("_in_score", T.DoubleType()), T.StructField("_in_part", T.LongType()), T.StructField("_drop", T.LongType())]
+    names_out = [*keys, "_part", "_seg", "_in_pos", "_in_score", "_in_part", "_drop"]
+    shape = T.StructType([*key_fields, T.StructField("_part", T.LongType()), T.StructField("_seg", T.IntegerType()), *held])
+    none = {"_in_pos": F.lit(None).cast("bigint"), "_in_score": F.lit(None).cast("double"), "_in_part": F.lit(None).cast("bigint")}
+    entries = None
+    for maps in reversed(levels):
+        if entries is None:
+            rows_ = maps.withColumns(none)
+        else:  # a group begins where its own first map does
+            known = entries.filter("_drop is null").select(F.col("_part").alias("_at"), F.col("_seg").alias("_at_seg"), "_in_pos", "_in_score", "_in_part")
+            rows_ = maps.join(known, (maps["_part"] == known["_at"]) & (maps["_seg"] == known["_at_seg"]), "left").drop("_at", "_at_seg")
+        grouped = rows_.withColumn("_group", F.floor(F.col("_part") / scale)).groupBy(*keys, "_group")
+        entries = cut_lineage(grouped.applyInPandas(_descend(names_out), shape))
+        scale //= fan
+    # a partition's last key is the only one whose last held row can be dropped from outside
+    drops = entries.filter("_drop is not null").select(*keys, F.col("_drop").alias("_part")).distinct()
+    last = explored.filter("_map is not null").groupBy("_part").agg(F.max("_seg").alias("_seg"))
+    drops = drops.select("_part").join(last, "_part").withColumn("_dropped", F.lit(True))
+    known = entries.filter("_drop is null").select("_part", "_seg", "_in_pos", "_in_score")
+    edges = explored.filter("_seg >= 0 and _map is null").select(*names, "_part", "_seg", "_i").join(known, ["_part", "_seg"]).join(drops, ["_part", "_seg"], "left")
+    out_fields = [T.StructField(n, df.schema[n].dataType) for n in own] + ([] if spacing else [T.StructField("_anchor", T.LongType())])
+    closed = edges.groupBy("_part", "_seg").applyInArrow(_chain_finish(own, spacing), T.StructType(out_fields))
+    return finished.unionByName(closed)

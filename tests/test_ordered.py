@@ -42,7 +42,7 @@ def test_spacing_chain(spark, seed, reach, width):
             else:
                 kept.append(row)
         want |= {r[2] for r in kept}
-    got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], width, reach, score="probability")
+    got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], width, reach, score="probability", part_rows=width, fan=3)
     ids = [r["event_id"] for r in got.select("event_id").collect()]
     assert len(ids) == len(set(ids)) and set(ids) == want
 
@@ -50,7 +50,7 @@ def test_spacing_chain(spark, seed, reach, width):
 def test_spacing_chain_of_a_regular_signal(spark):
     """Equal scores every 6 positions under spacing 10: parity never settles, so slices must be linked."""
     rows = [(0, 6 * i, i, 0.5) for i in range(500)]
-    got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], 25, 10, score="probability")
+    got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], 25, 10, score="probability", part_rows=9, fan=2)
     assert sorted(r["event_id"] for r in got.collect()) == list(range(0, 500, 2))
 
 
@@ -63,10 +63,46 @@ def test_span_chain(spark, seed, reach, width):
             if anchor is None or row[1] - anchor > reach:
                 anchor = row[1]
             want[row[2]] = anchor
-    got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], width, reach)
+    got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], width, reach, part_rows=width, fan=3)
     assert {r["event_id"]: r["_anchor"] for r in got.collect()} == want
 
 
+def spaced(rows, reach):
+    kept = []
+    for row in rows:
+        if kept and row[1] - kept[-1][1] < reach:
+            if row[3] > kept[-1][3]:
+                kept[-1] = row
+        else:
+            kept.append(row)
+    return {r[2] for r in kept}
+
+
+@pytest.mark.parametrize("kind", ["rising", "falling", "equal", "random"])
+def test_one_dense_key(spark, kind):
+    """200,000 rows of one key within one former slice: linear work, tasks of a bounded number of rows."""
+    n = 200_000
+    rng = np.random.default_rng(1)
+    scores = {"rising": np.arange(n) / n, "falling": 1 - np.arange(n) / n, "equal": np.full(n, .5), "random": rng.random(n)}[kind]
+    rows = [(0, i // 4, i, float(scores[i])) for i in range(n)]
+    got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], 10**9, 700, score="probability", part_rows=20_000)
+    assert {r["event_id"] for r in got.select("event_id").collect()} == spaced(rows, 700)
+    spans = {r["event_id"]: r["_anchor"] for r in chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], 10**9, 700, part_rows=20_000).collect()} if kind == "equal" else {}
+    assert all(a == i // 4 // 701 * 701 for i, a in spans.items())
+
+
+def test_stretches_shorter_than_the_reach(spark):
+    """Held rows pass through whole partitions and whole groups of them, and are dropped from far away."""
+    rng = random.Random(8)
+    rows = [(i % 2, i // 2, i, rng.choice([.1, .2, .3, .9])) for i in range(400)]
+    for reach in (60, 500):
+        got = chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], 1, reach, score="probability", part_rows=10, fan=2)
+        want = set().union(*(spaced(group, reach) for group in by_key(rows).values()))
+        assert {r["event_id"] for r in got.collect()} == want
+        anchors = {r["event_id"]: r["_anchor"] for r in chain(frame(spark, rows), ["session_id"], "sample", ["event_id"], 1, reach, part_rows=10, fan=2).collect()}
+        assert anchors == {i: (i // 2) // (reach + 1) * (reach + 1) for i in range(400)}
+
+
 def test_empty_and_single(spark):
     empty = frame(spark, [(0, 0, 0, 0.0)]).filter("false")
     assert chain(empty, ["session_id"], "sample", ["event_id"], 10, 5, score="probability").count() == 0
