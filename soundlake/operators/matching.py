@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
+from heapq import heappop, heappush
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soundlake import params
-from soundlake.operators.ordered import SLICE, edge_window, is_near, nearest_within, running, with_halo
+from soundlake.operators.ordered import SLICE, edge_window, is_near, nearest_within, running, segment_starts, with_halo
 from soundlake.session import cut_lineage
 
 KEYS = ("session_id", "class")
@@ -88,15 +93,156 @@ def _group_pairs(decided: DataFrame, keys: Sequence[str]) -> DataFrame:
     return left.join(right, [*keys, "partner_pos", "rank"]).select(*keys, "m_id", "other", "m_pos", "distance")
 
 
+# --- greedy pairs by slices ------------------------------------------------------------------------------
+#
+# The greedy rule takes pairs by rising distance, so a row's fate up to a distance depends on rows no farther than
+# that.  A task sees a slice and a halo; what lies beyond can touch a row from its distance to the halo's end on.  Pairs are
+# taken in order, and in the same order doubt spreads inwards: a row is in doubt from its distance to the nearest row in doubt
+# on.  What is taken or left over before that is final; rows in doubt meet again in slices eight times as wide.
+
+GROWTH = 8
+SLICE_ROWS = 1_000_000      # beyond it, rounds of mutual choices take over
+
+
+def greedy_pairs(pos: list[int], side: list[int], order: list[int], tol: int, left: int | None = None, right: int | None = None) -> tuple[list[int], list[bool]]:
+    """Partner (or -1) and doubt of rows sorted by (position, side, order); unknown rows may lie at or beyond ``left`` and ``right``.
+
+    The nearest free pair always stands side by side among free rows, rows of one side and place being one entry that gives its
+    lowest first; so a heap of neighbours is enough, however many rows are in reach of each other.
+    """
+    n = len(pos)
+    begin = [i for i in range(n) if not i or pos[i] != pos[i - 1] or side[i] != side[i - 1]]
+    count = len(begin)
+    head, stop = list(begin), begin[1:] + [n]
+    before, after = list(range(-1, count - 1)), list(range(1, count + 1))
+    unsure, partner, heap = [False] * count, [-1] * n, []
+    edges, fronts = [left, right], [0, count - 1]
+
+    def meet(a, b):
+        if a >= 0 and b < count and side[begin[a]] != side[begin[b]] and not unsure[a] and not unsure[b]:
+            gap = pos[begin[b]] - pos[begin[a]]
+            if gap <= tol:
+                x, y = order[head[a]], order[head[b]]
+                heappush(heap, (gap, 1, *((x, y) if side[begin[a]] == 0 else (y, x)), a, b))
+
+    def doubt(which, now):
+        g = fronts[which]
+        if edges[which] is not None and 0 <= g < count and not unsure[g]:
+            gap = max(now, abs(pos[begin[g]] - edges[which]))
+            if gap <= tol:
+                heappush(heap, (gap, 0, which, g, 0, 0))
+
+    def leave(g, now):
+        a, b = before[g], after[g]
+        if a >= 0:
+            after[a] = b
+        if b < count:
+            before[b] = a
+        for which, to in ((0, b), (1, a)):
+            if fronts[which] == g:
+                fronts[which] = to
+                doubt(which, now)
+        return a, b
+
+    for g in range(1, count):
+        meet(g - 1, g)
+    doubt(0, 0)
+    doubt(1, 0)
+    while heap:
+        gap, kind, x, y, a, b = heappop(heap)
+        if not kind:
+            if fronts[x] == y and not unsure[y]:
+                unsure[y], edges[x] = True, pos[begin[y]]
+                fronts[x] = before[y] if x else after[y]
+                doubt(x, gap)
+            continue
+        if unsure[a] or unsure[b] or after[a] != b or head[a] == stop[a] or head[b] == stop[b]:
+            continue
+        i, j = head[a], head[b]
+        if (order[i], order[j]) != ((x, y) if side[i] == 0 else (y, x)):
+            continue
+        partner[i], partner[j] = j, i
+        head[a], head[b] = i + 1, j + 1
+        outer, further = (a, b)
+        if head[a] == stop[a]:
+            outer, _ = leave(a, gap)
+        if head[b] == stop[b]:
+            _, further = leave(b, gap)
+        meet(outer, further)
+        if outer == a:
+            meet(before[a], a)
+        if further == b:
+            meet(b, after[b])
+    rows = [False] * n
+    for g in range(count):
+        if unsure[g]:
+            for i in range(head[g], stop[g]):
+                rows[i] = True
+    return partner, rows
+
+
+def _match_slices(keys: Sequence[str], tol: int, width: int, halo: int):
+    """Sorted slices with halo to their own rows, each with its partner's id and place, or in doubt."""
+    by = [*keys, SLICE]
+    keep = [*keys, "m_pos", "m_side", "m_ord", "m_id"]
+
+    def solve(table: pa.Table) -> pa.RecordBatch:
+        n = table.num_rows
+        pos, side, order, ident = (table[c].to_numpy() for c in ("m_pos", "m_side", "m_ord", "m_id"))
+        slices = table[SLICE].to_numpy()
+        fresh = segment_starts(table, by)
+        fresh[1:] |= pos[1:] - pos[:-1] > tol      # nothing reaches over such a gap
+        begin = np.flatnonzero(fresh)
+        end = np.r_[begin[1:], n]
+        left, right = slices[begin] * width - halo, (slices[begin] + 1) * width + halo
+        near_left, near_right = pos[begin] - left <= tol, right - pos[end - 1] <= tol
+        seconds = np.add.reduceat(side, begin)
+        both = (seconds > 0) & (seconds < end - begin)
+        simple = both & (end - begin == 2) & ~near_left & ~near_right
+        partner, unsure = np.full(n, -1), np.zeros(n, bool)
+        partner[begin[simple]], partner[begin[simple] + 1] = begin[simple] + 1, begin[simple]
+        for a, b, l, r, nl, nr in zip(*(x[(both & ~simple) | near_left | near_right].tolist() for x in (begin, end, left, right, near_left, near_right))):
+            found, rows = greedy_pairs(pos[a:b].tolist(), side[a:b].tolist(), order[a:b].tolist(), tol, l if nl else None, r if nr else None)
+            found = np.array(found)
+            partner[a:b], unsure[a:b] = np.where(found >= 0, found + a, -1), rows
+        own = np.flatnonzero(table["_own"].to_numpy(zero_copy_only=False))
+        other = partner[own]
+        none = other < 0
+        columns = [*[table[c].combine_chunks().take(pa.array(own)) for c in keep], pa.array(ident[other], mask=none), pa.array(pos[other], mask=none), pa.array(unsure[own])]
+        return pa.RecordBatch.from_arrays(columns, names=[*keep, "other", "other_pos", "unsure"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch])
+            held = table if held is None else pa.concat_tables([held, table])
+            if held.num_rows >= 100_000:
+                last = int(np.flatnonzero(segment_starts(held, by))[-1])
+                if last:
+                    yield solve(held.slice(0, last))
+                    held = held.slice(last)
+        if held is not None and held.num_rows:
+            yield solve(held)
+    return run
+
+
+def _slice_round(rest: DataFrame, keys: Sequence[str], tol: int, width: int, halo: int) -> DataFrame:
+    copies = with_halo(rest, "m_pos", width, halo, halo)
+    ordered = copies.repartition(*keys, SLICE).sortWithinPartitions(*keys, SLICE, "m_pos", "m_side", "m_ord", "m_id")
+    shape = T.StructType([*[T.StructField(f.name, f.dataType) for f in rest.schema], T.StructField("other", T.LongType()), T.StructField("other_pos", T.LongType()),
+                          T.StructField("unsure", T.BooleanType())])
+    return ordered.mapInArrow(_match_slices(keys, tol, width, halo), shape)
+
+
 def match_events(truth: DataFrame, pred: DataFrame, tol: int = params.MATCH_TOLERANCE, *,
                  keys: Sequence[str] = KEYS, truth_id: str = "truth_id", pred_id: str = "pred_id",
                  pos: str = "onset_sample", width: int | None = None,
-                 truth_order: str | None = None, pred_order: str | None = None) -> DataFrame:
+                 truth_order: str | None = None, pred_order: str | None = None, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Greedy one-to-one pairs by (distance, truth order, prediction order), distance <= tol.
 
-    The best remaining pair of all is always a mutual choice, and a mutual choice is always taken by the
-    greedy rule, so rounds of mutual choices until none is left give the greedy result exactly.  Rows
-    without a free partner in reach leave for good, which shrinks every round.  Each round is written to
+    Nearly all rows are final after one pass over slices; each further pass, over the rows still in doubt alone, has slices
+    eight times as wide, and its number grows with the logarithm of the longest dependency.  Should such a slice hold more
+    than ``slice_rows`` rows in doubt, rounds of mutual choices finish them.  Each pass is written to
     the shared checkpoint folder.  Ids must be BIGINT and unique per side; they also order ties by default.
     """
     width = width or max(64 * tol, 1)
@@ -106,32 +252,56 @@ def match_events(truth: DataFrame, pred: DataFrame, tol: int = params.MATCH_TOLE
                          F.col(order or ident).cast("bigint").alias("m_ord"), F.col(ident).cast("bigint").alias("m_id"))
 
     rest = side(truth, 0, truth_id, truth_order).unionByName(side(pred, 1, pred_id, pred_order))
+    columns = [*keys, "m_pos", "m_side", "m_ord", "m_id"]
     names = [*keys, truth_id, pred_id, "truth_pos", "distance"]
     found = []
+    while True:
+        decided = cut_lineage(_slice_round(rest, keys, tol, width, max(4 * tol, width // GROWTH)))
+        taken = decided.filter("other is not null")
+        sure = taken.filter("m_side = 0").select(*keys, "m_id", "other", "m_pos", F.abs(F.col("other_pos") - F.col("m_pos"))).toDF(*names)
+        found.append(sure)
+        rest = decided.filter("unsure").select(*columns)
+        if rest.isEmpty():
+            break
+        # of a pair over a slice's edge one row may know and the other not
+        late = rest.filter("m_side = 0").select("m_id").join(
+            taken.filter("m_side = 1").select(*keys, F.col("other").alias("m_id"), F.col("m_id").alias("pred"), "other_pos", F.abs(F.col("other_pos") - F.col("m_pos")).alias("gap")), "m_id")
+        late = cut_lineage(late.select(*keys, "m_id", "pred", "other_pos", "gap").toDF(*names))
+        found.append(late)
+        gone = late.select(F.lit(0).alias("m_side"), F.col(truth_id).alias("m_id")).unionByName(sure.select(F.lit(1).alias("m_side"), F.col(pred_id).alias("m_id")))
+        rest = cut_lineage(rest.join(gone, ["m_side", "m_id"], "left_anti").select(*columns))
+        width *= GROWTH
+        if rest.groupBy(*keys, F.floor(F.col("m_pos") / width)).count().filter(F.col("count") > slice_rows).isEmpty():
+            continue
+        found += [x.toDF(*names) for x in _mutual_pairs(rest, keys, tol, max(64 * tol, 1))]
+        break
+    return reduce(DataFrame.unionByName, found)
+
+
+def _mutual_pairs(rest: DataFrame, keys: Sequence[str], tol: int, width: int) -> list[DataFrame]:
+    """Rounds of mutual choices until none is left.
+
+    The best remaining pair of all is always a mutual choice, and a mutual choice is always taken by the
+    greedy rule, so this gives the greedy result exactly.  Rows without a free partner in reach leave for good.
+    """
+    found = []
     while True:
         decided = cut_lineage(_mutual_round(rest, keys, tol, width))
         state = decided.agg(F.count_if("paired").alias("paired"), F.count_if(F.col("rank") > 1).alias("grouped"),
                             F.count_if(~F.col("paired")).alias("rest")).first()
         if state["paired"] == 0:
-            break
-        found.append(decided.filter("paired and m_side = 0").select(
-            *keys, "m_id", "best.id", "m_pos", "best.gap").toDF(*names))
+            return found
+        found.append(decided.filter("paired and m_side = 0").select(*keys, "m_id", "best.id", "m_pos", "best.gap"))
         rest = decided.filter("not paired")
         if state["grouped"]:
             grouped = cut_lineage(_group_pairs(decided, keys))
-            found.append(grouped.toDF(*names))
+            found.append(grouped)
             gone = grouped.select(F.lit(0).alias("m_side"), "m_id").unionByName(
                 grouped.select(F.lit(1).alias("m_side"), F.col("other").alias("m_id")))
             rest = rest.join(gone, ["m_side", "m_id"], "left_anti")
         rest = rest.select(*keys, "m_pos", "m_side", "m_ord", "m_id")
         if state["rest"] == 0:
-            break
-    if not found:
-        found = [decided.limit(0).select(*keys, "m_id", "best.id", "m_pos", "best.gap").toDF(*names)]
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionByName(more)
-    return pairs
+            return found
 
 
 def scene_mode_asof(truth: DataFrame, trace: DataFrame, cutoff: float, lead_in: int, width: int,

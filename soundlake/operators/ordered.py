@@ -266,6 +266,16 @@ def _anchors(path: np.ndarray, pos: np.ndarray, begin: int, end: int, held: int)
     return np.where(latest > 0, pos[latest - 1], held)
 
 
+def segment_starts(table: pa.Table, names: Sequence[str]) -> np.ndarray:
+    """Which rows of a sorted table begin a new combination of the named columns."""
+    fresh = np.zeros(table.num_rows, bool)
+    fresh[:1] = True
+    for name in names:
+        code = table[name].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
+        fresh[1:] |= code[1:] != code[:-1]
+    return fresh
+
+
 def _chain_explore(keys: list[str], names: list[str], spacing: bool):
     """Finish whole keys; of a partition's first and last key give the rows and the map."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,11 +285,7 @@ def _chain_explore(keys: list[str], names: list[str], spacing: bool):
             return
         table = pa.Table.from_batches(held)
         n = table.num_rows
-        fresh = np.zeros(n, bool)
-        fresh[0] = True
-        for k in keys:
-            code = table[k].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy()
-            fresh[1:] |= code[1:] != code[:-1]
+        fresh = segment_starts(table, keys)
         pos, reach = table["_p"].to_numpy(), table["_r"].to_numpy()
         score = table["_s"].to_numpy() if spacing else None
         far, taker = _takers(pos, score, reach, fresh)

@@ -192,3 +192,59 @@ def test_quantiles_and_top_k(spark):
     ranked = quantiles.top_k(df.withColumn("i", F.monotonically_increasing_id()), ["g"], [F.col("x").desc(), F.col("i")], 5, ["i"])
     for g in (0, 1):
         assert sorted(r["x"] for r in ranked.filter(F.col("g") == g).collect()) == sorted(x for k, x in values if k == g)[-5:]
+
+
+def plain_greedy(truth, pred, tol):
+    pairs = sorted((abs(a[1] - b[1]), a[2], b[2]) for a in truth for b in pred if a[0] == b[0] and abs(a[1] - b[1]) <= tol)
+    used, taken = (set(), set()), set()
+    for _, t, p in pairs:
+        if t not in used[0] and p not in used[1]:
+            used[0].add(t), used[1].add(p), taken.add((t, p))
+    return taken
+
+
+def matched(spark, truth, pred, tol, **how):
+    sides = [spark.createDataFrame(rows, f"session_id bigint, onset_sample bigint, {name} bigint").repartition(4) for rows, name in ((truth, "truth_id"), (pred, "pred_id"))]
+    got = matching.match_events(*sides, tol, keys=["session_id"], **how).collect()
+    assert all(r["distance"] <= tol for r in got)
+    pairs = [(r["truth_id"], r["pred_id"]) for r in got]
+    assert len(pairs) == len(set(pairs))
+    return set(pairs)
+
+
+def test_periodic_labels_need_few_rounds(spark, monkeypatch):
+    """Each detection is as near to the next label as to its own, so every choice hangs on the one before."""
+    rounds = []
+    inner = matching._slice_round
+    monkeypatch.setattr(matching, "_slice_round", lambda *a: rounds.append(a) or inner(*a))
+    monkeypatch.setattr(matching, "_mutual_round", None)
+    truth = [(0, 10 * i, i) for i in range(10_000)]
+    pred = [(0, 10 * i - 5, i) for i in range(10_000)]
+    assert matched(spark, truth, pred, 8) == plain_greedy_sorted(truth, pred)
+    assert len(rounds) <= 6
+
+
+def plain_greedy_sorted(truth, pred):
+    """All candidate distances are 5: label by label, the lowest free detection of the two."""
+    free, out = {p[1]: p[2] for p in pred}, set()
+    for _, at, t in truth:
+        options = [x for x in (at - 5, at + 5) if x in free]
+        if options:
+            out.add((t, free.pop(min(options, key=free.get))))
+    return out
+
+
+@pytest.mark.parametrize("limit", [1_000_000, 3])
+@pytest.mark.parametrize("seed,span,tol", [(1, 3000, 12), (2, 900, 40), (3, 200, 7), (4, 60, 25)])
+def test_matching_over_slice_edges(spark, seed, span, tol, limit):
+    rng = random.Random(seed)
+    truth, pred = ([(rng.randrange(2) * rng.randrange(2), rng.randrange(span), i) for i in rng.sample(range(1000), 220)] for _ in range(2))
+    assert matched(spark, truth, pred, tol, width=max(1, tol // 2), slice_rows=limit) == plain_greedy(truth, pred, tol)
+
+
+def test_matching_many_rows_at_one_place(spark):
+    truth = [(0, 100, i) for i in range(20_000)]
+    pred = [(0, 100 + i % 2, i) for i in range(20_000)]
+    got = matched(spark, truth, pred, 4)
+    near, far = [p[2] for p in pred if p[1] == 100], [p[2] for p in pred if p[1] == 101]
+    assert got == set(zip(range(20_000), near + far))
