@@ -26,6 +26,22 @@ def stream_generations(blocks: DataFrame, keys: Sequence[str], first: str, frame
             .drop("_end", "_opened", "_origin", "_count", "_start"))
 
 
+def generation_losses(blocks: DataFrame, keys: Sequence[str], first: str, frames: str, width: int, *, limit: int, keep: int) -> DataFrame:
+    """Generations with counted losses (columns endpoint, lost, available besides): a gap or another endpoint resets the stream,
+    frames lost to an overflow and a backlog over ``limit``, cut to ``keep``, each open a further generation."""
+    ends = edge_window(blocks, keys, first, [], width, 1, lambda w: {
+        "_end": F.lag(F.col(first) + F.col(frames)).over(w), "_endpoint": F.lag("endpoint").over(w)})
+    reset = F.col("_end").isNull() | (F.col(first) != F.col("_end")) | ~F.col("endpoint").eqNullSafe(F.col("_endpoint"))
+    flagged = ends.withColumns({"reset": reset, "overflow": F.col("lost") > 0, "shed": F.col("available") > limit})
+    opened = F.col("reset").cast("bigint") + F.col("overflow").cast("bigint") + F.col("shed").cast("bigint")
+    flagged = flagged.withColumns({"_opened": opened, "_origin": F.when(opened > 0, F.col(first)),
+                                   "_gone": F.when(F.col("shed"), F.col("available") - keep).otherwise(0).cast("bigint"), "_lost": F.col("lost").cast("bigint")})
+    counted = running(flagged, keys, first, [], width, {
+        "_count": ("sum", "_opened"), "_start": ("last", "_origin"), "lost_total": ("sum", "_lost"), "discarded_total": ("sum", "_gone")})
+    return counted.withColumns({"stream_generation": F.col("_count") - 1, "generation_sample": F.col(first) - F.col("_start")}).drop(
+        "_end", "_endpoint", "_opened", "_origin", "_gone", "_lost", "_count", "_start")
+
+
 def retained(blocks: DataFrame, keys: Sequence[str], first: str, frames: str, capacity: int) -> DataFrame:
     """The part of each block inside the newest ``capacity`` positions of its stream."""
     newest = blocks.groupBy(*keys).agg(F.max(F.col(first) + F.col(frames)).alias("_newest"))

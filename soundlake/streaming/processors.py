@@ -65,55 +65,6 @@ def stream_generations(blocks: DataFrame, keys: Sequence[str], first: str = "fir
                 {"next": None, "generation": -1, "start": 0}, step)
 
 
-def stream_peaks(trace: DataFrame, *, quiet: float, busy: float, cutoff: float, spacing: int, lookahead: int,
-                 keys: Sequence[str] = ("session_id", "class")) -> DataFrame:
-    """Peaks of a score trace, each emitted once no later row can replace it.
-
-    State: the rows still inside the look-ahead window and the one candidate that is not final.
-    """
-    def emit(held, delivered, out):
-        if held["pending"] is not None:
-            sample, ident, p, detected = held["pending"]
-            out.append((sample, ident, p, detected, int(delivered)))
-            held["pending"] = None
-
-    def judge(held, at, right, out):
-        window = held["rows"]
-        sample, ident, p, activity = window[at]
-        before = [r[2] for r in window[max(0, at - lookahead):at]]
-        after = [r[2] for r in window[at + 1:right + 1]]
-        if p >= (quiet if activity < cutoff else busy) and p >= max([p, *before, *after]) and (not before or p > max(before)):
-            seen = window[right][0]
-            pending = held["pending"]
-            if pending is None or sample - pending[0] >= spacing:
-                emit(held, seen, out)
-                held["pending"] = [sample, ident, p, seen]
-            elif p > pending[2]:
-                held["pending"] = [sample, ident, p, seen]
-        if held["pending"] is not None and sample - held["pending"][0] >= spacing:
-            emit(held, window[-1][0], out)
-
-    def step(held, rows):
-        out = []
-        for row in rows:
-            if row["kind"] == "end":
-                window = held["rows"]
-                while held["at"] < len(window):
-                    judge(held, held["at"], min(len(window) - 1, held["at"] + lookahead), out)
-                    held["at"] += 1
-                emit(held, window[-1][0] if window else 0, out)
-                continue
-            held["rows"].append([int(row["sample"]), int(row["event_id"]), float(row["probability"]), float(row["activity"])])
-            while held["at"] + lookahead < len(held["rows"]):
-                judge(held, held["at"], held["at"] + lookahead, out)
-                held["at"] += 1
-            drop = max(0, held["at"] - lookahead)
-            held["rows"], held["at"] = held["rows"][drop:], held["at"] - drop
-        return out
-    return _run(trace, keys, ["sample", "event_id"], "sample bigint, event_id bigint, probability double, detected bigint, delivered bigint",
-                {"rows": [], "at": 0, "pending": None}, step)
-
-
 def stream_scenes(events: DataFrame, *, join: int, pre_anchor: int, length: int, retention: int | None = None,
                   keys: Sequence[str] = ("session_id",), order: Sequence[str] = ("arrival",)) -> DataFrame:
     """Scenes of a live event stream, in arrival order.

@@ -56,6 +56,32 @@ def counted(events: DataFrame, keys: Sequence[str]) -> DataFrame:
     return events.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"), F.count_if("suppressed").alias("suppressed"))
 
 
+def deal_by_time(rows: DataFrame, path: str, at: str, keys: Sequence[str], pieces: int = 6, salts: int | None = None) -> int:
+    """Write ``rows`` so that ``replay`` gives each key's rows in order; returns the most files of one stretch of time.
+
+    One job writes all: time is cut into ``pieces`` stretches, a stretch is dealt by key over ``salts`` tasks.  A file source takes
+    the oldest files first, so the files' times are then set in the order of their stretches.
+    """
+    spark = rows.sparkSession
+    low, high = rows.agg(F.min(at), F.max(at)).first()
+    salts = salts or spark.sparkContext.defaultParallelism
+    low, span = low or 0, max(1, (high or 0) - (low or 0) + 1)
+    piece = F.floor((F.col(at) - low) * pieces / span).cast("int")
+    dealt = rows.withColumn("_stretch", piece).withColumn("_salt", F.pmod(F.xxhash64(*keys), F.lit(salts)))
+    dealt.repartition("_stretch", "_salt").sortWithinPartitions("_stretch", *keys, at).drop("_salt").write.partitionBy("_stretch").parquet(path)
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = sorted((f.getPath() for f in system.listStatus(root) if f.isDirectory()), key=lambda p: int(p.getName().removeprefix("_stretch=")))
+    start, most = 1_600_000_000_000, 1
+    for k, folder in enumerate(folders):
+        files = [f.getPath() for f in system.listStatus(folder)]
+        most = max(most, len(files))
+        for n, file in enumerate(files):
+            system.setTimes(file, start + 1000 * (100_000 * k + n), -1)
+    return most
+
+
 def replay(spark, path: str, schema: T.StructType, files_per_batch: int = 1) -> DataFrame:
     """Files of a folder as a stream, oldest first."""
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
+    names = [f.name for f in schema]
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path).select(*names)
