@@ -14,12 +14,31 @@ from soundlake import params
 from soundlake.operators.ordered import SLICE, add_slice, edge_window
 
 
+BLOCK = 64
+
+
 def _advance(values: np.ndarray, start, keep) -> np.ndarray:
-    out = np.empty_like(values)
-    state = start
-    for i in range(len(values)):
-        state = values[i] * (1.0 - keep) + keep * state
-        out[i] = state
+    """The recursion over rows: inside blocks by a triangular matrix, from block to block by what it carries."""
+    keep = np.broadcast_to(np.asarray(keep, dtype=np.float64), values.shape[1:])
+    out = np.empty(values.shape, dtype=np.float64)
+    state = np.broadcast_to(np.asarray(start, dtype=np.float64), values.shape[1:])
+    for factor in np.unique(keep):
+        some = keep == factor
+        x = values[:, some] if values.ndim > 1 else values[:, None]
+        steps = np.arange(BLOCK)
+        weights = np.tril((1.0 - factor) * factor ** np.maximum(steps[:, None] - steps[None, :], 0))
+        padded = np.zeros((-(-len(x) // BLOCK) * BLOCK, x.shape[1]))
+        padded[:len(x)] = x
+        blocks = weights @ padded.reshape(-1, BLOCK, x.shape[1])
+        fading, carried = (factor ** (steps + 1))[:, None], state[some] if values.ndim > 1 else state[None]
+        for block in blocks:
+            block += fading * carried
+            carried = block[-1]
+        y = blocks.reshape(-1, x.shape[1])[:len(x)]
+        if values.ndim > 1:
+            out[:, some] = y
+        else:
+            out[:] = y[:, 0]
     return out
 
 

@@ -151,10 +151,11 @@ def assign_directions(spark, sf_dir):
                              "confidence": F.round("confidence", 6)})
 
 
-@query("count_within", v.sql("""SELECT scene_id, c AS cls, w20, w30 FROM best WHERE w30 > 0""",
+@query("count_within", v.sql("""SELECT vec_id AS scene_id, r.c AS cls, coalesce(w20, 0) AS w20, coalesce(w30, 0) AS w30 FROM embeddings CROSS JOIN range(2) r(c)
+  LEFT JOIN best ON best.scene_id = vec_id AND best.c = r.c""",
                              "trk", "tru", "sources", "pairing"))
 def count_within(spark, sf_dir):
-    return d.scene_outcomes(decoded(spark, sf_dir), 2, ["scene_id"]).filter("w30 > 0").select(
+    return d.scene_outcomes(decoded(spark, sf_dir), 2, ["scene_id"]).select(
         "scene_id", "cls", "w20", "w30")
 
 

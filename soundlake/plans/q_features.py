@@ -4,7 +4,7 @@
 from pyspark.sql import functions as F
 
 from soundlake.functions import scalar as s
-from soundlake.operators import features, smoothing
+from soundlake.operators import features, smoothing, tensors
 from soundlake.operators.ordered import ordinal
 from soundlake.plans import views as v
 from soundlake.plans.registry import query
@@ -143,12 +143,33 @@ def trailing_mean(spark, sf_dir):
     return rows.select("session_id", "idx", F.round("y", 6).alias("y"))
 
 
-@query("context_windows", v.sql("""SELECT session_id, idx, round(coalesce(lag(value, 3) OVER w, -100.0), 6) AS w0, round(coalesce(lag(value, 1) OVER w, -100.0), 6) AS w2,
-  round(value, 6) AS w3 FROM signal WINDOW w AS (PARTITION BY session_id ORDER BY idx)""", *SIG))
+@query("context_windows", v.sql("""SELECT session_id, idx, round(coalesce(lag(value, 3) OVER w, -100.0), 6) AS w0, round(coalesce(lag(value, 2) OVER w, -100.0), 6) AS w1,
+  round(coalesce(lag(value, 1) OVER w, -100.0), 6) AS w2, round(value, 6) AS w3 FROM signal WINDOW w AS (PARTITION BY session_id ORDER BY idx)""", *SIG))
 def context_windows(spark, sf_dir):
     rows = signal(spark, sf_dir).withColumn("vector", F.array("value"))
     out = features.context_windows(rows, "vector", 4, TRACE_KEYS, "idx", 32, F.array(F.lit(-100.0)))
-    return out.select("session_id", "idx", *[F.round(F.col("window")[i][0], 6).alias(f"w{i}") for i in (0, 2, 3)])
+    return out.select("session_id", "idx", *[F.round(F.col("window")[i][0], 6).alias(f"w{i}") for i in range(4)])
+
+
+@query("window_tensors", v.sql("""SELECT session_id, idx + 1 AS window_end, greatest(0, 128 - idx - 1) AS padded, v.c AS channel,
+  CAST(sum(v.x) OVER (PARTITION BY session_id, v.c ORDER BY idx ROWS BETWEEN 127 PRECEDING AND CURRENT ROW)
+    + greatest(0, 128 - idx - 1) * 64 * CASE WHEN v.c = 1 THEN -100 ELSE 0 END AS DOUBLE) AS total, CAST(floor(value) * (v.c + 1) + 63 AS DOUBLE) AS newest
+  FROM (SELECT session_id, idx, value, unnest(list_transform(range(5), lambda c: {'c': c, 'x': 64 * floor(value) * (c + 1) + 2016})) AS v FROM signal)
+  QUALIFY idx % 20 = 0 OR idx = max(idx) OVER (PARTITION BY session_id)""", *SIG))
+def window_tensors(spark, sf_dir):
+    """Windows of 128 frames of 5 channels and 64 bands, each tensor summed by channel."""
+    rows = signal(spark, sf_dir)
+    number = F.floor("value").cast("double")
+    planes = F.transform(F.sequence(F.lit(0), F.lit(4)), lambda c: F.transform(F.sequence(F.lit(0), F.lit(63)), lambda m: number * (c + 1) + m))
+    frames = rows.select("session_id", F.col("idx").alias("frame_idx"), planes.alias("planes"))
+    last = rows.groupBy("session_id").agg((F.max("idx") + 1).cast("bigint").alias("window_end"))
+    ends = rows.filter("idx % 20 = 0").select("session_id", (F.col("idx") + 1).cast("bigint").alias("window_end")).unionByName(last).distinct()
+    cut = tensors.window_tensors(frames, ends, "planes", (5, 64))
+    size = 128 * 64
+    each = cut.select("session_id", "window_end", "tensor", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("channel"))
+    own = F.slice("tensor", F.col("channel") * size + 1, F.lit(size))
+    return each.select("session_id", "window_end", F.greatest(F.lit(0), 128 - F.col("window_end")).alias("padded"), F.col("channel").cast("bigint").alias("channel"),
+                       F.aggregate(own, F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at(own, -1).cast("double").alias("newest"))
 
 
 @query("window_ends", v.sql("""SELECT session_id, idx + 1 AS window_end FROM signal JOIN sizes USING (session_id) WHERE idx % 20 = 0 OR idx = n - 1 OR value > 80""", *SIG))
@@ -220,12 +241,12 @@ def trim_silence(spark, sf_dir):
 
 
 @query("fit_clip", """SELECT vec_id AS clip_id, pos, round(coalesce(CAST(embedding[CASE WHEN i >= 1 AND i <= 64 THEN i END] AS DOUBLE), 0.0), 6) AS value FROM (
-  SELECT *, pos - (10 - label * 3) + 1 AS i FROM embeddings, range(0, 50, 7) r(pos))""")
+  SELECT *, pos - (10 - label * 3) + 1 AS i FROM embeddings, range(0, 50) r(pos))""")
 def fit_clip(spark, sf_dir):
     e = v.table(spark, sf_dir, "embeddings")
     clip = F.transform("embedding", lambda x: x.cast("double"))
     placed = e.select(F.col("vec_id").alias("clip_id"), F.posexplode(features.fit_clip(clip, F.col("label") * 3, F.lit(10), 50)).alias("pos", "value"))
-    return placed.filter(F.col("pos") % 7 == 0).select("clip_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
+    return placed.select("clip_id", F.col("pos").cast("bigint").alias("pos"), F.round("value", 6).alias("value"))
 
 
 @query("channel_ops", """SELECT vec_id AS clip_id, i, round((CAST(embedding[2 * i + 1] AS DOUBLE) + embedding[2 * i + 2]) / 2, 6) AS mono,
@@ -239,8 +260,9 @@ def channel_ops(spark, sf_dir):
     return out.select("clip_id", F.col("i").cast("bigint").alias("i"), F.round("z.mono", 6).alias("mono"), F.round("z.swapped", 6).alias("swapped_left"))
 
 
-@query("mirror_augment", """SELECT vec_id AS clip_id, p, round(CASE WHEN label < 5 AND p IN (2, 4) THEN -1 ELSE 1 END * CAST(embedding[p * 4 + 1] AS DOUBLE), 6) AS plane,
-  round(CASE WHEN label < 5 THEN -1 ELSE 1 END * CAST(embedding[21] AS DOUBLE), 6) AS x, round(CAST(embedding[22] AS DOUBLE), 6) AS y FROM embeddings, range(5) r(p)""")
+@query("mirror_augment", """SELECT vec_id AS clip_id, p, j, round(CASE WHEN label < 5 AND p IN (2, 4) THEN -1 ELSE 1 END * CAST(embedding[p * 4 + j + 1] AS DOUBLE), 6) AS plane,
+  round(CASE WHEN label < 5 THEN -1 ELSE 1 END * CAST(embedding[21] AS DOUBLE), 6) AS x, round(CAST(embedding[22] AS DOUBLE), 6) AS y, round(CAST(embedding[23] AS DOUBLE), 6) AS z
+  FROM embeddings, range(5) r(p), range(4) q(j)""")
 def mirror_augment(spark, sf_dir):
     e = F.col("embedding")
     num = lambda i: e[i].cast("double")
@@ -248,8 +270,9 @@ def mirror_augment(spark, sf_dir):
         F.col("vec_id").alias("clip_id"), "label", F.array(*[F.array(*[num(4 * p + j) for j in range(4)]) for p in range(5)]).alias("planes"),
         F.array(F.array(F.array(num(20), num(21), num(22)))).alias("target"))
     out = features.mirror_augment(rows, "planes", "target", F.col("label") < 5)
-    flat = out.select("clip_id", F.posexplode("planes").alias("p", "v"), F.col("target")[0][0].alias("t"))
-    return flat.select("clip_id", F.col("p").cast("bigint").alias("p"), F.round(F.col("v")[0], 6).alias("plane"), F.round(F.col("t")[0], 6).alias("x"), F.round(F.col("t")[1], 6).alias("y"))
+    flat = out.select("clip_id", F.posexplode("planes").alias("p", "v"), F.col("target")[0][0].alias("t")).select("clip_id", "p", F.posexplode("v").alias("j", "plane"), "t")
+    return flat.select("clip_id", F.col("p").cast("bigint").alias("p"), F.col("j").cast("bigint").alias("j"), F.round("plane", 6).alias("plane"),
+                       *[F.round(F.col("t")[i], 6).alias(n) for i, n in enumerate("xyz")])
 
 
 @query("resample_linear", v.sql("""SELECT a.session_id, o.j AS out_idx, round(a.value + (coalesce(b.value, a.value) - a.value) * (o.j * 2 / CAST(3 AS DOUBLE) - a.idx), 5) AS value

@@ -139,12 +139,13 @@ class FirstEighteen:
         return lambda batch: 2.0 * batch.reshape(len(batch), -1)[:, :18]
 
 
-@query("score_scenes", """SELECT vec_id AS scene_id, c AS cls, t AS track, round(2 * CAST(embedding[c * 9 + t * 3 + 1] AS DOUBLE), 6) AS x FROM embeddings, range(2) a(c), range(3) b(t)""")
+@query("score_scenes", """SELECT vec_id AS scene_id, c AS cls, t AS track, round(2 * CAST(embedding[c * 9 + t * 3 + 1] AS DOUBLE), 6) AS x,
+  round(2 * CAST(embedding[c * 9 + t * 3 + 2] AS DOUBLE), 6) AS y, round(2 * CAST(embedding[c * 9 + t * 3 + 3] AS DOUBLE), 6) AS z FROM embeddings, range(2) a(c), range(3) b(t)""")
 def score_scenes(spark, sf_dir):
     rows = v.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("scene_id"), "embedding")
     out = scoring.score_scenes(rows, FirstEighteen(), ["scene_id"], "embedding", shape=(64,))
     flat = out.select("scene_id", F.posexplode("tracks").alias("cls", "m")).select("scene_id", "cls", F.posexplode("m").alias("track", "v"))
-    return flat.select("scene_id", F.col("cls").cast("bigint").alias("cls"), F.col("track").cast("bigint").alias("track"), F.round(F.col("v")[0], 6).alias("x"))
+    return flat.select("scene_id", F.col("cls").cast("bigint").alias("cls"), F.col("track").cast("bigint").alias("track"), *[F.round(F.col("v")[i], 6).alias(n) for i, n in enumerate("xyz")])
 
 
 @query("parity_diff", """SELECT vec_id, CASE WHEN label = 9 THEN NULL ELSE CAST(label AS DOUBLE) / 16384 END AS max_diff,

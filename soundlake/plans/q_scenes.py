@@ -8,6 +8,7 @@ from soundlake.operators.ordered import ordinal
 from soundlake.plans import views as v
 from soundlake.plans.q_events import CUTOFF, events as found_events
 from soundlake.plans.registry import query
+from soundlake.streaming import sinks
 
 PRE, LENGTH, NOW, SPAN, RETAIN = 240, 2880, 40_000, 4320, 20_000
 v.CTE["scenes"] = f"""so AS (SELECT session_id, event_id, class, sample, k, value, row_number() OVER (PARTITION BY session_id ORDER BY sample, event_id) AS rn FROM ev),
@@ -107,8 +108,8 @@ def scene_state(spark, sf_dir):
   count(*) FILTER (WHERE source_probs[1] < 0.8) AS published FROM spaced GROUP BY session_id""", "ev", "trace", "peaks", "spaced"))
 def suppressed_not_published(spark, sf_dir):
     rows = found_events(spark, sf_dir, self_threshold=0.8)
-    return rows.groupBy("session_id").agg(F.count(F.lit(1)).alias("found"), F.count_if("suppressed").alias("suppressed"),
-                                          F.count_if(~F.col("suppressed")).alias("published"))
+    delivered = sinks.published(rows).groupBy("session_id").agg(F.count(F.lit(1)).alias("published"))
+    return sinks.counted(rows, ["session_id"]).join(delivered, "session_id", "left").withColumn("published", F.coalesce("published", F.lit(0)))
 
 
 @query("event_order", v.sql("""SELECT session_id, event_id, row_number() OVER (PARTITION BY session_id ORDER BY detected_sample, class, event_id) AS place

@@ -109,8 +109,8 @@ def write_timeline(spark, sf_dir):
 def read_session_metadata(spark, sf_dir):
     path = scratch_path(spark, "metadata")
     rows = talks(spark, sf_dir)[0].select(F.col("session_id").cast("string").alias("session_id"), "split", "map", "capture_day", "generator_version")
-    rows.write.json(path)
-    return spark.read.schema(tables.SESSION_META).json(path).select("session_id", "map", "capture_day", "generator_version")
+    rows.withColumn("folder", F.col("session_id")).repartition("folder").write.partitionBy("folder").json(path)
+    return tables.read_session_metadata(spark, path).select("session_id", "map", "capture_day", "generator_version")
 
 
 @query("read_scene_manifest", """SELECT 's' || CASE WHEN s_nationkey = 7 THEN 'dup' ELSE CAST(s_suppkey AS VARCHAR) END AS scene_id, s_nationkey % 4 AS target_count, s_nationkey % 4 AS listed,
@@ -125,15 +125,17 @@ def read_scene_manifest(spark, sf_dir):
 
 @query("read_policy", """SELECT s_suppkey AS policy_id, s_acctbal AS threshold, 2 AS points, CAST(s_nationkey AS DOUBLE) AS last_p90, s_nationkey = 3 AS lost FROM supplier""")
 def read_policy(spark, sf_dir):
+    """One file per policy."""
     n = F.col("s_nationkey").cast("string")
     text = F.to_json(F.create_map(*[x for pair in (
+        ("policy_id", F.col("s_suppkey").cast("string")),
         ("threshold", F.col("s_acctbal").cast("string")), ("uncertainty_count", F.lit("2")), ("uncertainty_confidence_0", F.lit("0")), ("uncertainty_confidence_1", F.lit("1")),
         ("uncertainty_p90_degrees_0", F.lit("60")), ("uncertainty_p90_degrees_1", n), ("cutoff", F.when(F.col("s_nationkey") == 3, "0.5x").otherwise("0.5"))) for x in (F.lit(pair[0]), pair[1])]))
     path = scratch_path(spark, "policies")
-    v.table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")).write.parquet(path)
-    rows = spark.read.parquet(path).withColumn("p", tables.parse_policy(F.col("text")))
-    return rows.select(F.col("s_suppkey").alias("policy_id"), F.col("p.policy")["threshold"].alias("threshold"), F.size("p.uncertainty").alias("points"),
-                       F.element_at("p.uncertainty", -1)["p90"].alias("last_p90"), F.col("p.policy")["cutoff"].isNull().alias("lost"))
+    v.table(spark, sf_dir, "supplier").select("s_suppkey", text.alias("text")).repartition("s_suppkey").write.partitionBy("s_suppkey").text(path)
+    rows = tables.read_policy(spark, path)
+    return rows.select(F.col("text")["policy_id"].cast("bigint").alias("policy_id"), F.col("policy")["threshold"].alias("threshold"), F.size("uncertainty").alias("points"),
+                       F.element_at("uncertainty", -1)["p90"].alias("last_p90"), F.col("policy")["cutoff"].isNull().alias("lost"))
 
 
 @query("write_feature_cache", v.sql("""SELECT 'train' AS split, CASE WHEN session_id < 50 THEN 'real' ELSE 'synthetic' END AS domain, count(*) AS rows, 0 AS added_again FROM signal GROUP BY ALL""", *SIG))
@@ -179,16 +181,26 @@ def write_predictions(spark, sf_dir):
     return back.groupBy("session_id").agg(F.count(F.lit(1)).alias("rows"), F.count_if("suppressed").alias("suppressed"))
 
 
-@query("import_recordings", v.sql("""SELECT CAST(l.session_id AS VARCHAR) AS session_id, l.event_id, CAST(round_even(l.onset_sample * (48000 / CAST(44100 AS DOUBLE)), 0) AS BIGINT) AS onset_sample,
-  CAST(round_even(l.end_sample * (48000 / CAST(44100 AS DOUBLE)), 0) AS BIGINT) AS end_sample FROM labelled l WHERE l.reviewed""", "ev", "labelled"))
+@query("import_recordings", v.sql("""SELECT CASE WHEN session_id % 3 = 0 THEN 'test' ELSE 'train' END || '_real_' || session_id AS name, event_id,
+  CAST(round_even(idx * (48000 / CAST(CASE WHEN session_id % 2 = 0 THEN 44100 ELSE 48000 END AS DOUBLE)), 0) AS BIGINT) AS onset_sample,
+  CAST(round_even((idx + 2) * (48000 / CAST(CASE WHEN session_id % 2 = 0 THEN 44100 ELSE 48000 END AS DOUBLE)), 0) AS BIGINT) AS end_sample, n AS frames
+  FROM signal JOIN sizes USING (session_id) WHERE value > 40 AND idx * 11 + 44 < n * 10""", *SIG))
 def import_recordings(spark, sf_dir):
-    """Positions of reviewed labels brought from 44.1 to 48 kHz and written as timelines."""
-    rows = v.labelled(spark, sf_dir).filter("reviewed").select(
-        F.col("session_id").cast("string").alias("session_id"), "event_id", "class", *[s.rescale_position(F.col(n), 44100).alias(n) for n in ("onset_sample", "end_sample")])
-    path = scratch_path(spark, "imported")
-    tables.write_timeline(rows, path)
-    back = spark.read.schema("session_id string, event_id bigint, onset_sample bigint, end_sample bigint").json(path)
-    return back.select("session_id", "event_id", "onset_sample", "end_sample")
+    """All sessions in one import, half of them labelled at 44.1 kHz; read back from the published batch."""
+    sound = audio(spark, sf_dir)
+    rows = signal(spark, sf_dir)
+    lengths = rows.groupBy("session_id").agg((F.max("idx") + 1).alias("n"))
+    meta = lengths.select("session_id", F.when(F.col("session_id") % 3 == 0, "test").otherwise("train").alias("split"),
+                          F.when(F.col("session_id") % 2 == 0, 44_100).otherwise(48_000).alias("label_rate"))
+    labels = rows.join(lengths, "session_id").filter("value > 40 and idx * 11 + 44 < n * 10").select(
+        "session_id", "event_id", F.lit("click").alias("class"), F.col("idx").alias("onset_sample"), (F.col("idx") + 2).alias("end_sample"), F.lit("manual").alias("source_hint"),
+        F.lit(True).alias("reviewed"), F.lit(False).alias("uncertain"), F.lit("quiet").alias("scene_mode"))
+    path = scratch_path(spark, "corpus")
+    tables.import_sessions(sound, labels, meta, path, classes=v.TARGETS)
+    published = tables.imported_sessions(spark, path)
+    back = spark.read.schema("name string, event_id bigint, onset_sample bigint, end_sample bigint").json(f"{path}/batches/*/timeline")
+    heard = recordings.scan_recordings(spark, f"{path}/batches/{published.first().batch}/audio").groupBy(F.col("session_id").alias("name")).agg(F.sum(F.size("left")).alias("frames"))
+    return back.select("name", "event_id", "onset_sample", "end_sample").join(published.select("name"), "name").join(heard, "name")
 
 
 @query("cache_key", "SELECT CAST(session_id AS BIGINT) AS session_id, 20 AS digits FROM (SELECT DISTINCT user_id AS session_id FROM events)")

@@ -183,13 +183,13 @@ def stream_retention(spark, sf_dir):
     return finished(spark, processors.stream_retention(replayed(spark, blocks(spark, sf_dir), "first_sample"), RETAIN // 10))
 
 
-@query("stream_features", v.sql("""SELECT session_id, frame_idx, mel, round(pcen, 5) AS pcen, round(db, 4) AS db, round(ild, 5) + 0.0 AS ild FROM feat""", *MEL, "pcen"))
+@query("stream_features", v.sql("""SELECT session_id, frame_idx, mel, round(pcen, 5) AS pcen, round(db, 4) AS db, round(ild, 5) + 0.0 AS ild, round(cre, 5) + 0.0 AS coh_re, round(cim, 5) + 0.0 AS coh_im FROM feat""", *MEL, "pcen"))
 def stream_features(spark, sf_dir):
     """Chunks are replayed a few at a time, by chunk position."""
     stream = replayed(spark, chunks(spark, sf_dir), "first_sample")
     out = finished(spark, processors.stream_features(stream, rate=RATE, fft=FFT, hop=HOP, bands=BANDS))
-    flat = out.withColumns({f"p{i}": F.col("planes")[i] for i in range(3)}).select("session_id", "frame_idx", F.posexplode(F.arrays_zip("p0", "p1", "p2")).alias("mel", "z"))
-    return flat.select("session_id", "frame_idx", "mel", F.round("z.p0", 5).alias("pcen"), F.round("z.p1", 4).alias("db"), (F.round("z.p2", 5) + 0.0).alias("ild"))
+    flat = out.withColumns({f"p{i}": F.col("planes")[i] for i in range(5)}).select("session_id", "frame_idx", F.posexplode(F.arrays_zip(*[f"p{i}" for i in range(5)])).alias("mel", "z"))
+    return flat.select("session_id", "frame_idx", "mel", F.round("z.p0", 5).alias("pcen"), F.round("z.p1", 4).alias("db"), *[(F.round(f"z.p{i}", 5) + 0.0).alias(n) for i, n in ((2, "ild"), (3, "coh_re"), (4, "coh_im"))])
 
 
 @query("stream_event_log", v.sql("""SELECT event_id, class, 2 AS schema_version, k % 4 IN (1, 3) AS click_on, least(k % 5, 3) AS listed, k % 5 AS source_count FROM ev""", "ev"))

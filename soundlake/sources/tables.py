@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from soundlake import params
 from soundlake.functions import scalar as s
 from soundlake.operators import corpus, validation
+from soundlake.session import cut_lineage
 
 INVENTORY = ("asset_id", "relative_path", "event_class", "label", "source_group", "sha256", "duplicate_of", "included", "split",
              "negative_subtype", "subtype", "review_status", "classification_confidence", "active_offset_samples")
@@ -132,7 +135,6 @@ def append_missing(rows: DataFrame, path: str, key: str, partitions: Sequence[st
         if "PATH_NOT_FOUND" not in str(problem):
             raise
         missing = wanted
-    from soundlake.session import cut_lineage
     missing = cut_lineage(missing)
     added = missing.count()
     if added:
@@ -209,3 +211,59 @@ def import_recording(chunks: DataFrame, labels: DataFrame, meta: dict[str, str],
     from soundlake.sources.recordings import write_recordings
     write_recordings(chunks.withColumn("session_id", F.lit(name)), f"{base}/audio", rate).count()
     return base
+
+
+def imported_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """session_id, name and batch of every published import below ``path``."""
+    shape = "session_id string, name string, batch string"
+    try:
+        return spark.read.schema(shape).parquet(f"{path.rstrip('/')}/commits/*")
+    except Exception as problem:
+        if "PATH_NOT_FOUND" not in str(problem):
+            raise
+        return spark.createDataFrame([], shape)
+
+
+def import_sessions(chunks: DataFrame, labels: DataFrame, meta: DataFrame, path: str, rate: int = params.SAMPLE_RATE,
+                    classes: Sequence[str] = params.CLASS_NAMES) -> DataFrame:
+    """Many reviewed recordings into the corpus by one job each for audio, timelines and descriptions; all or none.
+
+    ``meta`` has a row per session: session_id, split, label_rate and what else describes it; ``labels`` carry session_id and positions at
+    their session's rate.  Everything is checked first: names, splits, rates, repeated or already published sessions, audio that
+    is missing, labels that break a rule, belong to no session or are not reviewed.  Files are written to a folder of their own,
+    ``batches/<id>``, and count once the commit record ``commits/<id>``, the last thing written, is there.  Returns that record's rows.
+    """
+    spark, root = chunks.sparkSession, path.rstrip("/")
+    batch = uuid.uuid4().hex
+    meta = cut_lineage(meta.withColumns({"session_id": F.col("session_id").cast("string"), "label_rate": F.col("label_rate").cast("bigint")}))
+    length = cut_lineage(chunks.groupBy(F.col("session_id").cast("string").alias("session_id")).agg(F.max(F.col("first_sample") + F.size("left")).alias("length")))
+    twice = meta.groupBy("session_id").count().filter("count > 1")
+    checks = {
+        "not a short filesystem-safe identifier": meta.filter(~F.coalesce(s.session_id_ok(F.col("session_id")), F.lit(False))),
+        "split must be train, dev or test": meta.filter(~F.coalesce(F.col("split").isin(*corpus.SPLITS), F.lit(False))),
+        "the label rate must be positive": meta.filter(~F.coalesce(F.col("label_rate") > 0, F.lit(False))),
+        "described twice": twice,
+        "without audio": meta.join(length, "session_id", "left_anti"),
+        "already imported": meta.join(imported_sessions(spark, root), "session_id", "left_semi")}
+    found = reduce(DataFrame.unionByName, [rows.select("session_id", F.lit(what).alias("problem")) for what, rows in checks.items()])
+    validation.raise_on_violation(found)
+    known = meta.join(length, "session_id").select("session_id", "split", "label_rate", "length")
+    rated = labels.withColumn("session_id", F.col("session_id").cast("string")).join(known, "session_id", "left")
+    rated = rated.withColumn("end_sample", F.coalesce("end_sample", F.col("onset_sample") + F.floor(F.col("label_rate") / 20)))
+    scaled = rated.withColumns({n: F.when(F.col("label_rate") == rate, F.col(n)).otherwise(F.rint(F.col(n) * (F.lit(float(rate)) / F.col("label_rate")))).cast("bigint")
+                                for n in ("onset_sample", "end_sample")})
+    rows = cut_lineage(validation.normalize_timeline(scaled, "length", classes))
+    validation.raise_on_violation(rows.filter(F.size("violations") > 0).select("session_id", "class", "onset_sample", "violations"))
+    validation.raise_on_violation(rows.filter("length is null").select("session_id", F.lit("no such session")))
+    validation.raise_on_violation(rows.filter("not reviewed").select("session_id", "onset_sample", F.lit("not reviewed")))
+    name = F.concat_ws("_", "split", F.lit("real"), "session_id")
+    staged = f"{root}/batches/{batch}"
+    write_timeline(rows.withColumn("name", name).drop("violations", "length", "label_rate", "split"), f"{staged}/timeline", "name")
+    described = {c: F.lit(x) for c, x in (("generator_version", "real-session-v4"), ("sample_rate", str(rate))) if c not in meta.columns}
+    meta.withColumns(described).withColumn("name", name).write.json(f"{staged}/sessions")
+    from soundlake.sources.recordings import write_recordings
+    named = chunks.withColumn("session_id", F.col("session_id").cast("string")).join(meta.select("session_id", name.alias("_name")), "session_id")
+    write_recordings(named.withColumn("session_id", F.col("_name")).drop("_name"), f"{staged}/audio", rate)
+    record = meta.select("session_id", name.alias("name"), F.lit(batch).alias("batch"))
+    record.write.parquet(f"{root}/commits/{batch}")
+    return spark.read.schema(record.schema).parquet(f"{root}/commits/{batch}")

@@ -2,9 +2,11 @@
 
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from soundlake.operators import calibration, corpus, features
+from soundlake.operators import calibration, corpus, features, smoothing, tensors
 from soundlake.sources import tables
 
 
@@ -42,3 +44,62 @@ def test_policy_table_is_read_whole(spark):
     assert [(r.confidence, r.p90) for r in levels(100, 100)] == [(i, i) for i in range(100)]
     short = levels(1_000_000_000, 3)
     assert len(short) < 10 and short[3].confidence is None
+
+
+def test_bulk_import_takes_all_or_none(spark, folder):
+    chunks = spark.createDataFrame([(x, 0, [0.0] * 9000, [0.0] * 9000) for x in ("r1", "r2")], "session_id string, first_sample bigint, left array<double>, right array<double>")
+    shape = "session_id string, class string, onset_sample bigint, end_sample bigint, source_hint string, reviewed boolean, uncertain boolean, scene_mode string"
+    good = [("r1", "gunshot", 1000, 2000, "manual", True, None, None), ("r2", "gunshot", 1000, None, "self", True, None, None)]
+    meta = spark.createDataFrame([("r1", "test", 44_100, "m1"), ("r2", "train", 48_000, "m2")], "session_id string, split string, label_rate bigint, map string")
+
+    def bring(labels, about=meta, sound=chunks):
+        return tables.import_sessions(sound, spark.createDataFrame(labels, shape), about, folder).collect()
+    for labels, about, sound, reason in (
+            (good + [("r2", "gunshot", 8999, 99_999, "self", True, None, None)], meta, chunks, "bounds"), (good + [("r3", "gunshot", 1, 2, "self", True, None, None)], meta, chunks, "r3|bounds|session"),
+            ([good[0], (*good[1][:5], False, None, None)], meta, chunks, "not reviewed"), (good, meta.unionByName(meta), chunks, "described twice"),
+            (good, meta, chunks.where("session_id = 'r1'"), "without audio"), (good, meta.withColumn("split", F.lit("other")), chunks, "split")):
+        with pytest.raises(ValueError, match=reason):
+            bring(labels, about, sound)
+    assert tables.imported_sessions(spark, folder).collect() == []
+    made = {r.session_id: r for r in bring(good)}
+    assert made["r1"].name == "test_real_r1" and made["r2"].name == "train_real_r2"
+    rows = {r.name: r for r in spark.read.json(f"{folder}/batches/{made['r1'].batch}/timeline").collect()}
+    assert (rows["test_real_r1"].onset_sample, rows["test_real_r1"].end_sample, rows["test_real_r1"].source_hint) == (1088, 2177, "unknown")
+    assert (rows["train_real_r2"].onset_sample, rows["train_real_r2"].end_sample) == (1000, 3400)
+    with pytest.raises(ValueError, match="already imported"):
+        bring(good)
+    assert tables.imported_sessions(spark, folder).count() == 2
+
+
+def test_window_tensors_equal_slices(spark):
+    rng = np.random.default_rng(1)
+    lengths = {("a", 0.0): 70, ("a", 6.0): 70, ("b", 0.0): 3}
+    data = {key: rng.normal(size=(n, 2, 3)).astype(np.float32) for key, n in lengths.items()}
+    frames = spark.createDataFrame([(*key, i, x[i].tolist()) for key, x in data.items() for i in range(len(x)) if (key[1], i) != (6.0, 40)],
+                                   "session_id string, gain_db double, frame_idx bigint, planes array<array<double>>").repartition(5)
+    ends = spark.createDataFrame([("a", e, float(e)) for e in (1, 5, 16, 17, 41, 45, 70, 71)] + [("b", 3, 1.0)], "session_id string, window_end bigint, label double")
+    got = tensors.training_tensors(frames, ends, (0.0, 6.0), shape=(2, 3), context=10, pad=(0.0, -100.0), block=16).collect()
+    assert len(got) == 18
+    for r in got:
+        x = data.get((r.session_id, r.gain_db))
+        if x is None or r.window_end > len(x) or (r.gain_db, r.window_end) == (6.0, 41):
+            assert r.tensor is None
+            continue
+        want = np.zeros((10, 2, 3), np.float32)
+        want[:, 1] = -100
+        take = min(10, r.window_end)
+        want[-take:] = x[r.window_end - take:r.window_end]
+        if r.gain_db == 6.0 and 41 < r.window_end <= 50:
+            want[40 - r.window_end] = [[0] * 3, [-100] * 3]
+        assert np.array_equal(np.float32(r.tensor).reshape(2, 10, 3), want.transpose(1, 0, 2))
+        assert r.label == (1.0 if r.session_id == "b" else r.window_end)
+
+
+def test_smoothing_by_blocks_equals_the_recursion():
+    rng = np.random.default_rng(2)
+    for shape, keep in (((1000,), .97), ((63,), .2), ((130, 3), np.array([.9, .9, .1])), ((1,), .5)):
+        x, state, want = rng.normal(size=shape), np.zeros(shape[1:]) + .3, []
+        for row in x:
+            state = row * (1 - keep) + keep * state
+            want.append(state)
+        assert np.abs(smoothing._advance(x, np.zeros(shape[1:]) + .3, keep) - np.array(want)).max() < 1e-12
