@@ -11,7 +11,7 @@ HEADLINE = ("peak_events min_spacing match_events detection_metrics asof_scene_m
             "scene_groups scene_fanout decode_tracks assign_directions direction_metrics calibrate_activity uncertainty_table "
             "grouped_split leakage_check content_duplicates corpus_audit classify_path stft onset_features ema trailing_mean "
             "onset_targets extract_windows threshold_grid scene_cutoff balanced_order stratified_pick score_windows "
-            "recent_events stream_generations").split()
+            "recent_events stream_generations window_tensors stream_events policy_driven_events scan_recordings calibrate_thresholds").split()
 
 
 def main():

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,29 +18,29 @@ from soundlake.operators.ordered import SLICE, add_slice, edge_window
 BLOCK = 64
 
 
+@lru_cache(maxsize=256)
+def _weights(factor: float, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """What each of ``size`` values adds to each later one, and what is left of the state before them."""
+    steps = np.arange(size)
+    return np.tril((1.0 - factor) * factor ** np.maximum(steps[:, None] - steps[None, :], 0)), (factor ** (steps + 1))[:, None]
+
+
 def _advance(values: np.ndarray, start, keep) -> np.ndarray:
     """The recursion over rows: inside blocks by a triangular matrix, from block to block by what it carries."""
-    keep = np.broadcast_to(np.asarray(keep, dtype=np.float64), values.shape[1:])
-    out = np.empty(values.shape, dtype=np.float64)
-    state = np.broadcast_to(np.asarray(start, dtype=np.float64), values.shape[1:])
-    for factor in np.unique(keep):
+    flat = values.reshape(len(values), -1)
+    keep = np.broadcast_to(np.asarray(keep, dtype=np.float64), flat.shape[1:])
+    state = np.broadcast_to(np.asarray(start, dtype=np.float64).ravel(), flat.shape[1:])
+    out = np.empty(flat.shape, dtype=np.float64)
+    for factor in dict.fromkeys(keep.tolist()):
         some = keep == factor
-        x = values[:, some] if values.ndim > 1 else values[:, None]
-        steps = np.arange(BLOCK)
-        weights = np.tril((1.0 - factor) * factor ** np.maximum(steps[:, None] - steps[None, :], 0))
-        padded = np.zeros((-(-len(x) // BLOCK) * BLOCK, x.shape[1]))
-        padded[:len(x)] = x
-        blocks = weights @ padded.reshape(-1, BLOCK, x.shape[1])
-        fading, carried = (factor ** (steps + 1))[:, None], state[some] if values.ndim > 1 else state[None]
-        for block in blocks:
-            block += fading * carried
-            carried = block[-1]
-        y = blocks.reshape(-1, x.shape[1])[:len(x)]
-        if values.ndim > 1:
-            out[:, some] = y
-        else:
-            out[:] = y[:, 0]
-    return out
+        carried = state[some]
+        for at in range(0, len(flat), BLOCK):
+            x = flat[at:at + BLOCK, some]
+            inside, fading = _weights(factor, len(x))
+            y = inside @ x + fading * carried
+            out[at:at + BLOCK, some] = y
+            carried = y[-1]
+    return out.reshape(values.shape)
 
 
 def _runs(batch: pd.DataFrame, by: Sequence[str]) -> Iterator[tuple[tuple, pd.DataFrame]]:

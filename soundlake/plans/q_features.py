@@ -4,6 +4,7 @@
 from pyspark.sql import functions as F
 
 from soundlake.functions import scalar as s
+from soundlake.functions import tables
 from soundlake.operators import features, smoothing, tensors
 from soundlake.operators.ordered import ordinal
 from soundlake.plans import views as v
@@ -55,11 +56,32 @@ SIG = ("ev", "signal")
 MEL = (*SIG, "frames", "dft", "mel")
 
 
-@query("frame_signal", v.sql('SELECT session_id, frame_idx, CAST("offset" AS INTEGER) AS "offset", value FROM frames', *SIG, "frames"))
+FRAMED = v.sql('SELECT session_id, frame_idx, CAST("offset" AS INTEGER) AS "offset", value FROM frames', *SIG, "frames")
+
+
+@query("frame_signal", FRAMED)
 def frame_signal(spark, sf_dir):
     return features.frame_signal(signal(spark, sf_dir), FFT, HOP)
 
 
+@query("sql_frames", FRAMED)
+def sql_frames(spark, sf_dir):
+    """Framing written in SQL, by a table function."""
+    tables.register(spark)
+    parts = chunks(spark, sf_dir).select("session_id", "first_sample", "left")
+    return spark.sql("""WITH sizes AS (SELECT session_id, max(first_sample + size(left)) AS length FROM {chunks} GROUP BY session_id)
+      SELECT c.session_id, f.frame_idx, f.offset, f.value FROM {chunks} c JOIN sizes s ON s.session_id = c.session_id,
+        LATERAL frames_of(c.first_sample, c.left, s.length, %d, %d) f""" % (FFT, HOP), chunks=parts)
+
+
+@query("sql_window_ends", v.sql("""SELECT session_id, idx + 1 AS window_end FROM signal JOIN sizes USING (session_id) WHERE idx % 20 = 0 OR idx = n - 1 OR value > 80""", *SIG))
+def sql_window_ends(spark, sf_dir):
+    """Window ends written in SQL, by a table function over a row per session."""
+    tables.register(spark)
+    return spark.sql("""SELECT s.session_id, w.window_end FROM (SELECT session_id, max(idx) + 1 AS frames, collect_list(CASE WHEN value > 80 THEN idx END) AS positives
+      FROM {signal} GROUP BY session_id) s, LATERAL window_ends_of(s.frames, 20, s.positives) w""", signal=signal(spark, sf_dir))
+
+
 @query("stft", v.sql("""SELECT session_id, frame_idx, bin, round(lre, 4) + 0.0 AS left_re, round(lim, 4) + 0.0 AS left_im, round(rre, 4) + 0.0 AS right_re, round(rim, 4) + 0.0 AS right_im
   FROM dft""", *SIG, "frames", "dft"))
 def stft(spark, sf_dir):

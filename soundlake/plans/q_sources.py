@@ -213,3 +213,17 @@ def cache_key(spark, sf_dir):
 def canonical_json(spark, sf_dir):
     m = F.create_map(F.lit("k"), F.col("k").cast("string"), F.lit("a"), F.col("class"))
     return v.events(spark, sf_dir).select("event_id", s.canonical_json(m).alias("json"))
+
+
+@query("write_report", v.sql("""SELECT 'session' AS kind, CAST(session_id AS VARCHAR) AS name, count(*) AS n FROM labelled GROUP BY session_id
+  UNION ALL SELECT 'class', class, count(*) FROM labelled GROUP BY class""", "ev", "labelled"))
+def write_report(spark, sf_dir):
+    """A fixed table in the JSON file and one that grows with the data beside it, read back."""
+    rows = v.labelled(spark, sf_dir)
+    counts = {kind: rows.groupBy(F.col(column).cast("string").alias("name")).agg(F.count(F.lit(1)).alias("n")) for kind, column in (("session", "session_id"), ("class", "class"))}
+    path = scratch_path(spark, "report") + ".json"
+    written = tables.write_report(counts, path, limit=20)
+    small = spark.read.option("multiLine", True).schema(", ".join(f"`{k}` array<struct<name:string,n:bigint>>" for k, x in written.items() if isinstance(x, list))).json(path)
+    parts = [small.select(F.lit(k).alias("kind"), F.inline(k)) if isinstance(x, list) else spark.read.parquet(f"{path}.{k}").select(F.lit(k).alias("kind"), "name", "n")
+             for k, x in written.items()]
+    return parts[0].unionByName(parts[1])

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
 import uuid
 from collections.abc import Sequence
 from functools import reduce
@@ -171,17 +170,26 @@ def write_by_session(rows: DataFrame, path: str, fmt: str = "parquet") -> None:
 
 
 def write_report(report: dict[str, DataFrame], path: str, limit: int = 10_000) -> dict:
-    """Report tables as one pretty JSON file with sorted keys.  Tables over ``limit`` rows are refused."""
-    out = {}
+    """Report tables as one pretty JSON file with sorted keys, written by Spark's file system.
+
+    A table over ``limit`` rows, such as pairs or errors, is written whole as Parquet at ``<path>.<name>``; the file names it and its rows.
+    """
+    out, spark = {}, None
     for name, table in report.items():
+        spark = table.sparkSession
         rows = [r.asDict(recursive=True) for r in table.take(limit + 1)]
         if len(rows) > limit:
-            raise ValueError(f"{name} is not a report table: more than {limit} rows")
+            beside = f"{path}.{name}"
+            table.write.mode("overwrite").parquet(beside)
+            rows = {"parquet": beside.rpartition("/")[2], "rows": spark.read.schema(table.schema).parquet(beside).count()}
         out[name] = rows
-    temporary = path + ".tmp"
-    with open(temporary, "w", encoding="utf-8") as stream:
-        json.dump(out, stream, indent=2, sort_keys=True, default=str)
-    os.replace(temporary, path)
+    if spark is not None:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(at, True)
+        try:
+            stream.write(bytearray(json.dumps(out, indent=2, sort_keys=True, default=str).encode()))
+        finally:
+            stream.close()
     return out
 
 

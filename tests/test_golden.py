@@ -1,5 +1,6 @@
 """Fixed small inputs with known results."""
 
+import json
 import math
 import wave
 
@@ -277,5 +278,8 @@ def test_wilson_and_policy(spark):
 def test_report_tables(spark, folder):
     out = tables.write_report({"a": spark.range(2)}, f"{folder}/r.json")
     assert out["a"] == [{"id": 0}, {"id": 1}]
-    with pytest.raises(ValueError):
-        tables.write_report({"a": spark.range(30)}, f"{folder}/r.json", limit=10)
+    out = tables.write_report({"a": spark.range(30), "b": spark.range(3)}, f"{folder}/r.json", limit=10)
+    assert out["a"] == {"parquet": "r.json.a", "rows": 30} and len(out["b"]) == 3
+    assert spark.read.parquet(f"{folder}/r.json.a").count() == 30
+    with open(f"{folder}/r.json") as stream:
+        assert json.load(stream) == out
