@@ -7,6 +7,8 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
+import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ from soundlake import params
 from soundlake.functions import scalar as s
 from soundlake.operators import corpus, validation
 from soundlake.session import cut_lineage
+from soundlake.sources import wav
 
 INVENTORY = ("asset_id", "relative_path", "event_class", "label", "source_group", "sha256", "duplicate_of", "included", "split",
              "negative_subtype", "subtype", "review_status", "classification_confidence", "active_offset_samples")
@@ -84,10 +87,34 @@ def read_timeline(spark: SparkSession, path: str) -> DataFrame:
     return rows.withColumns({"session_id": session, "extras": extras}).drop("text")
 
 
-def write_timeline(events: DataFrame, path: str, by: str = "session_id") -> None:
-    """One directory of JSON lines per session; keys in sorted order."""
+def write_timeline(events: DataFrame, path: str, by: str = "session_id", sessions: DataFrame | None = None) -> None:
+    """One directory of JSON lines per session; keys in sorted order.  Of ``sessions``, those without a label get a file with a blank line."""
     ordered = events.select(by, *sorted(c for c in events.columns if c != by))
     ordered.repartition(by).sortWithinPartitions(by, "onset_sample", "class").write.partitionBy(by).json(path)
+    if sessions is not None:
+        blank = sessions.select(by).distinct().join(events.select(by), by, "left_anti").select(by, F.lit("").alias("value"))
+        blank.repartition(by).write.mode("append").partitionBy(by).text(path)
+
+
+def timeline_sessions(spark: SparkSession, path: str) -> DataFrame:
+    """session_id of every label file below ``path``, also of empty files: the folder ``session_id=<id>`` if there is one, else the
+    file's name.  Spark's file sources leave empty files out, so tasks list the folders, each its own."""
+    def listed(deep: bool):
+        def run(batches):
+            for batch in batches:
+                for uri in batch["uri"]:
+                    system, base = wav.opened(uri)
+                    found = system.get_file_info(fs.FileSelector(base, recursive=deep, allow_not_found=True))
+                    head = uri[:len(uri) - len(base)] if uri.endswith(base) else uri.partition(":")[0] + ":"
+                    yield pd.DataFrame({"uri": [head + f.path for f in found], "folder": [f.type == fs.FileType.Directory for f in found]}, columns=["uri", "folder"])
+        return run
+    shape = "uri string, folder boolean"
+    top = spark.createDataFrame([(wav.resolved(spark, path),)], "uri string").mapInPandas(listed(False), shape)
+    below = top.filter("folder").select("uri").repartition("uri").mapInPandas(listed(True), shape)
+    files = top.filter("not folder").unionByName(below.filter("not folder"))
+    name = F.regexp_extract("uri", r"([^/]+)$", 1)
+    folder = F.regexp_extract("uri", r"/session_id=([^/]+)/[^/]*$", 1)
+    return files.filter(~name.rlike("^[_.]")).select(F.when(folder != "", folder).otherwise(F.regexp_replace(name, r"\.[^.]*$", "")).alias("session_id")).distinct()
 
 
 def read_session_metadata(spark: SparkSession, path: str) -> DataFrame:

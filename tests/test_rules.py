@@ -103,3 +103,12 @@ def test_smoothing_by_blocks_equals_the_recursion():
             state = row * (1 - keep) + keep * state
             want.append(state)
         assert np.abs(smoothing._advance(x, np.zeros(shape[1:]) + .3, keep) - np.array(want)).max() < 1e-12
+
+
+def test_sessions_of_label_files_without_labels(spark, folder):
+    labels = spark.createDataFrame([("a", "gunshot", 5, 9)], "session_id string, class string, onset_sample bigint, end_sample bigint")
+    tables.write_timeline(labels, f"{folder}/t", sessions=spark.createDataFrame([("a",), ("b",)], "session_id string"))
+    assert sorted(r.session_id for r in tables.timeline_sessions(spark, f"{folder}/t").collect()) == ["a", "b"]
+    assert [r.onset_sample for r in tables.read_timeline(spark, f"{folder}/t/*/*").collect()] == [5]
+    open(f"{folder}/c.jsonl", "w").close()
+    assert "c" in {r.session_id for r in tables.timeline_sessions(spark, folder).collect()}
