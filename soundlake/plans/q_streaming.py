@@ -35,7 +35,9 @@ def finished(spark, stream):
     return spark.read.schema(stream.schema).parquet(out)
 
 
-def scored(spark, sf_dir, generation=F.lit(0).cast("bigint")):
+def scored(spark, sf_dir, spell=1 << 40):
+    """The trace as score rows; a generation lasts ``spell`` minutes."""
+    generation = F.floor(F.col("sample") / spell).cast("bigint")
     return v.trace(spark, sf_dir).select("session_id", "class", "sample", "event_id", "probability", "activity", "source_probs", generation.alias("stream_generation"))
 
 
@@ -110,7 +112,7 @@ delivered AS (SELECT final AS event_id FROM walk WHERE final IS NOT NULL UNION A
                                          "ev", "trace", extra=PARTED))
 def stream_generation_events(spark, sf_dir):
     """A new generation drops the candidate and the rows that the old one has pending."""
-    rows = scored(spark, sf_dir, F.floor(F.col("sample") / SPELL).cast("bigint"))
+    rows = scored(spark, sf_dir, SPELL)
     return recognised(spark, rows).select("session_id", "class", "event_id", "sample", "stream_generation")
 
 
@@ -148,7 +150,7 @@ def stream_losses(spark, sf_dir):
   QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY sample // {SPELL} DESC) = 1""", "ev", "trace"))
 def stream_live_state(spark, sf_dir):
     """The latest published row of each stream; a newer generation clears an older one, and so do rows without a value (here: some of the suppressed)."""
-    rows = scored(spark, sf_dir, F.floor(F.col("sample") / SPELL).cast("bigint")).withColumn("suppressed", F.col("source_probs")[0] >= 0.8)
+    rows = scored(spark, sf_dir, SPELL).withColumn("suppressed", F.col("source_probs")[0] >= 0.8)
     stream = replayed(spark, rows, "sample")
     clears = stream.filter("suppressed and sample % 7 = 0").withColumn("probability", F.lit(None).cast("double"))
     shown = sinks.published(stream).unionByName(clears)
