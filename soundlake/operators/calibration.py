@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 from soundlake import params
 from soundlake.operators import matching, peaks
 from soundlake.operators.metrics import ratio
+from soundlake.operators.ordered import running
 from soundlake.operators.quantiles import exact_quantile
+from soundlake.session import cut_lineage
 
 
 def scene_cutoff(trace: DataFrame, truth: DataFrame, guard: int, width: int, quantile: float = 0.6,
@@ -40,37 +42,104 @@ def threshold_grid(maxima: DataFrame, grid: DataFrame, cutoff: float) -> DataFra
     return maxima.join(named, (F.col("class") == F.col("_class")) & passed).drop("_class")
 
 
+def sweep_levels(grid: DataFrame) -> DataFrame:
+    """One row per class: its rising distinct quiet and busy thresholds and its entries as pairs of places in them."""
+    sides = {side: F.sort_array(F.collect_set(side)) for side in ("quiet", "busy")}
+    values = grid.groupBy("class").agg(*[v.alias(f"{side}_values") for side, v in sides.items()])
+    places = [(F.array_position(f"{side}_values", F.col(side)) - 1).cast("int").alias(side) for side in sides]
+    return grid.join(values, "class").groupBy("class", "quiet_values", "busy_values").agg(
+        F.collect_set(F.struct(*places)).alias("entries"))
+
+
+def sweep_variants(rows: DataFrame, levels: DataFrame, apart: int, width: int) -> DataFrame:
+    """Candidates and labels, once for each distinct candidate set that the grid makes of their stretch.
+
+    ``rows`` has session_id, class, ``sample``, ``level`` (the highest place in its state's thresholds a candidate passes; null
+    for labels) and ``quiet``.  A stretch ends where the next row is more than ``apart`` away, so nothing in it can meet rows
+    outside.  In it all thresholds between two levels that occur select the same candidates: ``q_high`` and ``b_high`` name
+    the lowest level that still passes, ``q_low`` and ``b_low`` the lowest threshold that stands for it.  Sets without candidates are left
+    out.  A row is copied as often as its stretch has distinct sets, at most once per grid entry.
+    """
+    keys = ["session_id", "class"]
+    known = running(rows, keys, "sample", [], width, {"_before": ("max", "sample")}, include_current=False)
+    fresh = F.col("_before").isNull() | (F.col("sample") - F.col("_before") > apart)
+    marked = running(known.withColumn("_fresh", F.when(fresh, F.col("sample"))), keys, "sample", [], width,
+                     {"_stretch": ("max", "_fresh")}).drop("_before", "_fresh")
+
+    def occurring(quiet):
+        return F.sort_array(F.collect_set(F.when(F.col("level").isNotNull() & (F.col("quiet") == quiet), F.col("level"))))
+    found = marked.groupBy(*keys, "_stretch").agg(occurring(True).alias("q"), occurring(False).alias("b")).filter("size(q) + size(b) > 0")
+
+    def bounds(side, place, count):
+        high = F.coalesce(F.array_min(F.filter(side, lambda x: x >= place)), count)
+        low = F.coalesce(F.array_max(F.filter(side, lambda x: x < place)) + 1, F.lit(0))
+        return low, high
+
+    def variant(entry):
+        q_low, q_high = bounds("q", entry["quiet"], F.size("quiet_values"))
+        b_low, b_high = bounds("b", entry["busy"], F.size("busy_values"))
+        return F.struct(q_low.alias("q_low"), q_high.alias("q_high"), b_low.alias("b_low"), b_high.alias("b_high"))
+    sets = found.join(F.broadcast(levels), "class").select(
+        *keys, "_stretch", F.array_distinct(F.transform("entries", variant)).alias("sets"),
+        F.size("quiet_values").alias("_nq"), F.size("busy_values").alias("_nb"))
+    copies = marked.join(sets, [*keys, "_stretch"]).withColumn("_set", F.explode("sets")).select(
+        *[c for c in marked.columns if c != "_stretch"], "_set.*", "_nq", "_nb")
+    chosen = (F.col("q_high") < F.col("_nq")) | (F.col("b_high") < F.col("_nb"))
+    passed = F.col("level") >= F.when(F.col("quiet"), F.col("q_high")).otherwise(F.col("b_high"))
+    return copies.filter(chosen & (F.col("level").isNull() | passed)).drop("_nq", "_nb")
+
+
 def sweep_counts(trace: DataFrame, truth: DataFrame, grid: DataFrame, *, cutoff: float, lookahead: int, spacing: int,
                  tol: int, width: int, ties: Sequence[str] = ("event_id",), minutes_per_unit: float) -> DataFrame:
     """Per class and grid entry: hits, false alarms, misses, and false alarms in sessions without targets.
 
-    ``truth`` has ``truth_id`` and ``onset_sample``; trace rows carry a unique BIGINT ``event_id``.
+    ``truth`` has ``truth_id`` and ``onset_sample``; trace rows carry a unique BIGINT ``event_id``.  Spacing and matching
+    run once per distinct candidate set of a stretch (``sweep_variants``), not once per grid entry: labels far from any
+    candidate are not copied at all, and a stretch with one candidate is matched once.  Counts go to the
+    entries by ranges of thresholds, summed before they meet the grid.  Ids times the number of entries must fit a BIGINT.
     """
-    keys = ("session_id", "class", "ord")
-    passed = threshold_grid(peaks.local_maxima(trace, lookahead, width, ties=ties), grid, cutoff)
-    kept = peaks.min_spacing(passed.select(*keys, "sample", "probability", *ties), spacing, width, keys, ties)
+    ranges = ("q_low", "q_high", "b_low", "b_high")
+    keys = ("session_id", "class", *ranges)
+    levels = cut_lineage(sweep_levels(grid))
+    quiet = F.coalesce(F.col("activity") < cutoff, F.lit(False))
+    below = F.size(F.filter(F.when(quiet, F.col("quiet_values")).otherwise(F.col("busy_values")), lambda x: x <= F.col("probability")))
+    maxima = (peaks.local_maxima(trace, lookahead, width, ties=ties).join(F.broadcast(levels), "class")
+              .withColumns({"quiet": quiet, "level": below - 1}).filter("level >= 0"))
+    carried = list(dict.fromkeys(["probability", "event_id", *ties]))
+    candidates = maxima.select("session_id", "class", F.col("sample").cast("bigint").alias("sample"), "quiet", "level", *carried)
+    wanted = truth.select("session_id", "class", F.col("onset_sample").cast("bigint").alias("sample"), "truth_id")
+    rows = sweep_variants(candidates.unionByName(wanted, allowMissingColumns=True), levels, max(spacing, tol), width)
+    rows = cut_lineage(rows)
+    passed = rows.filter("level is not null").select(*keys, "sample", *carried)
+    kept = cut_lineage(peaks.min_spacing(passed, spacing, width, keys, ties))
+    step = levels.agg(F.max((F.size("quiet_values") + 1) * (F.size("busy_values") + 1))).first()[0] or 1
+    wide = levels.agg(F.max(F.size("busy_values") + 1)).first()[0] or 1
+    # ids repeat per candidate set, so they are made unique for matching; the original ids order ties
+    unique = lambda name: F.col(name) * step + F.col("q_high") * wide + F.col("b_high")
     preds = kept.select(*keys, F.col("sample").alias("onset_sample"), F.col("event_id").alias("pred_id"))
-    wanted = truth.join(F.broadcast(grid.select("class", "ord")), "class").select(*keys, "onset_sample", "truth_id")
-    # ids repeat per grid entry, so they are made unique for matching; the original ids order ties
-    step = grid.count()
+    labels = rows.filter("level is null").select(*keys, F.col("sample").alias("onset_sample"), "truth_id")
     pairs = matching.match_events(
-        wanted.withColumn("uid", F.col("truth_id") * step + F.col("ord")),
-        preds.withColumn("uid", F.col("pred_id") * step + F.col("ord")).withColumnRenamed("uid", "pid"),
+        labels.withColumn("uid", unique("truth_id")), preds.withColumn("pid", unique("pred_id")),
         tol, keys=keys, truth_id="uid", pred_id="pid", truth_order="truth_id", pred_order="pred_id", width=width)
     with_targets = truth.select("session_id").distinct().withColumn("_has", F.lit(True))
     lengths = (trace.groupBy("session_id").agg(F.max("sample").alias("last")).join(with_targets, "session_id", "left")
                .agg(F.sum(F.col("last") * minutes_per_unit).alias("total_minutes"),
                     F.coalesce(F.sum(F.when(F.col("_has").isNull(), F.col("last") * minutes_per_unit)), F.lit(0.0))
                     .alias("ambient_minutes")))
-    hits = pairs.groupBy("class", "ord").agg(F.count(F.lit(1)).alias("tp"))
-    given = (preds.groupBy("session_id", "class", "ord").agg(F.count(F.lit(1)).alias("n"))
-             .join(with_targets, "session_id", "left").groupBy("class", "ord")
-             .agg(F.sum("n").alias("predicted"), F.sum(F.when(F.col("_has").isNull(), F.col("n"))).alias("ambient_fp")))
-    labels = truth.groupBy("class").agg(F.count(F.lit(1)).alias("labels"))
-    rows = (grid.join(hits, ["class", "ord"], "left").join(given, ["class", "ord"], "left")
-            .join(labels, "class", "left").fillna(0, ["tp", "predicted", "ambient_fp", "labels"])
-            .crossJoin(F.broadcast(lengths)))
-    return rows.withColumns({"fp": F.col("predicted") - F.col("tp"), "fn": F.col("labels") - F.col("tp")})
+    given = preds.groupBy("session_id", "class", *ranges).agg(F.count(F.lit(1)).alias("n")).join(with_targets, "session_id", "left")
+    none = F.lit(0).cast("bigint")
+    summed = (pairs.groupBy("class", *ranges).agg(F.count(F.lit(1)).alias("tp"), F.first(none).alias("predicted"), F.first(none).alias("ambient_fp"))
+              .unionByName(given.groupBy("class", *ranges).agg(
+                  F.first(none).alias("tp"), F.sum("n").alias("predicted"),
+                  F.coalesce(F.sum(F.when(F.col("_has").isNull(), F.col("n"))), none).alias("ambient_fp"))))
+    placed = grid.join(F.broadcast(levels), "class").select(
+        "class", "ord", *[(F.array_position(f"{side}_values", F.col(side)) - 1).alias(f"_{side}") for side in ("quiet", "busy")])
+    hits = placed.join(summed, "class").filter("_quiet between q_low and q_high and _busy between b_low and b_high").groupBy("class", "ord").agg(
+        *[F.sum(c).alias(c) for c in ("tp", "predicted", "ambient_fp")])
+    totals = truth.groupBy("class").agg(F.count(F.lit(1)).alias("labels"))
+    counted = (grid.join(hits, ["class", "ord"], "left").join(totals, "class", "left")
+               .fillna(0, ["tp", "predicted", "ambient_fp", "labels"]).crossJoin(F.broadcast(lengths)))
+    return counted.withColumns({"fp": F.col("predicted") - F.col("tp"), "fn": F.col("labels") - F.col("tp")})
 
 
 def calibrate_thresholds(counts: DataFrame, ambient_limit: float = 0.1, overall_limit: float = 2.0) -> DataFrame:

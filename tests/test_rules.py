@@ -112,3 +112,59 @@ def test_sessions_of_label_files_without_labels(spark, folder):
     assert [r.onset_sample for r in tables.read_timeline(spark, f"{folder}/t/*/*").collect()] == [5]
     open(f"{folder}/c.jsonl", "w").close()
     assert "c" in {r.session_id for r in tables.timeline_sessions(spark, folder).collect()}
+
+
+def swept_by_rule(trace, truth, grid, cutoff, look, spacing, tol):
+    """Counts per class and entry, each entry by itself and row by row."""
+    out = {}
+    for name, entry, quiet, busy in grid:
+        tp = predicted = alarms = 0
+        for session in {r[0] for r in trace}:
+            rows = sorted((r[2], r[5], r[3], r[4]) for r in trace if r[:2] == (session, name))
+            kept = []
+            for i, (at, ident, p, activity) in enumerate(rows):
+                around, before = [r[2] for r in rows[max(0, i - look):i + look + 1]], [r[2] for r in rows[max(0, i - look):i]]
+                if p < max(around) or before and p <= max(before) or p < (quiet if activity < cutoff else busy):
+                    continue
+                if kept and at - kept[-1][0] < spacing:
+                    if p > kept[-1][2]:
+                        kept[-1] = (at, ident, p)
+                else:
+                    kept.append((at, ident, p))
+            labels = [(r[2], r[3]) for r in truth if r[:2] == (session, name)]
+            near = sorted((abs(a - b), t, i) for a, t in labels for b, i, _ in kept if abs(a - b) <= tol)
+            left, right = set(), set()
+            for _, t, i in near:
+                if t not in left and i not in right:
+                    left.add(t), right.add(i)
+            tp, predicted = tp + len(left), predicted + len(kept)
+            alarms += len(kept) if all(r[0] != session for r in truth) else 0
+        out[name, entry] = (tp, predicted - tp, sum(r[1] == name for r in truth) - tp, alarms)
+    return out
+
+
+@pytest.mark.parametrize("step", [1, 40])
+def test_sweep_counts_each_entry_as_if_alone(spark, step):
+    draw = np.random.default_rng(step)
+    trace, truth = [], []
+    for session in ("r1", "r2", "quiet"):
+        for name in ("a", "b"):
+            for at in np.cumsum(draw.integers(1, 2 * step + 1, 120)).tolist():
+                trace.append((session, name, at, round(float(draw.random()), 2), float(draw.random()), len(trace)))
+                if session != "quiet" and draw.random() < .2:
+                    truth.append((session, name, at + int(draw.integers(-9, 10)), len(truth)))
+    grid = calibration.threshold_pairs([.1, .3, .5, .6, .7, .8, .9, .99], ("b",), ("a", "b", "absent"))
+    frames = (spark.createDataFrame(trace, "session_id string, class string, sample long, probability double, activity double, event_id long"),
+              spark.createDataFrame(truth, "session_id string, class string, onset_sample long, truth_id long"))
+    table = spark.createDataFrame(grid, "class string, ord int, quiet double, busy double")
+    got = calibration.sweep_counts(*frames, table, cutoff=.5, lookahead=2, spacing=12, tol=8, width=500, minutes_per_unit=1.).collect()
+    assert {(r["class"], r.ord): (r.tp, r.fp, r.fn, r.ambient_fp) for r in got} == swept_by_rule(trace, truth, grid, .5, 2, 12, 8)
+
+
+def test_sweep_copies_a_label_per_candidate_set(spark):
+    grid = calibration.threshold_pairs([i / 20 for i in range(1, 19)], ("a",), ("a",))
+    levels = calibration.sweep_levels(spark.createDataFrame(grid, "class string, ord int, quiet double, busy double"))
+    rows = [("s", "a", 1000, 4, True), ("s", "a", 1005, None, None), ("s", "a", 5000, None, None), ("s", "a", 9000, 3, True), ("s", "a", 9003, 7, False), ("s", "a", 9004, None, None)]
+    got = calibration.sweep_variants(spark.createDataFrame(rows, "session_id string, class string, sample long, level int, quiet boolean"), levels, 100, 10_000)
+    copies = {r.sample: r["count"] for r in got.filter("level is null").groupBy("sample").count().collect()}
+    assert len(grid) == 171 and copies == {1005: 1, 9004: 3}     # one candidate; either, both; none within reach
