@@ -3,14 +3,14 @@
 Texts are tokenised once; what goes on is one small row per piece.  The histogram has at most ``capacity`` entries whatever
 the corpus, so the program over it (patterns of lengths that fill one sequence) is solved in one place: multiplicative
 weights on the lengths, each round priced by a knapsack dynamic program.  Whole multiples of the fractional solution are
-taken, the rest is solved again, and what is left is packed best-fit.  The plan is a table of (pattern, copies);
+taken, and what is left is packed best-fit.  The plan is a table of (pattern, copies);
 pieces are numbered within their length and find their sequence and offset by that number.
 """
 
 from __future__ import annotations
 
-
 import zlib
+from math import ceil, exp
 
 import numpy as np
 import pyarrow as pa
@@ -88,51 +88,115 @@ def pieces(docs: DataFrame, tokenizer: str = "byte_bpe_50k.json", capacity: int
     return docs.select(F.col("doc_id").cast("long"), text_of().alias("text")).mapInArrow(run, PIECES)
 
 
-def _best_pattern(price: np.ndarray, capacity: int) -> np.ndarray:
-    """Unbounded knapsack by dynamic programming: the most valuable multiset of lengths that fits a sequence."""
+def _best_values(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Unbounded knapsack by dynamic programming: for each room the value of the best multiset of lengths, and the length it takes (0: none)."""
     best, take = np.zeros(capacity + 1), np.zeros(capacity + 1, np.int64)
+    fits = np.searchsorted(lengths, np.arange(capacity + 1), side="right")
     for c in range(1, capacity + 1):
-        gains = price[c:0:-1] + best[:c]
-        k = int(np.argmax(gains))  # the longest of equals
-        if gains[k] > best[c - 1]:
-            best[c], take[c] = gains[k], c - k
-        else:
-            best[c] = best[c - 1]
-    counts, c = np.zeros(capacity + 1, np.int64), capacity
-    while c > 0:
-        if take[c]:
-            counts[take[c]] += 1
-            c -= take[c]
+        best[c] = best[c - 1]
+        if fits[c]:
+            some = lengths[:fits[c]]
+            gains = price[:fits[c]] + best[c - some]
+            k = int(gains.argmax())
+            if gains[k] > best[c]:
+                best[c], take[c] = gains[k], some[k]
+    return best, take
+
+
+def _filled(take: np.ndarray, room: int, at: dict[int, int], first: int | None = None) -> tuple[tuple[int, int], ...]:
+    """The multiset behind ``_best_values``, after ``first``: (place of the length, times) pairs."""
+    found = {} if first is None else {first: 1}
+    while room > 0:
+        if take[room]:
+            k = at[int(take[room])]
+            found[k] = found.get(k, 0) + 1
+            room -= int(take[room])
         else:
-            c -= 1
-    return counts
+            room -= 1
+    return tuple(sorted(found.items()))
 
 
-def fractional(counts: np.ndarray, capacity: int, rate: float, convex: float) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows of counts by length) and amounts that cover ``counts`` exactly, by multiplicative weights.
+def fractional(counts: np.ndarray, capacity: int, rates: tuple[float, ...] = (0.3, 0.1, 0.03, 0.01), gap: float = 0.003, convex: float = 1.1,
+               rounds: int = 400) -> tuple[list, np.ndarray, float]:
+    """Patterns, amounts that cover ``counts``, and a lower bound on any such total: the program by multiplicative weights.
 
-    The dual weight of a length falls exponentially with the share of its demand that is covered, to nothing once all is;
-    each round buys the pattern that is worth most, as much of it as covers what its scarcest length still needs.
+    A length's weight falls by exp(-rate) each time its demand is covered once more; a pattern is worth its lengths' weights per
+    demanded piece.  Patterns within ``rate`` of the most valuable one are bought in units that cover their scarcest
+    length once; when none is left, the knapsack program prices again.  Its most valuable pattern bounds the optimum from below
+    (weights over that value are a dual solution); all amounts over the least coverage cover everything.  Finer rates go on from
+    the weights of the best bound and count coverage anew.  It ends once solution and bound are within ``gap``, or after ``rounds``
+    pricings at the finest rate.
     """
-    need, found = counts.astype(float), {}
+    lengths = np.flatnonzero(counts)
+    need = counts[lengths].astype(float)
+    at = {int(length): k for k, length in enumerate(lengths)}
     # at first a length is worth its share of a sequence, long ones a little more: they are harder to place
-    worth = (np.arange(capacity + 1) / capacity) ** convex
-    while need.sum() >= 1:
-        price = worth * np.exp(-rate * (1 - need / np.maximum(counts, 1))) * (need > 0)
-        pattern = _best_pattern(price, capacity)
-        used = pattern > 0
-        amount = np.min(need[used] / pattern[used])
-        need[used] = np.maximum(0, need[used] - amount * pattern[used])
-        need[need < 1e-9] = 0
-        key = pattern.tobytes()
-        found[key] = found.get(key, 0.0) + amount
-    table = np.stack([np.frombuffer(key, np.int64) for key in found])
-    return table, np.array(list(found.values()))
-
-
-def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[np.ndarray, int]]:
-    """Best-fit decreasing on counts: sequences with the same content are one entry, so the work follows the lengths."""
+    price = duals = (lengths / capacity) ** convex
+    # to begin with, each length by itself
+    each = capacity // lengths
+    patterns, units = [((k, int(n)),) for k, n in enumerate(each)], (need / each).tolist()
+    known, best_amounts, bound = set(patterns), need / each, 0.0
+    best_total = best_amounts.sum()
+    places, many = np.arange(len(lengths))[:, None], each[:, None].astype(float)   # the patterns as padded rows
+    for rate in rates:
+        price = duals / duals.max()
+        cover, bought = np.zeros(len(lengths)), np.zeros(len(patterns))
+        for _ in range(rounds):
+            values, take = _best_values(price, lengths, capacity)
+            top = values[capacity]
+            if need @ price / top > bound:
+                bound, duals = float(need @ price / top), price
+            least = (1 - rate) * top
+            # values only fall, so a pattern that has become too cheap stays so until the next pricing
+            live, spent = price.tolist(), cover.tolist()
+
+            def buy(pattern, unit):
+                amount = 0.0
+                while sum([live[j] * times for j, times in pattern]) >= least:
+                    amount += unit
+                    for j, times in pattern:
+                        step = unit * times / need[j]
+                        spent[j] += step
+                        live[j] *= exp(-rate * step)
+                return amount
+            for i in np.flatnonzero((price[places] * many).sum(axis=1) >= least).tolist():
+                bought[i] += buy(patterns[i], units[i])
+            # then the best pattern around every length that has one worth buying; those bought are kept
+            fresh, amounts = len(patterns), []
+            for k in np.flatnonzero(price + values[capacity - lengths] >= least).tolist():
+                pattern = _filled(take, capacity - int(lengths[k]), at, k)
+                unit = min([need[j] / times for j, times in pattern])
+                amount = 0.0 if pattern in known else buy(pattern, unit)
+                if amount:
+                    known.add(pattern)
+                    patterns.append(pattern)
+                    units.append(unit)
+                    amounts.append(amount)
+            if amounts:
+                widest = max(places.shape[1], max(len(p) for p in patterns[fresh:]))
+                grown, times = np.zeros((len(patterns), widest), np.int64), np.zeros((len(patterns), widest))
+                grown[:fresh, :places.shape[1]], times[:fresh, :places.shape[1]] = places, many
+                for i, pattern in enumerate(patterns[fresh:], fresh):
+                    grown[i, :len(pattern)], times[i, :len(pattern)] = zip(*pattern)
+                places, many, bought = grown, times, np.r_[bought, amounts]
+            total = bought.sum()
+            price, cover = np.array(live), np.array(spent)
+            lowest = cover.min()
+            if lowest > 0 and total / lowest < best_total:
+                best_total, best_amounts = total / lowest, bought / lowest
+            if best_total <= bound * (1 + gap):
+                return patterns[:len(best_amounts)], best_amounts, bound
+            if rate != rates[-1] and lowest > 1 / rate:
+                break
+    return patterns[:len(best_amounts)], best_amounts, bound
+
+
+def best_fit_decreasing(counts: np.ndarray, capacity: int, begun: list[tuple[np.ndarray, int]] = ()) -> list[tuple[np.ndarray, int]]:
+    """Best-fit decreasing on counts, into the sequences ``begun`` and new ones: sequences with the same content are one
+    entry, so the work follows the lengths."""
     open_ = {}  # room left -> list of [pattern, copies]
+    for pattern, copies in begun:
+        open_.setdefault(capacity - int(pattern @ np.arange(capacity + 1)), []).append([pattern, copies])
     for size in np.flatnonzero(counts)[::-1].tolist():
         left = int(counts[size])
         for room in sorted(r for r in open_ if r >= size):
@@ -162,20 +226,29 @@ def best_fit_decreasing(counts: np.ndarray, capacity: int) -> list[tuple[np.ndar
     return [(p, n) for entries in open_.values() for p, n in entries]
 
 
-def plan(counts: np.ndarray, capacity: int = 1024, rate: float = 0.2, convex: float = 1.3) -> tuple[np.ndarray, np.ndarray]:
+def plan(counts: np.ndarray, capacity: int = 1024, gap: float = 0.003) -> tuple[np.ndarray, np.ndarray]:
     """Patterns and whole numbers of copies that use each piece exactly once.
 
-    The fractional solution is rounded down, and the pieces that this leaves (fewer than the patterns hold once) are packed
-    best-fit decreasing.
+    Amounts of the fractional solution are rounded up, the largest first, as long as all pieces of a copy are there.  The pieces
+    that this leaves go best-fit decreasing into the room that is left, and into new sequences.
     """
     left, chosen = counts.astype(np.int64).copy(), []
     if left.any():
-        for pattern, amount in zip(*fractional(left, capacity, rate, convex)):
-            times = int(amount + 1e-6)
-            if times:
-                left -= pattern * times
-                chosen.append((pattern, times))
-        chosen += best_fit_decreasing(left, capacity)
+        lengths = np.flatnonzero(left)
+        patterns, amounts, _ = fractional(left, capacity, gap=gap)
+        order = np.argsort(-amounts, kind="stable").tolist()
+        for i in order:
+            pattern = np.zeros(capacity + 1, np.int64)
+            for k, times in patterns[i]:
+                pattern[lengths[k]] = times
+            # a pattern's part of a copy is rounded up while all its pieces are there
+            copies = ceil(amounts[i] - 1e-6)
+            used = pattern > 0
+            copies = min(copies, int((left[used] // pattern[used]).min())) if copies else 0
+            if copies:
+                left -= pattern * copies
+                chosen.append((pattern, copies))
+        chosen = best_fit_decreasing(left, capacity, chosen)
     return np.array([p for p, _ in chosen]).reshape(-1, capacity + 1), np.array([n for _, n in chosen], np.int64)
 
 

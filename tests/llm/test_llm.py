@@ -121,6 +121,29 @@ def test_packing_plan_is_near_its_bound():
     assert copies.sum() <= 1.01 * max((counts @ np.arange(257)) / 256, counts[129:].sum())
 
 
+def test_packing_program_meets_its_bound():
+    counts = np.zeros(1025, np.int64)
+    counts[[400, 312, 224]] = 1000, 3000, 1000      # best fit takes 1625 sequences
+    patterns, amounts, bound = packing.fractional(counts, 1024)
+    assert amounts.sum() <= 1.005 * bound and bound <= 1556
+    covered = np.zeros(3)
+    for pattern, amount in zip(patterns, amounts):
+        assert sum(times * (224, 312, 400)[k] for k, times in pattern) <= 1024
+        for k, times in pattern:
+            covered[k] += times * amount
+    assert (covered >= np.array([1000, 3000, 1000]) - 1e-6).all()
+    table, copies = packing.plan(counts)
+    assert ((table * copies[:, None]).sum(axis=0) == counts).all() and copies.sum() <= 1560
+
+
+@pytest.mark.parametrize("few", [{1: 1}, {1024: 3}, {1: 5, 1024: 2}, {600: 4}])
+def test_packing_plans_of_few_pieces(few):
+    counts = np.zeros(1025, np.int64)
+    counts[list(few)] = list(few.values())
+    table, copies = packing.plan(counts)
+    assert ((table * copies[:, None]).sum(axis=0) == counts).all() and (table @ np.arange(1025)).max() <= 1024
+
+
 def test_hidden_markov_scores(docs):
     rows = hmm.score(docs, passes=2, block_bytes=4000).collect()
     train, tokens = Counter(), []
