@@ -368,3 +368,11 @@ def adpit_loss(pred: str, truth: str, classes: int) -> Column:
         losses.append(f"""transform(array({active}), active -> transform(array(if(size(active) = 0, array(array(0D, 0D, 0D)), active)),
           goals -> transform(array({cost}), d -> case size(active) {' '.join(cases)} end / {3.0 * params.TRACKS})[0])[0])[0]""")
     return F.expr(f"({' + '.join(losses)}) / {float(classes)}")
+
+
+def mean_adpit_loss(scenes: DataFrame, pred: str, truth: str, classes: int, weight: Column | None = None) -> DataFrame:
+    """Loss over all scenes, one row: the mean, or with ``weight`` the weighted mean (weights that sum to nothing give 0)."""
+    rows = scenes.select(adpit_loss(pred, truth, classes).alias("_loss"), (F.lit(1.0) if weight is None else weight.cast("double")).alias("_w"))
+    total = F.coalesce(F.sum("_w"), F.lit(0.0))
+    loss = F.coalesce(F.sum(F.col("_loss") * F.col("_w")), F.lit(0.0)) / F.greatest(total, F.lit(1e-12))
+    return rows.agg(F.count(F.lit(1)).alias("scene_count"), total.alias("total_weight"), loss.alias("loss"))

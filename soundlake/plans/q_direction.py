@@ -305,16 +305,31 @@ for _n, _maps in enumerate(d._active_options()):
             OPTIONS.append(f"({_n}, {_o}, {_k}, {_m[_k] if _m else -1})")
 
 
-@query("adpit_loss", v.sql("""SELECT scene_id, round(sum(cost) / 2, 6) AS loss FROM (SELECT scene_id, c, min(cost) AS cost FROM (
+LOSSES = f"""opts(n, ord, track, target) AS (VALUES {', '.join(OPTIONS)}),
+losses AS (SELECT scene_id, sum(cost) / 2 AS loss FROM (SELECT scene_id, c, min(cost) AS cost FROM (
     SELECT k.scene_id, k.c, o.ord, sum((k.x - coalesce(t.x, 0)) ** 2 + (k.y - coalesce(t.y, 0)) ** 2 + (k.z - coalesce(t.z, 0)) ** 2) / 9 AS cost
     FROM trk k LEFT JOIN (SELECT scene_id, c, count(*) AS n FROM tru GROUP BY ALL) n ON n.scene_id = k.scene_id AND n.c = k.c
     JOIN opts o ON o.n = coalesce(n.n, 0) AND o.track = k.t
-    LEFT JOIN tru t ON t.scene_id = k.scene_id AND t.c = k.c AND t.ti = o.target GROUP BY ALL) GROUP BY ALL) GROUP BY scene_id""",
-                           "trk", "tru", extra=f"opts(n, ord, track, target) AS (VALUES {', '.join(OPTIONS)})"))
+    LEFT JOIN tru t ON t.scene_id = k.scene_id AND t.c = k.c AND t.ti = o.target GROUP BY ALL) GROUP BY ALL) GROUP BY scene_id)"""
+
+
+@query("adpit_loss", v.sql("SELECT scene_id, round(loss, 6) AS loss FROM losses", "trk", "tru", extra=LOSSES))
 def adpit_loss(spark, sf_dir):
     return scenes(spark, sf_dir).select("scene_id", F.round(d.adpit_loss("tracks", "target", 2), 6).alias("loss"))
 
 
+@query("mean_adpit_loss", v.sql("""SELECT w.weighted, count(*) AS scene_count, CAST(sum(CASE WHEN w.weighted THEN 1 + coalesce(n, 0) ELSE 1 END) AS DOUBLE) AS total_weight,
+  round(sum(loss * CASE WHEN w.weighted THEN 1 + coalesce(n, 0) ELSE 1 END) / sum(CASE WHEN w.weighted THEN 1 + coalesce(n, 0) ELSE 1 END), 6) AS loss
+  FROM losses LEFT JOIN (SELECT scene_id, count(*) AS n FROM tru GROUP BY scene_id) USING (scene_id), (VALUES (true), (false)) w(weighted) GROUP BY w.weighted""",
+                                "trk", "tru", extra=LOSSES))
+def mean_adpit_loss(spark, sf_dir):
+    """Plain, and with weights that rise with the number of targets."""
+    rows = scenes(spark, sf_dir)
+    targets = 1 + F.size(d.truth_list("target", 2))
+    out = [d.mean_adpit_loss(rows, "tracks", "target", 2, weight).withColumn("weighted", F.lit(weight is not None)) for weight in (None, targets)]
+    return out[0].unionByName(out[1]).withColumn("loss", F.round("loss", 6))
+
+
 @query("truth_tensor", v.sql("""SELECT scene_id, c AS cls, CAST(ti AS INTEGER) AS track, round(x, 5) AS x, round(y, 5) AS y, round(z, 5) AS z
   FROM tru""", "tru"))
 def truth_tensor(spark, sf_dir):

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from soundlake.operators import calibration, corpus, features, smoothing, tensors
+from soundlake.operators import calibration, corpus, direction, features, smoothing, tensors
 from soundlake.sources import tables
 
 
@@ -168,3 +168,13 @@ def test_sweep_copies_a_label_per_candidate_set(spark):
     got = calibration.sweep_variants(spark.createDataFrame(rows, "session_id string, class string, sample long, level int, quiet boolean"), levels, 100, 10_000)
     copies = {r.sample: r["count"] for r in got.filter("level is null").groupBy("sample").count().collect()}
     assert len(grid) == 171 and copies == {1005: 1, 9004: 3}     # one candidate; either, both; none within reach
+
+
+def test_weighted_scene_loss(spark):
+    zero = [[[0.0] * 3] * 3]
+    rows = spark.createDataFrame([(zero, zero, 3.0), ([[[1.0, 0.0, 0.0]] * 3], zero, 1.0)], "p array<array<array<double>>>, t array<array<array<double>>>, w double")
+
+    def loss(df, weight=None):
+        return direction.mean_adpit_loss(df, "p", "t", 1, weight).first().loss
+    assert loss(rows) == pytest.approx(1 / 6) and loss(rows, F.col("w")) == pytest.approx(1 / 12)
+    assert loss(rows, F.lit(0)) == 0 and loss(rows.limit(0)) == 0
