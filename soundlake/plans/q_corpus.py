@@ -336,6 +336,25 @@ def validate_policy(spark, sf_dir):
     return validation.violations(rows, rules, ["policy_id"])
 
 
+# setting: its value in terms of the balance b and the nation n, its rule
+RECOGNITION = {"scene_activity_cutoff": ("b * 2", "x > 0 AND x < 1"), "self_suppression_threshold": ("n / 20", "x > 0 AND x <= 1"),
+               "peak_lookahead_frames": ("n - 2", "x >= 0"), "pulse_ms": ("n - 3", "x > 0"), "inference_stride_frames": ("20 - n", "x > 0"),
+               "threshold_quiet_a": ("b", "x > 0 AND x <= 1"), "threshold_busy_a": ("b + 0.3", "x > 0 AND x <= 1"),
+               "minimum_spacing_ms_a": ("n - 1", "x > 0"), "onset_offset_samples_a": ("n - 4", "x >= 0")}
+SETTINGS = " UNION ALL ".join(f"SELECT policy_id, '{name}' AS rule, {rule} AS holds FROM (SELECT policy_id, {value} AS x FROM p)"
+                              for name, (value, rule) in RECOGNITION.items())
+
+
+@query("validate_recognition_policy", f"""WITH p AS (SELECT s_suppkey AS policy_id, CAST(s_acctbal AS DOUBLE) / 10000 AS b, CAST(s_nationkey AS DOUBLE) AS n FROM supplier)
+SELECT policy_id, rule FROM ({SETTINGS}) WHERE NOT holds""")
+def validate_recognition_policy(spark, sf_dir):
+    """Suppliers as recognition policies: balance and nation shape the settings."""
+    rows = v.table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("policy_id"), (F.col("s_acctbal").cast("double") / 10000).alias("b"),
+                                                     F.col("s_nationkey").cast("double").alias("n"))
+    settings = F.create_map(*[x for name, (value, _) in RECOGNITION.items() for x in (F.lit(name), F.expr(f"CAST({value} AS DOUBLE)"))])
+    return validation.violations(rows.select("policy_id", settings.alias("policy")), validation.policy_rules(("a",)), ["policy_id"])
+
+
 @query("validate_corpus_contract", """SELECT s_suppkey AS meta_id, rule FROM (SELECT s_suppkey, unnest([CASE WHEN s_nationkey <> 8 THEN 'feature_frames' END,
   CASE WHEN s_nationkey = 2 THEN 'mel_bins' END]) AS rule FROM supplier) WHERE rule IS NOT NULL""")
 def validate_corpus_contract(spark, sf_dir):
