@@ -43,14 +43,22 @@ def encode_sample(x: Column) -> Column:
     return F.rint(held * F.when(held < 0, 32768.0).otherwise(32767.0)).cast("smallint")
 
 
-def write_recordings(chunks: DataFrame, path: str, rate: int = params.SAMPLE_RATE, part_frames: int = 1 << 28) -> DataFrame:
+def write_recordings(chunks: DataFrame, path: str, rate: int = params.SAMPLE_RATE, part_frames: int = 1 << 28, packed: bool = False) -> DataFrame:
     """Stereo 16-bit WAV files under ``path``; returns (session_id, path, frames).
 
     A recording longer than ``part_frames`` continues in files ``<session>_part00001`` and so on, so no task
     meets more than that; a chunk in their header names the recording and position.  Samples are streamed.  Files appear
     under their names when all tasks are done; a file of the same name is replaced.
+
+    ``packed``: WAV files of up to 1 MB become members of tar shards, which ``scan_recordings`` reads like files; the path of a member is
+    the folder's.  A folder that holds anything is refused then, as members cannot be replaced.
     """
     spark = chunks.sparkSession
+    if packed:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if system.exists(at) and len(system.listStatus(at)):
+            raise FileExistsError(f"{path} is not empty")
     spark.dataSource.register(wav.Recordings)
     pieces = blocks_of(chunks.select("session_id", "first_sample", "left", "right"), part_frames, 0)
     session = F.col("session_id").cast("string")
@@ -59,8 +67,12 @@ def write_recordings(chunks: DataFrame, path: str, rate: int = params.SAMPLE_RAT
     sized = cut_lineage(pieces.groupBy("file").agg(F.sum(F.size("left")).alias("frames"), F.min("piece_start").alias("position"), F.min("recording").alias("recording")))
     coded = pieces.select("file", "piece_start", F.transform("left", encode_sample).alias("left"), F.transform("right", encode_sample).alias("right")).join(sized, "file")
     ordered = coded.repartition("file").sortWithinPartitions("file", "piece_start").select("file", "position", "frames", "recording", "left", "right")
-    ordered.write.format(wav.FORMAT).option("rate", rate).mode("append").save(wav.resolved(spark, path))
-    return sized.select(F.col("file").alias("session_id"), F.concat(F.lit(path.rstrip("/") + "/"), "file", F.lit(".wav")).alias("path"), "frames")
+    ordered.write.format(wav.FORMAT).option("rate", rate).option("packed", packed).mode("append").save(wav.resolved(spark, path))
+    base = path.rstrip("/")
+    place = F.concat(F.lit(base + "/"), "file", F.lit(".wav"))
+    if packed:
+        place = F.when(4 * F.col("frames") <= wav.PACKED_BYTES, base).otherwise(place)
+    return sized.select(F.col("file").alias("session_id"), place.alias("path"), "frames")
 
 
 def onset_in_clip(rate: int, values: np.ndarray, before: float = 0.02) -> int:
@@ -104,8 +116,9 @@ def scan_inventory_tree(spark: SparkSession, root: str) -> DataFrame:
 
 
 def export_clips(chunks: DataFrame, intervals: DataFrame, path: str, rate: int = params.SAMPLE_RATE) -> DataFrame:
-    """One WAV per interval (window_id, window_start, window_frames) that lies inside its recording."""
+    """One WAV per interval (window_id, window_start, window_frames) that lies inside its recording, packed in shards: clips are short and
+    as many as the data has rows.  ``path`` must be empty."""
     clips = extract_windows(chunks, intervals).filter("left is not null").select(
         F.concat_ws("_", F.col("session_id").cast("string"), F.col("window_id").cast("string")).alias("session_id"),
         F.lit(0).cast("bigint").alias("first_sample"), "left", "right")
-    return write_recordings(clips, path, rate)
+    return write_recordings(clips, path, rate, packed=True)

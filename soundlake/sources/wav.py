@@ -3,13 +3,16 @@
     spark.read.format("recordings").option("chunk", 65536).load(path)
 
 Planning lists the folder and reads each file's header once; a long file becomes many input partitions, short files share one.
-A task reads only its own bytes.  Paths are resolved by Spark's file systems on the driver, so one without a scheme means the
+A task reads only its own bytes.  Short recordings may be packed: a ``.tar`` file of the folder is a shard whose members are whole WAV
+files, so a million clips are a few hundred files and neither listing, commit nor planning grows with their number.  Paths are resolved by Spark's file systems on the driver, so one without a scheme means the
 cluster's default file system; tasks reach it by the resolved address.
 """
 
 from __future__ import annotations
 
+import io
 import struct
+import tarfile
 import uuid
 from collections.abc import Iterator
 from concurrent.futures import ThreadPoolExecutor
@@ -27,6 +30,7 @@ CHUNK_SCHEMA = ("session_id string, chunk_idx bigint, first_sample bigint, sampl
 CHUNK = 65_536
 SPLIT_BYTES = 64 << 20
 BATCH = 16  # chunks per Arrow batch
+PACKED_BYTES = 1 << 20  # longer recordings are files of their own, also where short ones are packed
 # Tags of the format.  "slpt" is this library's own chunk, which names the recording and position a file continues.
 PCM, EXTENSIBLE, OWN_TAG = 1, 0xFFFE, b"slpt"
 
@@ -105,9 +109,10 @@ def decode(raw: bytes, width: int, channels: int) -> np.ndarray:
 
 @dataclass
 class Spans(InputPartition):
-    """Ranges of frames, each (session, path, header, from, to), and files without a header, each (session, problem)."""
+    """Ranges of frames, each (session, path, header, from, to), files without a header, each (session, problem), and paths of shards."""
     ranges: list
     broken: list
+    shards: list
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -123,7 +128,9 @@ class RecordingReader(DataSourceReader):
 
     def partitions(self):
         system, base = opened(self.uri)
-        files = [f for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and f.base_name.endswith(".wav") and not f.base_name.startswith("_")]
+        files = [f for f in system.get_file_info(fs.FileSelector(base, allow_not_found=True)) if f.is_file and f.base_name.endswith((".wav", ".tar")) and not f.base_name.startswith("_")]
+        shards = [f for f in files if f.base_name.endswith(".tar")]
+        files = [f for f in files if f.base_name.endswith(".wav")]
 
         def header(file):
             try:
@@ -133,7 +140,7 @@ class RecordingReader(DataSourceReader):
                 return str(problem) or type(problem).__name__
         with ThreadPoolExecutor(32) as pool:
             headers = list(pool.map(header, files))
-        found, held, size = [], Spans([], []), 0
+        found, held, size = [], Spans([], [], []), 0
         for file, head in sorted(zip(files, headers), key=lambda x: x[0].path):
             name = file.base_name.rsplit(".", 1)[0]
             if isinstance(head, str):
@@ -146,10 +153,34 @@ class RecordingReader(DataSourceReader):
             for a, b in zip(edges, edges[1:]):
                 if size and size + (b - a) * frame > self.split_bytes:
                     found.append(held)
-                    held, size = Spans([], []), 0
+                    held, size = Spans([], [], []), 0
                 held.ranges.append((session, file.path, head, a, b))
                 size += (b - a) * frame
-        return [*found, held] if held.ranges or held.broken or not found else found
+        for file in sorted(shards, key=lambda x: x.path):
+            if size and size + file.size > self.split_bytes:
+                found.append(held)
+                held, size = Spans([], [], []), 0
+            held.shards.append(file.path)
+            size += file.size
+        return [*found, held] if held.ranges or held.broken or held.shards or not found else found
+
+    def _members(self, stream) -> Iterator[tuple]:
+        """Chunk rows of a shard's recordings."""
+        none = np.zeros(0, np.float32)
+        with tarfile.open(fileobj=stream, mode="r|") as shard:
+            for member in shard:
+                if not member.isfile() or not member.name.endswith(".wav"):
+                    continue
+                content, name = shard.extractfile(member).read(), member.name[:-4]
+                try:
+                    head = read_header(io.BytesIO(content), len(content))
+                except Exception as problem:
+                    yield name, 0, 0, none, none, str(problem) or type(problem).__name__
+                    continue
+                values = decode(content[head.data:head.data + head.frames * head.width * head.channels], head.width, head.channels)
+                edges = [0, *range(self.chunk - head.first % self.chunk, head.frames, self.chunk), head.frames]
+                for a, b in zip(edges, edges[1:]):
+                    yield head.session or name, head.first + a, head.rate, values[a:b, 0], values[a:b, -1], None
 
     def read(self, partition) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in CHUNK_SCHEMA.split(", ")]
@@ -173,6 +204,17 @@ class RecordingReader(DataSourceReader):
                         values = decode(stream.read((y - x) * frame), head.width, head.channels)
                         rows.append((session, head.first + x, head.rate, values[:, 0], values[:, -1], None))
                     yield batch(rows)
+        for path in partition.shards:
+            with system.open_input_stream(path) as stream:
+                rows, size = [], 0
+                for row in self._members(stream):
+                    rows.append(row)
+                    size += len(row[3])
+                    if len(rows) == 4096 or size >= BATCH * CHUNK:
+                        yield batch(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield batch(rows)
 
 
 @dataclass
@@ -193,33 +235,55 @@ def file_header(frames: int, rate: int, recording: str | None, first: int) -> by
 
 
 class RecordingWriter(DataSourceArrowWriter):
-    """Rows file, position, frames (of the file), recording, left, right (16-bit lists), a file's rows together and in order."""
+    """Rows file, position, frames (of the file), recording, left, right (16-bit lists), a file's rows together and in order.
+
+    With ``packed``, recordings of up to ``PACKED_BYTES`` become members of shards of about ``SPLIT_BYTES``."""
 
     def __init__(self, options):
-        self.uri, self.rate = options["path"], int(options["rate"])
+        self.uri, self.rate, self.packed = options["path"], int(options["rate"]), options.get("packed", "false").lower() == "true"
         self.staging = f"_staging-{uuid.uuid4().hex}"
 
     def write(self, iterator) -> Written:
         system, base = opened(self.uri)
         folder, done = f"{base}/{self.staging}", []
         system.create_dir(folder, recursive=True)
-        current, stream = None, None
+        current, stream, shard, sink = None, None, None, None
+
+        def start(final):
+            temporary = uuid.uuid4().hex
+            done.append((temporary, final))
+            return system.open_output_stream(f"{folder}/{temporary}")
+
+        def finish():
+            """The recording at hand is whole."""
+            nonlocal shard, sink
+            if not isinstance(stream, io.BytesIO):
+                if stream is not None:
+                    stream.close()
+                return
+            if shard is None:
+                sink = start(f"shard-{uuid.uuid4().hex}.tar")
+                shard = tarfile.open(fileobj=sink, mode="w|")
+            member = tarfile.TarInfo(f"{current}.wav")
+            member.size = stream.tell()
+            stream.seek(0)
+            shard.addfile(member, stream)
+            if shard.offset >= SPLIT_BYTES:
+                shard.close(), sink.close()
+                shard = None
         for batch in iterator:
             column = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
             names, counts, first, recording = (column[c].to_pylist() for c in ("file", "frames", "position", "recording"))
             for i, name in enumerate(names):
                 if name != current:
-                    if stream is not None:
-                        stream.close()
-                    temporary = uuid.uuid4().hex
-                    stream = system.open_output_stream(f"{folder}/{temporary}")
+                    finish()
+                    stream, current = io.BytesIO() if self.packed and 4 * counts[i] <= PACKED_BYTES else start(f"{name}.wav"), name
                     stream.write(file_header(counts[i], self.rate, recording[i], first[i]))
-                    done.append((temporary, f"{name}.wav"))
-                    current = name
                 sides = [column[c][i].values.to_numpy() for c in ("left", "right")]
                 stream.write(np.stack(sides, axis=1).astype("<i2").tobytes())
-        if stream is not None:
-            stream.close()
+        finish()
+        if shard is not None:
+            shard.close(), sink.close()
         return Written(done)
 
     def commit(self, messages) -> None:

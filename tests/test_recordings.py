@@ -81,3 +81,26 @@ def test_inventory_offsets_at_the_common_rate(spark, folder):
     written(f"{folder}/silent.wav", np.zeros(50, int), 48_000, 1)
     got = {r.relative_path: r.active_offset_samples for r in recordings.scan_inventory_tree(spark, folder).collect()}
     assert abs(got["a.wav"] - 200) <= 12 and abs(got["b.wav"] - 301) <= 1 and got["c.wav"] == 960 and got["silent.wav"] == 0
+
+
+def test_clips_are_packed_in_shards(spark, folder):
+    """One file per shard, whatever the number of clips; long recordings stay files; chunks and names come back."""
+    chunks = spark.createDataFrame([("a", 0, [i / 1000 for i in range(1000)], [0.0] * 1000)], "session_id string, first_sample bigint, left array<double>, right array<double>")
+    windows = spark.range(300).selectExpr("'a' AS session_id", "id AS window_id", "id AS window_start", "5L AS window_frames").unionByName(
+        spark.range(1).selectExpr("'a' AS session_id", "999L AS window_id", "998L AS window_start", "5L AS window_frames")).repartition(4)
+    assert recordings.export_clips(chunks, windows, f"{folder}/c", 8000).count() == 300
+    names = os.listdir(f"{folder}/c")
+    assert len(names) <= 4 and all(n.endswith(".tar") for n in names)
+    got = {}
+    for r in recordings.scan_recordings(spark, f"{folder}/c", chunk=2).collect():
+        assert r.error is None and r.chunk_idx == r.first_sample // 2 and r.sample_rate == 8000
+        got.setdefault(r.session_id, {})[r.first_sample] = r.left
+    assert len(got) == 300 and all(sorted(x) == [0, 2, 4] for x in got.values())
+    assert np.allclose(sum((got["a_7"][k] for k in (0, 2, 4)), []), [k / 1000 for k in range(7, 12)], atol=1e-4)
+    with pytest.raises(FileExistsError):
+        recordings.export_clips(chunks, windows, f"{folder}/c", 8000)
+    long = chunks.unionByName(spark.range(1).selectExpr("'b' AS session_id", "0L AS first_sample", "array_repeat(0.5D, 300000) AS left", "array_repeat(0.5D, 300000) AS right"))
+    made = {r.session_id: r.path for r in recordings.write_recordings(long, f"{folder}/m", 8000, packed=True).collect()}
+    assert made == {"a": f"{folder}/m", "b": f"{folder}/m/b.wav"} and sorted(n[-4:] for n in os.listdir(f"{folder}/m")) == [".tar", ".wav"]
+    frames = {r.session_id: r.n for r in recordings.scan_recordings(spark, f"{folder}/m").groupBy("session_id").agg({"left": "count"}).withColumnRenamed("count(left)", "n").collect()}
+    assert frames == {"a": 1, "b": 5}
