@@ -135,3 +135,26 @@ def test_live_state_is_cleared_by_a_new_generation(spark):
     stream = sinks.replay(spark, path, spark.createDataFrame([], schema).schema, 1)
     got = {r.session_id: (r.stream_generation, r.event_id, r.probability) for r in recogniser.run_live_state(stream, ["session_id"], ["sample", "event_id"], ["probability"]).collect()}
     assert got == {"a": (1, 4, None), "b": (0, 3, .7)}
+
+
+def test_many_streams_share_a_group(spark):
+    """Groups, and so calls of the state store, do not grow with the streams; keys of any type and null come back; a stream that ended is forgotten."""
+    recogniser.use_typed_state(spark)
+    rows = [row for k in range(30) for row in ((None if k == 0 else f"s{k}", *r[1:2], r[2], 1000 * k + r[3], *r[4:]) for r in trace_rows(k)[:40])]
+    stream = live(spark, rows, True, [("s3", "a", 100, .9, .9, None)], files=4, buckets=2)
+    got = {}
+    for r in stream.collect():
+        got.setdefault(r.session_id, []).append((r.event_id, r.sample, r.onset_sample, r.detected_sample, r.confidence, r.source_hint, r.scene_mode, r.suppressed, r.stream_generation))
+    for k in range(30):
+        name = None if k == 0 else f"s{k}"
+        assert sorted(got.get(name, [])) == plain([r for r in rows if r[0] == name], [("s3", "a", 100, .9, .9, None)] if k == 3 else [])
+
+
+def test_stateful_groups_are_buckets(spark):
+    """500 keys meet the processor in at most 256 groups; a key's state goes on over micro-batches."""
+    blocks = spark.range(1500).selectExpr("id % 500 AS session_id", "(id DIV 500) * 10 AS first_sample", "10L AS frames", "'x' AS endpoint", "0L AS lost", "0L AS available")
+    path = scratch_path(spark, "in")
+    most = sinks.deal_by_time(blocks, path, "first_sample", ["session_id"], pieces=3, salts=1)
+    stream = recogniser.stream_losses(sinks.replay(spark, path, blocks.schema, most), 5, 1)
+    got = run(spark, stream)
+    assert got.count() == 1500 and got.filter("reset").count() == 500 and got.filter("stream_generation = 0 AND generation_sample = first_sample").count() == 1500
