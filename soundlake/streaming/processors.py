@@ -12,6 +12,8 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from soundlake import params
 from soundlake.operators.features import mel_filterbank
@@ -19,32 +21,41 @@ from soundlake.operators.features import mel_filterbank
 STATE = "payload string"
 
 
-def _load(state, default: dict) -> dict:
-    return json.loads(state.get[0]) if state.exists else default
+BUCKETS = 256  # groups that the keys of a stream are dealt to; a group's rows of one micro-batch are in memory
 
 
-def _store(state, value: dict, ended: bool) -> None:
-    if ended:
-        state.remove()
-    else:
-        state.update((json.dumps(value),))
+def _run(stream: DataFrame, keys: Sequence[str], order: Sequence[str], columns: str, start: dict, step, buckets: int = BUCKETS) -> DataFrame:
+    """``step(state, rows)`` gets the key's rows of one batch in order and returns output tuples.
 
-
-def _run(stream: DataFrame, keys: Sequence[str], order: Sequence[str], columns: str, start: dict, step) -> DataFrame:
-    """``step(state, rows)`` gets the key's rows of one batch in order and returns output tuples."""
-    key_part = ", ".join(f"{k} {stream.schema[k].dataType.simpleString()}" for k in keys)
+    A group of the stateful operator costs tables and a state call, whatever its size, so it holds the keys of a bucket, as texts.
+    """
+    known = T.StructType([stream.schema[k] for k in keys])
     names = [c.split()[0] for c in columns.split(", ")]
+    blank = json.dumps(start)
 
     def process(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(batches)).sort_values(list(order), kind="stable")
-        held = _load(state, json.loads(json.dumps(start)))
-        found = step(held, rows.to_dict("records"))
-        ended = bool((rows["kind"] == "end").any()) if "kind" in rows else False
-        _store(state, held, ended)
+        rows = pd.concat(list(batches), ignore_index=True)
+        rows["stream_number"], streams = pd.factorize(rows["stream_key"])
+        rows = rows.sort_values(["stream_number", *order], kind="stable")
+        edges = np.searchsorted(rows["stream_number"].to_numpy(), np.arange(len(streams) + 1))
+        records = rows.to_dict("records")
+        states = json.loads(state.get[0]) if state.exists else {}
+        found = []
+        for stream_key, a, b in zip(streams, edges, edges[1:]):
+            held = states.pop(stream_key, None) or json.loads(blank)
+            some = records[a:b]
+            found += [(stream_key, *out) for out in step(held, some)]
+            if not any(row.get("kind") == "end" for row in some):
+                states[stream_key] = held
+        if states:
+            state.update((json.dumps(states),))
+        elif state.exists:
+            state.remove()
         if found:
-            out = pd.DataFrame(found, columns=names)
-            yield pd.concat([pd.DataFrame({k: [v] * len(out) for k, v in zip(keys, key)}), out], axis=1)
-    return stream.groupBy(*keys).applyInPandasWithState(process, f"{key_part}, {columns}", STATE, "append", "NoTimeout")
+            yield pd.DataFrame(found, columns=["stream_key", *names])
+    grouped = stream.withColumn("stream_key", F.to_json(F.struct(*keys))).withColumn("stream_bucket", F.pmod(F.xxhash64("stream_key"), F.lit(buckets)).cast("int"))
+    out = grouped.drop(*keys).groupBy("stream_bucket").applyInPandasWithState(process, f"stream_key string, {columns}", STATE, "append", "NoTimeout")
+    return out.withColumn("stream_key", F.from_json("stream_key", known)).select(*[F.col("stream_key")[k].alias(k) for k in keys], *names)
 
 
 def stream_generations(blocks: DataFrame, keys: Sequence[str], first: str = "first_sample", frames: str = "frames") -> DataFrame:

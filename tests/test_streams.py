@@ -158,3 +158,16 @@ def test_stateful_groups_are_buckets(spark):
     stream = recogniser.stream_losses(sinks.replay(spark, path, blocks.schema, most), 5, 1)
     got = run(spark, stream)
     assert got.count() == 1500 and got.filter("reset").count() == 500 and got.filter("stream_generation = 0 AND generation_sample = first_sample").count() == 1500
+
+
+def test_streams_of_one_bucket_keep_their_own_state(spark, monkeypatch):
+    """Scenes of 40 keys, one of them null, in two groups: as of each key alone; ended keys are forgotten, groups do not grow with the keys."""
+    monkeypatch.setattr(processors._run, "__defaults__", (2,))
+    columns = "session_id string, onset_sample bigint, event_id bigint, stream_generation int, kind string, arrival bigint"
+    rows = [(None if k == 0 else f"s{k}", *row, i) for k in range(40) for i, row in enumerate(((100 + k, 1, 0, "event"), (900, 2, 0, "event"), (150 + k, 3, 0, "event"), (2000 + k, 0, 0, "end")))]
+    table = spark.createDataFrame(rows, columns)
+    path = scratch_path(spark, "in")
+    sinks.deal_by_time(table, path, "arrival", ["session_id"], pieces=4, salts=1)
+    out = run(spark, processors.stream_scenes(sinks.replay(spark, path, table.schema), join=200, pre_anchor=50, length=400, order=("arrival",))).collect()
+    assert len({r.session_id for r in out}) == 40
+    assert sorted(((r.session_id or "s0"), r.anchor_sample, r.event_id) for r in out) == sorted((f"s{k}", a, e) for k in range(40) for a, e in ((100 + k, 1), (100 + k, 3), (900, 2)))
