@@ -6,7 +6,7 @@ Frames meet window ends in blocks of positions.  A block also gets the ``context
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +21,7 @@ BLOCK = 4096
 BATCH = 64      # windows of an Arrow batch
 
 
-def _cut(keys: Sequence[str], shape: tuple[int, int], context: int, block: int, pad: np.ndarray):
+def _cut(keys: Sequence[str], shape: tuple[int, int], context: int, block: int, pad: np.ndarray, reduce: Callable[[np.ndarray], np.ndarray] | None = None):
     by = [*keys, "_block", "_side"]
     channels, bands = shape
 
@@ -32,7 +32,9 @@ def _cut(keys: Sequence[str], shape: tuple[int, int], context: int, block: int,
             last = part["_p"].to_numpy() - first
             there = known[last]
             cut = views[last[there] - context + 1].reshape(-1, channels, bands, context).swapaxes(2, 3)
-            size = channels * bands * context
+            if reduce is not None:
+                cut = np.asarray(reduce(cut), np.float64).reshape(int(there.sum()), -1)
+            size = int(np.prod(cut.shape[1:]))
             ends = pa.array(np.r_[0, np.cumsum(np.where(there, size, 0))].astype(np.int32))
             lists = pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(cut).ravel()), mask=pa.array(~there))
             yield pa.RecordBatch.from_arrays([*[part[k].combine_chunks() for k in keys], part["_row"].combine_chunks(), lists], names=[*keys, "_row", "tensor"])
@@ -40,6 +42,7 @@ def _cut(keys: Sequence[str], shape: tuple[int, int], context: int, block: int,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, first = None, 0
         buffer, known = np.empty((block + context - 1, channels * bands), np.float32), np.zeros(block + context - 1, bool)
+        buffer[:] = pad
         for batch in batches:
             table = pa.Table.from_batches([batch])
             begin = np.flatnonzero(segment_starts(table, by))
@@ -48,7 +51,7 @@ def _cut(keys: Sequence[str], shape: tuple[int, int], context: int, block: int,
                 group = tuple(rows[c][0].as_py() for c in by[:-1])
                 if group != current:
                     current, first = group, group[-1] * block - context + 1
-                    buffer[:], known[:] = pad, False
+                    buffer[known], known[:] = pad, False  # only what the last block filled
                 if rows["_side"][0].as_py() == 0:
                     at = rows["_p"].to_numpy() - first
                     values = rows["_v"].combine_chunks()
@@ -59,11 +62,13 @@ def _cut(keys: Sequence[str], shape: tuple[int, int], context: int, block: int,
 
 
 def window_tensors(frames: DataFrame, ends: DataFrame, vector: str, shape: tuple[int, int], *, context: int = CONTEXT, keys: Sequence[str] = ("session_id",),
-                   pos: str = "frame_idx", end: str = "window_end", pad: Sequence[float] = (0.0, -100.0, 0.0, 0.0, 0.0), block: int = BLOCK, out: str = "tensor") -> DataFrame:
+                   pos: str = "frame_idx", end: str = "window_end", pad: Sequence[float] = (0.0, -100.0, 0.0, 0.0, 0.0), block: int = BLOCK, out: str = "tensor",
+                   reduce: Callable[[np.ndarray], np.ndarray] | None = None) -> DataFrame:
     """``ends`` with ``out``: the last ``context`` frames before the end as a flat float array [channel][frame][band].
 
     ``vector`` is an array [channel][band] of each frame; what lies before the first frame, and frames that are missing, are filled
-    with the channel's ``pad``.  A window whose last frame is missing gets null.  Gains, domains and the like are further ``keys``.
+    with the channel's ``pad``.  With ``reduce``, a function of float tensors [window, channel, frame, band] to numbers per window, ``out`` has
+    these, as doubles, and the tensors stay in the task.  A window whose last frame is missing gets null.  Gains, domains and the like are further ``keys``.
     """
     channels, bands = shape
     filled = np.repeat(np.asarray(pad, np.float32)[:channels], bands)
@@ -76,8 +81,8 @@ def window_tensors(frames: DataFrame, ends: DataFrame, vector: str, shape: tuple
     last = F.col(end).cast("bigint") - 1
     asked = ends.select(*keys, last.alias("_p"), F.lit(None).cast("array<float>").alias("_v"), F.floor(last / block).alias("_block"), F.lit(1).alias("_side"), payload.alias("_row"))
     both = values.unionByName(asked).repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", "_side", "_p")
-    schema = T.StructType([*[T.StructField(k, ends.schema[k].dataType) for k in keys], T.StructField("_row", kind), T.StructField("tensor", T.ArrayType(T.FloatType()))])
-    made = both.mapInArrow(_cut(keys, shape, context, block, filled), schema)
+    schema = T.StructType([*[T.StructField(k, ends.schema[k].dataType) for k in keys], T.StructField("_row", kind), T.StructField("tensor", T.ArrayType(T.FloatType() if reduce is None else T.DoubleType()))])
+    made = both.mapInArrow(_cut(keys, shape, context, block, filled, reduce), schema)
     return made.select(*keys, *[F.col("_row")[c].alias(c) for c in rows], F.col("tensor").alias(out))
 
 

@@ -186,12 +186,14 @@ def window_tensors(spark, sf_dir):
     frames = rows.select("session_id", F.col("idx").alias("frame_idx"), planes.alias("planes"))
     last = rows.groupBy("session_id").agg((F.max("idx") + 1).cast("bigint").alias("window_end"))
     ends = rows.filter("idx % 20 = 0").select("session_id", (F.col("idx") + 1).cast("bigint").alias("window_end")).unionByName(last).distinct()
-    cut = tensors.window_tensors(frames, ends, "planes", (5, 64))
-    size = 128 * 64
+
+    def totals(windows):
+        import numpy as np
+        return np.concatenate([windows.sum(axis=(2, 3), dtype=np.float64), windows[:, :, -1, -1]], axis=1)
+    cut = tensors.window_tensors(frames, ends, "planes", (5, 64), reduce=totals)
     each = cut.select("session_id", "window_end", "tensor", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("channel"))
-    own = F.slice("tensor", F.col("channel") * size + 1, F.lit(size))
     return each.select("session_id", "window_end", F.greatest(F.lit(0), 128 - F.col("window_end")).alias("padded"), F.col("channel").cast("bigint").alias("channel"),
-                       F.aggregate(own, F.lit(0.0), lambda a, x: a + x).alias("total"), F.element_at(own, -1).cast("double").alias("newest"))
+                       F.get("tensor", F.col("channel")).alias("total"), F.get("tensor", F.col("channel") + 5).alias("newest"))
 
 
 @query("window_ends", v.sql("""SELECT session_id, idx + 1 AS window_end FROM signal JOIN sizes USING (session_id) WHERE idx % 20 = 0 OR idx = n - 1 OR value > 80""", *SIG))

@@ -134,6 +134,19 @@ def test_window_tensors_equal_slices(spark):
         assert r.label == (1.0 if r.session_id == "b" else r.window_end)
 
 
+def test_windows_reduced_in_the_task_equal_their_tensors(spark):
+    """Short streams one after the other in one buffer; numbers per window instead of tensors."""
+    frames = spark.range(60).selectExpr("id DIV 12 AS session_id", "id % 12 AS frame_idx", "array(array(CAST(id AS DOUBLE), 1D), array(2D, CAST(-id AS DOUBLE))) AS planes").coalesce(1)
+    ends = spark.range(65).selectExpr("id DIV 13 AS session_id", "id % 13 + 1 AS window_end")
+    how = dict(shape=(2, 2), context=5, pad=(0.0, -100.0), block=8)
+    whole = {(r.session_id, r.window_end): r.tensor for r in tensors.window_tensors(frames, ends, "planes", **how).collect()}
+    short = tensors.window_tensors(frames, ends, "planes", reduce=lambda x: x.sum(axis=(2, 3), dtype=float), **how).collect()
+    assert len(short) == 65
+    for r in short:
+        tensor = whole[r.session_id, r.window_end]
+        assert r.tensor == (None if tensor is None else np.reshape(tensor, (2, 10)).sum(axis=1).tolist())
+
+
 def test_smoothing_by_blocks_equals_the_recursion():
     rng = np.random.default_rng(2)
     for shape, keep in (((1000,), .97), ((63,), .2), ((130, 3), np.array([.9, .9, .1])), ((1,), .5)):
