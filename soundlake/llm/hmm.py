@@ -5,21 +5,23 @@ endings), and a class emits its words by their counts over all training document
 each partition adds up expected transitions and emissions, the sums are aggregated, and a bounded table goes back.  The
 scaled forward recursion then gives the exact probability of each text.
 
-Word counts grow with the corpus and are never broadcast: texts are dealt into blocks, each block asks for the
-counts of its own distinct words, and block and counts meet in one task.
+Word counts grow with the corpus and are never broadcast.  Each text is read and split once, in blocks: a block numbers its
+own distinct words, and from then on its texts are these numbers.  The blocks' words meet by word, which gives their counts
+over all texts; numbers and counts of a block meet in one task.
 """
 
 from __future__ import annotations
 
-import re
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundlake.llm.common import WORDS, byte_list, cut, partitions, remainder, text_of
+from soundlake.llm.common import byte_list, cut, remainder, text_of
 
 CLASSES, STATES, TAIL = 8192, 8, 4
 ADD = 0.1
@@ -36,32 +38,54 @@ def word_class(word: bytes) -> int:
 
 
 def words_of(text: bytes) -> list[bytes]:
-    return re.findall(WORDS, text.lower())
+    return text.lower().split()  # of bytes: A-Z only, and between \x20 and \x09-\x0D only
 
 
-def _coded(docs: DataFrame, fold: int) -> DataFrame:
-    """doc_id, held_out, _r, n_tokens and the classes of each document's tokens, the end included, as 16-bit numbers."""
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """Texts of about ``block_bytes`` in all as numbers: rows of documents and rows of words, each with its block.
+
+    A document has doc_id, held_out, the classes of its tokens (16-bit numbers, the end included) and, for each, its word's rank
+    among the block's words of that class, in as many bytes as the largest needs.  A word has its class k, that rank, and how often it stands in
+    the block's training texts.
+    """
+    def block(number: int, words: dict[bytes, int], rows: list[tuple]):
+        k = np.fromiter(map(word_class, words), np.int64, len(words))
+        by_class = np.argsort(k, kind="stable")
+        in_order = k[by_class]
+        rank = np.empty(len(k), np.int64)
+        rank[by_class] = np.arange(len(k)) - np.searchsorted(in_order, in_order)
+        learned = [ids for _, held_out, ids in rows if not held_out]
+        n = np.bincount(np.concatenate(learned) if learned else np.zeros(0, int), minlength=len(k))
+        codes, ranks = [], []
+        for _, _, ids in rows:
+            codes.append(np.append(k[ids], END).astype("<u2").tobytes())
+            of = np.append(rank[ids], 0)
+            ranks.append(of.astype("<u1" if (most := of.max()) < 1 << 8 else "<u2" if most < 1 << 16 else "<u4").tobytes())
+        for size, columns in ((len(rows), ([r[0] for r in rows], [r[1] for r in rows], codes, ranks, None, None, None, None)),
+                              (len(k), (None, None, None, None, list(words), k, rank, n))):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(size, number)), *(pa.nulls(size, kind) if x is None else pa.array(x, kind) for x, kind in zip(columns, (
+                    pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.int32(), pa.int64())))],
+                names=["block", "doc_id", "held_out", "codes", "ranks", "word", "k", "rank", "n"])
+
     def run(batches):
-        known: dict[bytes, int] = {}
+        number = TaskContext.get().partitionId() << 32
+        words, rows, size = defaultdict(), [], 0
+        words.default_factory = words.__len__  # numbers in the order of first sight
         for batch in batches:
-            codes, sizes = [], []
-            for text in byte_list(batch.column(3)):
-                words = words_of(text)
-                if len(known) > 300_000:
-                    known.clear()
-                out = []
-                for w in words:
-                    k = known.get(w)
-                    if k is None:
-                        k = known[w] = word_class(w)
-                    out.append(k)
-                out.append(END)
-                codes.append(np.array(out, "<u2").tobytes())
-                sizes.append(len(out))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(codes, pa.binary())],
-                                             names=["doc_id", "held_out", "r", "n_tokens", "codes"])
-
-    return docs.select("doc_id", "held_out", "r", "text").mapInArrow(run, "doc_id long, held_out boolean, r long, n_tokens long, codes binary")
+            for doc_id, held_out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), byte_list(batch.column(2))):
+                found = words_of(text)
+                rows.append((doc_id, held_out, np.fromiter(map(words.__getitem__, found), np.int32, len(found))))
+                size += len(text) + 1
+                if size >= block_bytes:
+                    yield from block(number, words, rows)
+                    words.clear()
+                    number, rows, size = number + 1, [], 0
+        if rows:
+            yield from block(number, words, rows)
+
+    return docs.select("doc_id", "held_out", "text").mapInArrow(
+        run, "block long, doc_id long, held_out boolean, codes binary, ranks binary, word binary, k int, rank int, n long")
 
 
 def _groups(codes: list[np.ndarray]):
@@ -187,39 +211,6 @@ def train(coded: DataFrame, totals: np.ndarray, passes: int = PASSES):
     return model
 
 
-def _word_counts(docs: DataFrame) -> DataFrame:
-    """word, n: how often each word stands in the training texts."""
-    def run(batches):
-        counts: dict[bytes, int] = {}
-
-        def out():
-            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], names=["word", "n"])
-
-        for batch in batches:
-            for text in byte_list(batch.column(0)):
-                for w in words_of(text):
-                    counts[w] = counts.get(w, 0) + 1
-                if len(counts) > 500_000:
-                    yield out()
-                    counts = {}
-        if counts:
-            yield out()
-
-    parts = docs.where("not held_out").select("text").mapInArrow(run, "word binary, n long")
-    return parts.groupBy("word").agg(F.sum("n").alias("n"))
-
-
-def _block_words(batches):
-    """The distinct words of a block."""
-    block, words = None, set()
-    for batch in batches:
-        block = batch.column(0)[0].as_py() if block is None and batch.num_rows else block
-        for text in byte_list(batch.column(1)):
-            words.update(words_of(text))
-    rows = list(words)
-    return pa.table({"block": pa.array([block] * len(rows), pa.int32()), "word": pa.array(rows, pa.binary())})
-
-
 def score(docs: DataFrame, fold: int = 0, folds: int = 10, passes: int = PASSES, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row (null text: only the end token).
 
@@ -227,20 +218,14 @@ def score(docs: DataFrame, fold: int = 0, folds: int = 10, passes: int = PASSES,
     one word of their class, with the same smoothing.  Without training texts both models know nothing but that word.
     """
     spark = docs.sparkSession
-    text = text_of()
-    base = docs.select(F.col("doc_id").cast("long"), (remainder("doc_id", folds) == fold).alias("held_out"),
-                       F.xxhash64("doc_id", text).alias("r"), text.alias("text"))
-    size = base.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-size // block_bytes))
-    coded = cut(_coded(base, fold))
-    counts = cut(_word_counts(base))
-
-    def classes(batches):
-        for batch in batches:
-            code = np.fromiter(map(word_class, byte_list(batch.column(0))), np.int64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([pa.array(code), batch.column(1)], names=["k", "n"])
-
-    per_class = counts.mapInArrow(classes, "k long, n long").groupBy("k").agg(F.sum("n"), F.count("*")).collect()  # at most CLASSES rows
+    made = cut(_blocks(docs.select(F.col("doc_id").cast("long"), (remainder("doc_id", folds) == fold).alias("held_out"), text_of().alias("text")), block_bytes))
+    coded = made.where("codes is not null").select("block", "doc_id", "held_out", "codes", "ranks")
+    # a word has a row per block that holds it; the first of them counts it as a word
+    same = Window.partitionBy("word")
+    counts = cut(made.where("word is not null").select(
+        "block", "k", "rank", F.sum("n").over(same).alias("n"), (F.min("block").over(same) == F.col("block")).alias("first")))
+
+    per_class = counts.where("first and n > 0").groupBy("k").agg(F.sum("n"), F.count("*")).collect()  # at most CLASSES rows
     totals, kinds = np.zeros(CLASSES), np.zeros(CLASSES)
     for k, n, v in per_class:
         totals[k], kinds[k] = n, v
@@ -250,25 +235,24 @@ def score(docs: DataFrame, fold: int = 0, folds: int = 10, passes: int = PASSES,
     model = train(coded, totals, passes)
     shared = spark.sparkContext.broadcast((model, totals, kinds))
 
-    # the words' counts, block by block
-    dealt = base.withColumn("block", F.pmod(F.xxhash64("r"), F.lit(blocks)).cast("int"))
-    asked = dealt.select("block", "text").groupBy("block").applyInArrow(
-        lambda t: _block_words(t.to_batches()), "block int, word binary")
-    answered = asked.join(counts, "word").select("block", "word", "n")
-
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         (start, move, emit), class_total, class_kinds = shared.value
-        known = dict(zip(byte_list(right.column("word").combine_chunks()), right.column("n").to_pylist()))
+        k = right.column("k").to_numpy()
+        held = np.bincount(k, minlength=CLASSES)
+        held[END] = 1
+        first = np.cumsum(held) - held
+        counts = np.zeros(held.sum())
+        counts[first[k] + right.column("rank").to_numpy()] = right.column("n").to_numpy()
+        counts[first[END]] = class_total[END]
+        count_logs = np.log10(counts + ADD)
         in_class = np.log10(class_total + ADD * (class_kinds + 1))
-        end_n = class_total[END]
         seen, logs, codes = [], [], []
-        for value in byte_list(left.column("text").combine_chunks()):
-            words = words_of(value)
-            n = np.fromiter((known.get(w, 0) for w in words), np.float64, len(words))
-            n = np.append(n, end_n)
-            seen.append(int((n > 0).sum()))
-            logs.append(float(np.log10(n + ADD).sum()))
-            codes.append(np.append(np.fromiter(map(word_class, words), np.int64, len(words)), END))
+        for code, rank in zip(byte_list(left.column("codes").combine_chunks()), byte_list(left.column("ranks").combine_chunks())):
+            code = np.frombuffer(code, "<u2").astype(np.int64)
+            at = first[code] + np.frombuffer(rank, f"<u{len(rank) // len(code)}")
+            seen.append(int((counts[at] > 0).sum()))
+            logs.append(float(count_logs[at].sum()))
+            codes.append(code)
         hidden = log_likelihoods(codes, start, move, emit) / np.log(10)
         size = np.array([len(c) for c in codes])
         logs = np.array(logs)
@@ -277,5 +261,5 @@ def score(docs: DataFrame, fold: int = 0, folds: int = 10, passes: int = PASSES,
         return pa.table({"doc_id": left.column("doc_id"), "held_out": left.column("held_out"), "n_tokens": pa.array(size), "n_known": pa.array(seen, pa.int64()),
                          "train_tokens": pa.array(np.full(len(size), all_tokens)), "base_score": pa.array(plain), "score": pa.array(scores)})
 
-    return dealt.select("block", "doc_id", "held_out", "text").groupBy("block").cogroup(answered.groupBy("block")).applyInArrow(
+    return coded.groupBy("block").cogroup(counts.select("block", "k", "rank", "n").groupBy("block")).applyInArrow(
         meet, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
