@@ -2,8 +2,9 @@
 
 Strings of ``length`` bytes that are equal have the same minimiser (the smallest hash of their inner grams, the leftmost of
 equals) at the same place, so each start belongs to one anchor, and equal strings belong to anchors of equal hash.  The
-starts of an anchor are consecutive; they and the bytes they need are its context.  Only contexts whose anchor occurs at
-least twice travel, each distinct one once, with its number of occurrences.
+starts of an anchor are consecutive; they and the bytes they need are its context.  All strings of a context that occurs
+twice or more are repeated, those of an anchor's only context that occurs once are not.  So bytes travel only for anchors with
+several contexts of which one occurs once: each distinct context once, with its number of occurrences.
 
 The contexts of an anchor come together in one task.  Many contexts at a time form one text; its suffixes are
 sorted as far as ``length`` bytes and give its transform.  Backward extension, breadth first from the empty string,
@@ -19,6 +20,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,7 +29,7 @@ from soundlake.llm.common import byte_list, cut, mix, partitions, row_key, text_
 
 GRAM = 32
 CHUNK = 1 << 20        # starts of a long text are handled this many at a time
-TEXT = 1 << 20         # bytes of contexts per transform, about
+TEXT = 1 << 17         # bytes of contexts per transform, about: its arrays stay in a core's cache
 CROWD = 4096           # distinct contexts of one anchor beyond which its strings are dealt out one by one, by hash
 
 
@@ -138,40 +140,42 @@ def borders(last: np.ndarray, length: int) -> np.ndarray:
     """Which places of the suffix order begin a new class of equal ``length``-symbol prefixes.
 
     ``last`` is the transform.  The interval of a string w ends where a border was found; for each symbol in it, the interval of
-    that symbol before w ends at the symbol's last occurrence, mapped to its suffix.  Level by level this finds every border
-    at the length of the common prefix it cuts.
+    that symbol before w goes from the symbol's first to its last occurrence, mapped to their suffixes.  Level by level this finds
+    every border at the length of the common prefix it cuts.
     """
     n = len(last)
     by_symbol = np.argsort(last, kind="stable")
     to = np.empty(n, np.int64)
     to[by_symbol] = np.arange(n)
-    follow = np.full(n, n, np.int64)  # the symbol's next place
+    before, follow = np.full(n, -1), np.full(n, n)  # the symbol's places around this one
     same = last[by_symbol[1:]] == last[by_symbol[:-1]]
     follow[by_symbol[:-1][same]] = by_symbol[1:][same]
+    before[by_symbol[1:][same]] = by_symbol[:-1][same]
     border = np.zeros(n + 1, bool)
     border[0] = border[n] = True
-    new = np.array([n])
+    begin, end = np.array([0]), np.array([n])
     for _ in range(length):
-        if not len(new):
+        if not len(end):
             break
-        edges = np.flatnonzero(border)
-        begin = edges[np.searchsorted(edges, new) - 1]
-        size = new - begin
-        end = np.repeat(new, size)
-        place = np.arange(len(end)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin, size)
-        target = to[place[follow[place] >= end]] + 1
-        target = target[~border[target]]
-        border[target] = True
-        new = np.sort(target)
+        size = end - begin
+        place = np.arange(size.sum()) + np.repeat(begin - np.cumsum(size) + size, size)
+        # intervals of one level are apart, so the sorted first and last places of their symbols belong together
+        first = np.sort(to[place[before[place] < np.repeat(begin, size)]])
+        final = np.sort(to[place[follow[place] >= np.repeat(end, size)]]) + 1
+        new = ~border[final]
+        begin, end = first[new], final[new]
+        border[end] = True
     return border[:n]
 
 
-def repeated_starts(contexts: list[bytes], sizes: np.ndarray, weights: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each context, which of its first ``size`` starts begin a string that occurs twice or more, copies counted."""
-    lens = np.fromiter(map(len, contexts), np.int64, len(contexts)) + 1
-    begin = np.cumsum(lens) - lens
-    text = np.frombuffer(b"\0".join(contexts) + b"\0", np.uint8).astype(np.int16) + 1
-    text[begin + lens - 1] = 0
+def repeated_starts(data: np.ndarray, lens: np.ndarray, sizes: np.ndarray, weights: np.ndarray, length: int) -> np.ndarray:
+    """Which of the first ``size`` starts of each context begin a string that occurs twice or more, copies counted.
+
+    ``data`` has the bytes of all contexts, one after another; the answers come in that order, ``size`` for each context.
+    """
+    begin = np.cumsum(lens + 1) - lens - 1
+    text = np.zeros(len(data) + len(lens), np.int16)
+    text[np.arange(len(data)) + np.repeat(np.arange(len(lens)), lens)] = data.astype(np.int16) + 1
     order = suffix_order(text, length)
     border = borders(text[order - 1], length)
     weight = np.zeros(len(text))
@@ -181,7 +185,7 @@ def repeated_starts(contexts: list[bytes], sizes: np.ndarray, weights: np.ndarra
     total = np.bincount(group, weights=weight[order])
     hit = np.zeros(len(text), bool)
     hit[order] = total[group] > 1
-    return np.split(hit[own], np.cumsum(sizes)[:-1])
+    return hit[own]
 
 
 def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
@@ -190,27 +194,46 @@ def _runs(flags: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _expand(length: int):
-    """Contexts sorted by anchor to their runs of repeated starts; an anchor's contexts stay together."""
-    kind = pa.list_(pa.struct([("a", pa.int32()), ("b", pa.int32())]))
-
-    def solve(rows):
-        flags = repeated_starts([r[3] for r in rows], np.array([r[2] for r in rows]), np.array([r[4] for r in rows], float), length)
-        out = [(r[0], r[1], [{"a": a, "b": b} for a, b in _runs(f)]) for r, f in zip(rows, flags) if f.any()]
-        h, c, runs = zip(*out) if out else ((), (), ())
-        return pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(c, pa.int64()), pa.array(runs, kind)], names=["h", "c", "runs"])
+    """Contexts sorted by anchor to the runs of repeated starts of those that occur once; an anchor's contexts stay together."""
+    def solve(rows: pa.Table):
+        h, c, size, n = (rows.column(k).to_numpy() for k in ("h", "c", "size", "n"))
+        context = rows.column("context").combine_chunks().cast(pa.large_binary())
+        at = np.frombuffer(context.buffers()[1], np.int64)[context.offset:context.offset + len(context) + 1]
+        size = size.astype(np.int64)
+        flags = repeated_starts(np.frombuffer(context.buffers()[2], np.uint8)[at[0]:at[-1]], np.diff(at), size, n.astype(float), length)
+        flags &= np.repeat(n == 1, size)
+        first = np.cumsum(size) - size
+        inner = np.ones(len(flags) + 1, bool)  # not between two contexts
+        inner[first] = inner[-1] = False
+        a = np.flatnonzero(flags & ~(np.r_[False, flags[:-1]] & inner[:-1]))
+        b = np.flatnonzero(flags & ~(np.r_[flags[1:], False] & inner[1:])) + 1
+        owner = np.repeat(np.arange(len(size)), size)[a]
+        runs = np.bincount(owner, minlength=len(size))
+        some = np.flatnonzero(runs)
+        pairs = pa.StructArray.from_arrays([pa.array((x - first[owner]).astype(np.int32)) for x in (a, b)], names=["a", "b"])
+        lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(runs[some])].astype(np.int32)), pairs)
+        return pa.RecordBatch.from_arrays([pa.array(h[some]), pa.array(c[some]), lists], names=["h", "c", "runs"])
 
     def run(batches):
-        held, size, anchor = [], 0, None
+        held = []
         for batch in batches:
-            for row in zip(*(col.to_pylist() for col in batch.columns)):
-                if size >= TEXT and row[0] != anchor:
-                    yield solve(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[3])
-                anchor = row[0]
+            held.append(batch)
+            if sum(x.nbytes for x in held) < TEXT:
+                continue
+            rows = pa.Table.from_batches(held)
+            h = rows.column("h").to_numpy()
+            ends = np.cumsum(pc.binary_length(rows.column("context")).to_numpy())
+            border = np.flatnonzero(h[1:] != h[:-1]) + 1  # the last anchor may go on in the next batch
+            lo = 0
+            while True:
+                k = np.searchsorted(ends[border - 1], (ends[lo - 1] if lo else 0) + TEXT)
+                if k == len(border):
+                    break
+                yield solve(rows.slice(lo, border[k] - lo))
+                lo = border[k]
+            held = rows.slice(lo).to_batches()
         if held:
-            yield solve(held)
+            yield solve(pa.Table.from_batches(held))
 
     return run
 
@@ -281,8 +304,11 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWD) ->
     shared = cut(anchors.join(twice, "h", "left_semi"))
     chosen = shared.groupBy("h", "c").agg(F.min(F.struct("r1", "r2", F.col("at")[0].alias("at"), "size")).alias("_at"), F.sum(F.size("at")).alias("n"))
     chosen = cut(chosen)
-    crowd = cut(chosen.groupBy("h").count().where(F.col("count") > crowded).select("h", F.lit(True).alias("crowded")))
-    chosen = chosen.join(crowd, "h", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+    # what occurs twice or more is repeated as a whole; bytes are needed where an anchor has other contexts beside one that occurs once
+    mixed = cut(chosen.groupBy("h").agg(F.count("*").alias("_k"), F.min("n").alias("_least")).where("_k > 1 and _least = 1").select(
+        "h", (F.col("_k") > crowded).alias("crowded")))
+    whole = chosen.where("n > 1").select("h", "c", F.array(F.struct(F.lit(0).alias("a"), F.col("_at.size").alias("b"))).alias("runs"))
+    chosen = chosen.join(mixed, "h")
     wanted = chosen.groupBy(F.col("_at.r1").alias("r1"), F.col("_at.r2").alias("r2")).agg(
         F.collect_list(F.struct("h", "c", F.col("_at.size").alias("size"), F.col("_at.at").alias("at"), "n", "crowded")).alias("wanted"))
     # of rows with one key (equal rows) one gives the bytes
@@ -290,12 +316,12 @@ def remove_repeats(docs: DataFrame, length: int = 200, crowded: int = CROWD) ->
     first = Window.partitionBy("r1", "r2").orderBy(F.lit(0))
     fetched = cut(texts.join(wanted, ["r1", "r2"]).withColumn("_k", F.row_number().over(first)).where("_k = 1").select("text", "wanted").mapInArrow(
         _fetch(length), "h long, c long, size int, context binary, n long, s1 long, s2 long"))
-    runs = cut(fetched.where("context is not null").select("h", "c", "size", "context", "n").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(
-        _expand(length), "h long, c long, runs array<struct<a:int,b:int>>"))
-    if not crowd.isEmpty():
+    runs = whole.unionByName(cut(fetched.where("context is not null").select("h", "c", "size", "context", "n").repartition(n, "h").sortWithinPartitions("h", "c").mapInArrow(
+        _expand(length), "h long, c long, runs array<struct<a:int,b:int>>")))
+    if not mixed.where("crowded").isEmpty():
         single = (fetched.where("context is null").select("h", "c", F.col("size").alias("k"), "n", "s1", "s2"))
         again = cut(single.groupBy("s1", "s2").agg(F.sum("n").alias("n")).where("n > 1").select("s1", "s2"))
-        hits = single.join(again, ["s1", "s2"], "left_semi").groupBy("h", "c").agg(
+        hits = single.where("n = 1").join(again, ["s1", "s2"], "left_semi").groupBy("h", "c").agg(
             F.collect_list(F.struct(F.col("k").alias("a"), (F.col("k") + 1).alias("b"))).alias("runs"))
         runs = runs.unionByName(hits)
     spans = shared.select("r1", "r2", "h", "c", "at").join(runs, ["h", "c"]).dropDuplicates(["r1", "r2", "h", "c"]).groupBy("r1", "r2").agg(
